@@ -154,10 +154,14 @@ def differs_in_ascii(s, t):
     return is_ascii(s) != is_ascii(t)
 
 
+# First and last time that counts as a date.
+FIRST_TIME, LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+
+
 def parse_date(c, fmt=None):
-    """Timestamp without zone from text; null where it does not parse."""
-    parsed = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
-    return parsed.cast("timestamp_ntz")
+    """Timestamp without zone from text; null where it does not parse or is out of range."""
+    parsed = (F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)).cast("timestamp_ntz")
+    return F.when(parsed.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), parsed)
 
 
 def slug(c, length=40):

@@ -122,6 +122,70 @@ def checksum_examples(hashes, pair, n=5):
         F.substring("target_hash", 1, 16).alias("target_hash"))
 
 
+# All key-based findings of a pair in one narrow frame.
+
+EXAMPLES = {"source_dup": 5, "target_dup": 5, "source_only": 5, "target_only": 5, "value": 3, "checksum": 5}
+
+
+def findings(pair, text_rules=(), checksum=False, algo="md5"):
+    """One row per key with `both` and the array `found` of (kind, column, source_value, target_value).
+
+    `found` is empty for keys without a finding, so the frame is narrow; the
+    key is spelled out in `pk` only where something was found.
+    """
+    s_there, t_there = F.col("s").isNotNull(), F.col("t").isNotNull()
+    both = s_there & t_there
+
+    def entry(kind, test, column="", sv=F.lit(""), tv=F.lit("")):
+        return F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"),
+                                     sv.alias("source_value"), tv.alias("target_value")))
+
+    entries = [
+        entry("source_dup", F.col("s_n") > 1, sv=F.col("s_n").cast("string")),
+        entry("target_dup", F.col("t_n") > 1, tv=F.col("t_n").cast("string")),
+        entry("source_only", s_there & ~t_there, sv=F.lit("EXISTS"), tv=F.lit("MISSING")),
+        entry("target_only", t_there & ~s_there, sv=F.lit("MISSING"), tv=F.lit("EXISTS")),
+    ]
+    for c in pair.columns:
+        s, t = _cells(pair, c)
+        entries.append(entry("value", both & _differs(pair, c), c,
+                             safe_repr(s, pair.s_type(c)), safe_repr(t, pair.t_type(c))))
+    for rule in text_rules:
+        for c in _rule_columns(pair, rule):
+            s, t = (x.cast("string") for x in _cells(pair, c))
+            entries.append(entry(rule, both & TEXT_RULES[rule](s, t), c, s, t))
+    if checksum:
+        s_hash, t_hash = (
+            row_hash([(F.col(f"{p}.{c}"), schema[c].dataType) for c in pair.columns if c not in pair.keys], algo)
+            for p, schema in (("s", pair.s_schema), ("t", pair.t_schema)))
+        entries.append(entry("checksum", both & (s_hash != t_hash), "",
+                             F.substring(s_hash, 1, 16), F.substring(t_hash, 1, 16)))
+    rows = pair.frame.select(*pair.key_names, both.alias("both"), pair.key_text(),
+                             F.array_compact(F.array(*entries)).alias("found"))
+    return rows.withColumn("pk", F.when(F.size("found") > 0, F.col("pk")))
+
+
+def finding_counts(found):
+    """(kind, column, n, rows): findings per kind and column, and the rows behind duplicate keys."""
+    cells = found.select(F.inline("found"))
+    size = F.coalesce(F.col("source_value").try_cast("bigint"), F.lit(0)) + F.coalesce(
+        F.col("target_value").try_cast("bigint"), F.lit(0))
+    return cells.groupBy("kind", "column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("kind").isin("source_dup", "target_dup"), size)).alias("rows"))
+
+
+def finding_examples(found, key_names):
+    """The first findings by key of every kind and column."""
+    cells = found.select(*key_names, "pk", F.inline("found"))
+    ranked = first_n(cells, key_names, max(EXAMPLES.values()), ["kind", "column"])
+    cap = F.lit(1)
+    for kind, n in EXAMPLES.items():
+        cap = F.when(F.col("kind") == kind, F.lit(n)).otherwise(cap)
+    return ranked.where(F.col("__rank") <= cap).select(
+        "kind", "column", F.col("__rank").alias("example"), "pk", "source_value", "target_value")
+
+
 # Comparison without a key: row i of the sorted source against row i of the sorted target.
 
 def _runs(df, columns):

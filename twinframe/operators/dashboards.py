@@ -165,8 +165,8 @@ def align_pages(pages_a, pages_b, label_a="Dashboard 1", label_b="Dashboard 2",
             .orderBy("workbook", F.col("ordinal_a").asc_nulls_last(), "ordinal_b"))
 
 
-def grouped_rank(df, group, order, name, width=100_000):
-    """Rank by a unique whole-number order within a group, in windows of bounded size.
+def grouped_rank(df, group, order, tie, name, width=100_000):
+    """Rank by a whole-number order (and `tie`) within a group, in windows of bounded size.
 
     Rows are numbered inside stretches of `width` order values; the sizes of
     the stretches before are added. A group of any size thus spreads over many
@@ -176,7 +176,7 @@ def grouped_rank(df, group, order, name, width=100_000):
     sizes = parts.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("size"))
     before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "__part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order, tie))
     return (parts.withColumn("__in", inside).join(offsets, [group, "__part"])
             .withColumn(name, F.col("__before") + F.col("__in")).drop("__part", "__in", "__before"))
 
@@ -184,8 +184,8 @@ def grouped_rank(df, group, order, name, width=100_000):
 def page_sequence(pages_a, pages_b):
     """Position among the common pages on each side; they differ where the order does."""
     both = _page_list(pages_a, "a").join(_page_list(pages_b, "b"), ["workbook", "page_key"])
-    ranked = grouped_rank(grouped_rank(both, "workbook", "ordinal_a", "position_a"),
-                          "workbook", "ordinal_b", "position_b")
+    ranked = grouped_rank(grouped_rank(both, "workbook", "ordinal_a", "page_key", "position_a"),
+                          "workbook", "ordinal_b", "page_key", "position_b")
     return ranked.select("workbook", "page_key", "position_a", "position_b",
                          (F.col("position_a") == F.col("position_b")).alias("in_order"))
 

@@ -187,7 +187,8 @@ def first_n(df, order, n, partition=None):
     """
     if partition is None:
         return df.orderBy(*order).limit(n)
-    w = Window.partitionBy(partition).orderBy(*order)
+    partition = [partition] if isinstance(partition, str) else partition
+    w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n)
 
 

@@ -138,7 +138,7 @@ def embedded_rows(archives):
                 lines = parse(text, ",") or parse(text, "\t") or []
                 header = [h.lower() for h in lines[0]] if lines else []
                 for i, line in enumerate(line for line in lines[1:] if line):
-                    rows.append((path, i, [(h, v or None) for h, v in zip(header, line)]))
+                    rows.append((path, i, {h: v or None for h, v in zip(header, line)}))
             yield pd.DataFrame(rows, columns=["path", "row", "cells"])
 
     return archives.mapInPandas(read, "path string, row int, cells map<string,string>")
