@@ -4,23 +4,24 @@ from pyspark.sql import functions as F
 
 from catalog.registry import frame, query, table, with_views
 from twinframe.operators import anomaly
+from twinframe.operators.profile import null_and_empty_counts
+from twinframe.shared import spread
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
 def lines(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *LINE_COLUMNS)
+    return spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *LINE_COLUMNS))
 
 
 def flagged_events(spark, sf):
-    return anomaly.detect_anomalies(frame(spark, sf, "events_src"), ["value", "user_id"])
+    return anomaly.detect_anomalies(spread(frame(spark, sf, "events_src")), ["value", "user_id"])
 
 
 @query("anom_prepare", with_views("events_src") + """
 SELECT 'value' AS column, count(*) - count(value) AS null_count FROM events_src
 UNION ALL SELECT 'user_id', count(*) - count(user_id) FROM events_src""")
 def anom_prepare(spark, sf):
-    from twinframe.operators.profile import null_and_empty_counts
     df = frame(spark, sf, "events_src")
     usable = anomaly.numeric_columns(df, ["value", "event_type", "user_id"])
     return null_and_empty_counts(df, usable).select("column", "null_count")

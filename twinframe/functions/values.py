@@ -21,9 +21,15 @@ def without_nan(c, dtype):
     return F.when(~F.isnan(c), c) if isinstance(dtype, FLOATS) else c
 
 
+# The characters Python strips as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
+_SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+
+
 def trim_text(c):
     """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _number_key(d):
@@ -33,17 +39,23 @@ def _number_key(d):
 
 
 def _text_key(c):
-    t = trim_text(c)
-    digits = F.regexp_replace(t, r"^[+-]?0*(?=[0-9])", "")
-    negative = t.startswith("-") & (digits != "0")
+    # One regular expression tells numbers from text; the rest is plain trimming.
+    digits = F.rtrim(F.ltrim(c, F.lit(WHITE_SPACE + "+-0")), F.lit(WHITE_SPACE))
+    whole = (F.when(digits == "", F.lit("n:0")).when(F.contains(c, F.lit("-")), F.concat(F.lit("n:-"), digits))
+             .otherwise(F.concat(F.lit("n:"), digits)))
     return (
-        F.when(t.rlike(r"^[+-]?[0-9]+$"),
-               F.concat(F.lit("n:"), F.when(negative, F.lit("-")).otherwise(F.lit("")), digits))
-        .when(t.rlike(r"^[+-]?[0-9]+\.[0-9]*$"), _number_key(t.try_cast("double")))
-        .when(c.isNotNull(), F.concat(F.lit("s:"), t))
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(~c.rlike(rf"^{_SPACES}*[+-]?[0-9]+(\.[0-9]*)?{_SPACES}*\z"), F.concat(F.lit("s:"), trim_text(c)))
+        .when(F.contains(c, F.lit(".")), _number_key(trim_text(c).try_cast("double")))
+        .otherwise(whole)
     )
 
 
+def _is_own_key(c):
+    """Text that coercion leaves as it is: a plain positive whole number, or text that is no number."""
+    return F.coalesce(c.rlike(rf"^(?:[1-9][0-9]*|[^{_SPACES[1:-1]}0-9+-](?s:.*[^{_SPACES[1:-1]}])?)\z"), F.lit(False))
+
+
 def canon(c, dtype):
     """Type-independent comparison text: numbers `n:`, text `s:`, times `t:`; null for missing."""
     if isinstance(dtype, T.NullType):
@@ -75,9 +87,9 @@ def unequal(s, t, s_type, t_type):
     if s_type == t_type and not isinstance(s_type, (*TEXTS, *NESTED, T.BinaryType)):
         return ~without_nan(s, s_type).eqNullSafe(without_nan(t, t_type))
     coerced = ~canon(s, s_type).eqNullSafe(canon(t, t_type))
-    if s_type == t_type:
-        return (~s.eqNullSafe(t)) & coerced
-    return coerced
+    if isinstance(s_type, TEXTS) and isinstance(t_type, TEXTS):
+        return ~s.eqNullSafe(t) & ((_is_own_key(s) & _is_own_key(t)) | coerced)
+    return ~s.eqNullSafe(t) & coerced if s_type == t_type else coerced
 
 
 def atomic(c, dtype):

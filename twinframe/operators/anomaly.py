@@ -21,8 +21,10 @@ N_TREES = 100
 SAMPLE_SIZE = 256
 POOL_FACTOR = 16  # rows drawn in all: POOL_FACTOR * sample size
 
-TREE_SCHEMA = ("tree_id int, size int, feature array<int>, threshold array<double>, "
-               "left array<int>, right array<int>, path array<double>")
+# A tree is complete: node i has the children 2i + 1 and 2i + 2, `path` is the
+# path length at each leaf. Early leaves are continued with splits that all
+# rows pass on the left.
+TREE_SCHEMA = "tree_id int, size int, depth int, feature array<int>, threshold array<double>, path array<double>"
 
 
 def numeric_columns(df, columns):
@@ -72,7 +74,10 @@ def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
         .select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         .select(*columns, F.xxhash64(*columns, "copy", F.lit(seed)).alias("h"))
     )
-    trees = pool.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"), "*")
+    # The pool is small; a fixed partition count keeps the trees on all cores.
+    cores = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
+    trees = (pool.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"), "*")
+             .repartition(cores, "tree_id"))
     ordered = trees.withColumn("order", F.xxhash64("h", "tree_id"))
     return first_n(ordered, ["order", *columns], size, "tree_id").select("tree_id", "order", *columns)
 
@@ -86,66 +91,61 @@ def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
             return float(n == 2)
         return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
+    depth = math.ceil(math.log2(max(size, 2)))
+
     def grow(pdf):
         pdf = pdf.sort_values(["order", *columns])
         x = pdf[columns].to_numpy(dtype=float)
         tree_id = int(pdf["tree_id"].iloc[0])
         rng = np.random.default_rng([seed, tree_id])
-        limit = math.ceil(math.log2(max(len(x), 2)))
-        feature, threshold, left, right, path = [], [], [], [], []
-
-        def node(rows, depth):
-            at = len(feature)
-            feature.append(-1)
-            threshold.append(0.0)
-            left.append(at)
-            right.append(at)
-            path.append(depth + average_path(len(rows)))
-            lo, hi = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (None, None)
-            if depth < limit and len(rows) > 1 and (open_to := np.flatnonzero(hi > lo)).size:
-                f = int(rng.choice(open_to))
-                cut = float(rng.uniform(lo[f], hi[f]))
-                below = x[rows, f] <= cut
-                feature[at], threshold[at] = f, cut
-                left[at] = node(rows[below], depth + 1)
-                right[at] = node(rows[~below], depth + 1)
-            return at
-
-        node(np.arange(len(x)), 0)
-        return pd.DataFrame([{"tree_id": tree_id, "size": len(x), "feature": feature, "threshold": threshold,
-                              "left": left, "right": right, "path": path}])
+        inner = 2 ** depth - 1
+        feature, threshold = np.zeros(inner, dtype=int), np.full(inner, np.inf)
+        path = np.zeros(inner + 1)
+
+        def node(at, rows, level):
+            lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
+            choices = np.flatnonzero(hi > lo) if level < depth else ()
+            if not len(choices):
+                leftmost = (at + 1) * 2 ** (depth - level) - 1
+                path[leftmost - inner] = level + average_path(len(rows))
+                return
+            f = rng.choice(choices)
+            split = rng.uniform(lo[f], hi[f])
+            below = x[rows, f] <= split
+            feature[at], threshold[at] = f, split
+            node(2 * at + 1, rows[below], level + 1)
+            node(2 * at + 2, rows[~below], level + 1)
+
+        node(0, np.arange(len(x)), 0)
+        return pd.DataFrame([{"tree_id": tree_id, "size": len(x), "depth": depth, "feature": feature,
+                              "threshold": threshold, "path": path}])
 
     return samples.groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
 
 
 def score_rows(df, columns, forest):
     """The frame with `anomaly_score`: near -1 for outliers, 0 for rows with a missing value."""
-    trees = forest.orderBy("tree_id").collect()  # bounded: n_trees * 2 * size nodes
-    width = max(len(t.feature) for t in trees)
-    padded = lambda name, kind: np.array(
-        [list(t[name]) + [0] * (width - len(t[name])) for t in trees], dtype=kind)
-    size = max(t.size for t in trees)
+    trees = forest.orderBy("tree_id").collect()  # bounded: n_trees complete trees of the sample size
+    size, depth = max(t.size for t in trees), trees[0].depth
     norm = 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size if size > 2 else 1.0
-    depth = math.ceil(math.log2(max(size, 2)))
-    sent = df.sparkSession.sparkContext.broadcast((
-        padded("feature", np.int32), padded("threshold", float), padded("left", np.int32),
-        padded("right", np.int32), padded("path", float)))
+    sent = df.sparkSession.sparkContext.broadcast([
+        (np.array(t.feature), np.array(t.threshold), np.array(t.path)) for t in trees])
 
     @F.pandas_udf(T.DoubleType())
     def score(*series: pd.Series) -> pd.Series:
-        feature, threshold, left, right, path = sent.value
-        x = np.column_stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in range(len(feature)):
-            at = np.zeros(len(x), dtype=np.int32)
+        cells = np.stack([s.to_numpy(dtype=float, na_value=np.nan) for s in series])
+        n = cells.shape[1]
+        missing = np.isnan(cells).any(axis=0)
+        flat, rows, total = cells.ravel(), np.arange(n), np.zeros(n)
+        for feature, threshold, path in sent.value:
+            offset = feature * n
+            at = np.zeros(n, dtype=np.intp)
             for _ in range(depth):
-                f = feature[t, at]
-                below = x[rows, np.maximum(f, 0)] <= threshold[t, at]
-                at = np.where(f < 0, at, np.where(below, left[t, at], right[t, at]))
-            total += path[t, at]
-        scores = -np.power(2.0, -total / len(feature) / norm)
-        scores[np.isnan(x).any(axis=1)] = 0.0
+                above = flat.take(offset.take(at) + rows) > threshold.take(at)
+                at = 2 * at + 1 + above
+            total += path.take(at - len(feature))
+        scores = -np.power(2.0, -total / len(sent.value) / norm)
+        scores[missing] = 0.0
         return pd.Series(scores)
 
     return df.withColumn("anomaly_score", score(*[F.col(c).cast("double") for c in columns]))
@@ -157,10 +157,14 @@ def score_threshold(scored, columns, contamination=0.02):
         F.percentile_approx("anomaly_score", contamination, 100_000).alias("threshold"))
 
 
-def flag_anomalies(scored, columns, contamination=0.02):
+def mark_anomalies(scored, columns, threshold):
     """The scored frame with `is_anomaly`; rows with a missing value are never anomalies."""
-    cut = score_threshold(scored, columns, contamination).first()["threshold"]
-    return scored.withColumn("is_anomaly", _complete(columns) & (F.col("anomaly_score") < F.lit(cut)))
+    return scored.withColumn("is_anomaly", _complete(columns) & (F.col("anomaly_score") < F.lit(threshold)))
+
+
+def flag_anomalies(scored, columns, contamination=0.02):
+    """The scored frame marked at the threshold the contamination gives."""
+    return mark_anomalies(scored, columns, score_threshold(scored, columns, contamination).first()["threshold"])
 
 
 def detect_anomalies(df, columns, contamination=0.02, seed=42, size=SAMPLE_SIZE, n_trees=N_TREES):

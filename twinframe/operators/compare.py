@@ -1,5 +1,7 @@
 """Cell-by-cell comparison of two datasets, by key or by sorted position."""
 
+import itertools
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -189,7 +191,7 @@ def finding_examples(found, key_names):
 # Comparison without a key: row i of the sorted source against row i of the sorted target.
 
 def _runs(df, columns):
-    """Distinct rows as text with their global sorted position: columns, start, n.
+    """Distinct rows as text with their global sorted position (columns, start, n), and the row total.
 
     Equal rows are counted into one run first, so a row repeated any number of
     times sorts as a single row.
@@ -201,19 +203,20 @@ def _runs(df, columns):
     # Written once: positions below rely on one fixed split into sorted parts.
     parts = cut(runs.orderBy(*columns).withColumn("part", F.spark_partition_id()))
     within = Window.partitionBy("part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (  # one row per part, so the window and the broadcast are bounded by the partition count
-        parts.groupBy("part").agg(F.sum("n").alias("size"))
-        .withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).select("part", "offset"))
-    return (
+    sizes = sorted(parts.groupBy("part").agg(F.sum("n")).collect())  # one row per sorted part
+    ends = list(itertools.accumulate(size for _, size in sizes))
+    offsets = df.sparkSession.createDataFrame(
+        [(part, end - size) for (part, size), end in zip(sizes, ends)], "part int, offset bigint")
+    runs = (
         parts.withColumn("upto", F.sum("n").over(within))
-        .join(F.broadcast(offsets), "part")
+        .join(F.broadcast(offsets), "part")  # as many rows as sorted parts
         .select(*columns, (F.col("offset") + F.col("upto") - F.col("n")).alias("start"), "n"))
+    return runs, (ends[-1] if ends else 0)
 
 
 def sorted_positions(df, columns):
     """Every row as text with its position in the text sort of all columns."""
-    runs = _runs(df, columns)
+    runs, _ = _runs(df, columns)
     return runs.select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("position"), *columns)
 
 
@@ -227,8 +230,8 @@ def positional_segments(source, target, columns=None):
     """
     source, target = atomic_frame(source), atomic_frame(target)
     columns = columns or sorted(set(source.columns) & set(target.columns))
-    sides = [_runs(source, columns), _runs(target, columns)]
-    rows = min(side.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for side in sides)
+    (s_runs, s_rows), (t_runs, t_rows) = _runs(source, columns), _runs(target, columns)
+    rows = min(s_rows, t_rows)
     parallel = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = min(BUCKET_ROWS, max(1024, -(-rows // (4 * parallel))))
 
@@ -243,7 +246,7 @@ def positional_segments(source, target, columns=None):
             .select("bucket", F.greatest("start", F.col("bucket") * width).alias("position"),
                     row.alias(name), empty.alias(other)))
 
-    merged = pieces(sides[0], "s", "t").unionByName(pieces(sides[1], "t", "s"))
+    merged = pieces(s_runs, "s", "t").unionByName(pieces(t_runs, "t", "s"))
     upto = Window.partitionBy("bucket").orderBy("position")
     following = Window.partitionBy("bucket").orderBy("position", F.col("s").isNull())
     end = F.least((F.col("bucket") + 1) * width, F.lit(rows))

@@ -22,7 +22,18 @@ def new_path(spark, label):
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df):
-    """Write the frame to reliable storage once and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def spread(df):
+    """A frame read from files with at least one partition per core.
+
+    A small or unsplittable file arrives in one task; work in Python wants all
+    cores. Larger inputs have enough partitions and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def cut(df, label="cut"):
+    """Write the frame to the shared folder once and go on from there."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
