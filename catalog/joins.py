@@ -201,7 +201,7 @@ SELECT side, CAST(rn AS INTEGER) AS example, concat('o_orderkey=', CAST(o_orderk
 FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY o_orderkey) AS rn FROM one_sided) AS r WHERE rn <= 5""")
 def win_examples_per_side(spark, sf):
     pair = keys.key_pair(*orders(spark, sf), ORDER_KEYS)
-    found = compare.finding_examples(compare.findings(pair), pair.key_names)
+    found = compare.finding_examples(compare.findings(pair), pair)
     return found.where(F.col("kind").isin("source_only", "target_only")).select(
         F.col("kind").alias("side"), "example", "pk")
 

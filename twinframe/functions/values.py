@@ -51,9 +51,15 @@ def _text_key(c):
     )
 
 
+# A whole number without padding, or a decimal of at most 15 digits without padding (so that
+# different texts are different doubles), or text that starts and ends like no number.
+_OWN_KEY = (r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]|"
+            rf"[^{_SPACES[1:-1]}0-9+-](?s:.*[^{_SPACES[1:-1]}])?)\z")
+
+
 def _is_own_key(c):
-    """Text that coercion leaves as it is: a plain positive whole number, or text that is no number."""
-    return F.coalesce(c.rlike(rf"^(?:[1-9][0-9]*|[^{_SPACES[1:-1]}0-9+-](?s:.*[^{_SPACES[1:-1]}])?)\z"), F.lit(False))
+    """Text that coercion keeps distinct from every other such text."""
+    return F.coalesce(c.rlike(_OWN_KEY), F.lit(False))
 
 
 def canon(c, dtype):
@@ -86,7 +92,10 @@ def unequal(s, t, s_type, t_type):
     """
     if s_type == t_type and not isinstance(s_type, (*TEXTS, *NESTED, T.BinaryType)):
         return ~without_nan(s, s_type).eqNullSafe(without_nan(t, t_type))
-    coerced = ~canon(s, s_type).eqNullSafe(canon(t, t_type))
+    # The coercion is bulky code. Inside a lambda it stays out of the generated
+    # method, which would otherwise grow too long to be compiled for wide tables.
+    coerced = F.exists(F.array(F.struct(s.alias("s"), t.alias("t"))),
+                       lambda pair: ~canon(pair["s"], s_type).eqNullSafe(canon(pair["t"], t_type)))
     if isinstance(s_type, TEXTS) and isinstance(t_type, TEXTS):
         return ~s.eqNullSafe(t) & ((_is_own_key(s) & _is_own_key(t)) | coerced)
     return ~s.eqNullSafe(t) & coerced if s_type == t_type else coerced
@@ -120,7 +129,7 @@ def truncate(c, length=100):
 def quoted(c, dtype):
     """Readable form of a value: text and times in quotes, numbers plain."""
     text = as_text(c, dtype)
-    if isinstance(dtype, (*TEXTS, *DATES)):
+    if is_quoted(dtype):
         return F.when(c.isNull(), text).otherwise(F.concat(F.lit("'"), text, F.lit("'")))
     return text
 
@@ -129,6 +138,10 @@ def safe_repr(c, dtype, length=100):
     return truncate(quoted(c, dtype), length)
 
 
+def is_quoted(dtype):
+    return isinstance(dtype, (*TEXTS, *DATES))
+
+
 def format_key(columns):
     """`id=123, code='abc'` from [(name, column, dtype)]."""
     return F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), quoted(c, t)) for n, c, t in columns])
@@ -149,7 +162,7 @@ def is_ascii(c):
 
 
 def differs_in_case(s, t):
-    return (F.lower(s) == F.lower(t)) & (s != t)
+    return (s != t) & (F.lower(s) == F.lower(t))
 
 
 def _drop_first_zero(c):
@@ -159,11 +172,11 @@ def _drop_first_zero(c):
 
 def differs_in_leading_zero(s, t):
     """Exactly one side starts with `0`, and dropping the first `0` of both makes them equal."""
-    return (s.startswith("0") != t.startswith("0")) & (_drop_first_zero(s) == _drop_first_zero(t))
+    return (s != t) & (s.startswith("0") != t.startswith("0")) & (_drop_first_zero(s) == _drop_first_zero(t))
 
 
 def differs_in_ascii(s, t):
-    return is_ascii(s) != is_ascii(t)
+    return (s != t) & (is_ascii(s) != is_ascii(t))
 
 
 # First and last time that counts as a date.

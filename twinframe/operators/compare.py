@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from twinframe.functions.types import TEXTS
+from twinframe.functions.types import FLOATS, TEXTS
 from twinframe.functions.values import (
-    as_text, atomic_frame, canon, differs_in_ascii, differs_in_case, differs_in_leading_zero, row_hash,
-    safe_repr, unequal)
+    NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted,
+    row_hash, truncate, unequal)
 from twinframe.operators.keys import first_n
 from twinframe.shared import cut
 
@@ -36,16 +36,30 @@ def mismatch_counts(pair, columns=None):
         for i, c in enumerate(columns)])))
 
 
+def _raw(c, length=101):
+    """Start of a cell as text: enough to show, however long the cell is."""
+    return F.substring(c.cast("string"), 1, length)
+
+
+def _shown(pair, column, value, side):
+    """A raw cell as shown in reports: text and times in quotes, null as `nan`, 100 characters at most."""
+    schema = pair.s_schema if side == "s" else pair.t_schema
+    in_quotes = [c for c in pair.columns if is_quoted(schema[c].dataType)]
+    marked = F.concat(F.lit("'"), value, F.lit("'"))
+    text = F.when(column.isin(in_quotes), marked).otherwise(value) if in_quotes else value
+    return truncate(F.coalesce(text, F.lit(NULL_TEXT)))
+
+
 def mismatches(pair, columns=None):
     """Every unequal cell: key columns, `pk`, column, source_value, target_value."""
     def cell(c):
         s, t = _cells(pair, c)
         return F.when(_differs(pair, c), F.struct(
-            F.lit(c).alias("column"),
-            safe_repr(s, pair.s_type(c)).alias("source_value"),
-            safe_repr(t, pair.t_type(c)).alias("target_value")))
+            F.lit(c).alias("column"), _raw(s).alias("source_value"), _raw(t).alias("target_value")))
     cells = F.array_compact(F.array(*[cell(c) for c in columns or pair.columns]))
-    return pair.matched().select(*pair.key_names, pair.key_text(), F.inline(cells))
+    found = pair.matched().select(*pair.key_names, pair.key_text(), F.inline(cells))
+    return found.select(*pair.key_names, "pk", "column", *[
+        _shown(pair, F.col("column"), F.col(v), v[0]).alias(v) for v in ("source_value", "target_value")])
 
 
 def mismatch_examples(pair, n=3, columns=None):
@@ -150,17 +164,23 @@ def findings(pair, text_rules=(), checksum=False, algo="md5"):
     ]
     for c in pair.columns:
         s, t = _cells(pair, c)
-        entries.append(entry("value", both & _differs(pair, c), c,
-                             safe_repr(s, pair.s_type(c)), safe_repr(t, pair.t_type(c))))
+        entries.append(entry("value", both & _differs(pair, c), c, _raw(s), _raw(t)))
     for rule in text_rules:
         for c in _rule_columns(pair, rule):
             s, t = (x.cast("string") for x in _cells(pair, c))
-            entries.append(entry(rule, both & TEXT_RULES[rule](s, t), c, s, t))
+            entries.append(entry(rule, both & TEXT_RULES[rule](s, t), c, _raw(s), _raw(t)))
     if checksum:
         s_hash, t_hash = (
             row_hash([(F.col(f"{p}.{c}"), schema[c].dataType) for c in pair.columns if c not in pair.keys], algo)
             for p, schema in (("s", pair.s_schema), ("t", pair.t_schema)))
-        entries.append(entry("checksum", both & (s_hash != t_hash), "",
+        # Rows whose cells read the same need no hash.
+        texts_differ = F.lit(False)
+        for c in pair.columns:
+            s, t = _cells(pair, c)
+            same = s.eqNullSafe(t) if pair.s_type(c) == pair.t_type(c) and not isinstance(
+                pair.s_type(c), FLOATS) else s.cast("string").eqNullSafe(t.cast("string"))
+            texts_differ = texts_differ | ~same
+        entries.append(entry("checksum", both & texts_differ & (s_hash != t_hash), "",
                              F.substring(s_hash, 1, 16), F.substring(t_hash, 1, 16)))
     rows = pair.frame.select(*pair.key_names, both.alias("both"), pair.key_text(),
                              F.array_compact(F.array(*entries)).alias("found"))
@@ -177,15 +197,17 @@ def finding_counts(found):
         F.sum(F.when(F.col("kind").isin("source_dup", "target_dup"), size)).alias("rows"))
 
 
-def finding_examples(found, key_names):
+def finding_examples(found, pair):
     """The first findings by key of every kind and column."""
-    cells = found.select(*key_names, "pk", F.inline("found"))
-    ranked = first_n(cells, key_names, max(EXAMPLES.values()), ["kind", "column"])
+    cells = found.select(*pair.key_names, "pk", F.inline("found"))
+    ranked = first_n(cells, pair.key_names, max(EXAMPLES.values()), ["kind", "column"])
     cap = F.lit(1)
     for kind, n in EXAMPLES.items():
         cap = F.when(F.col("kind") == kind, F.lit(n)).otherwise(cap)
+    shown = lambda v: F.when(F.col("kind") == "value", _shown(pair, F.col("column"), F.col(v), v[0])).otherwise(F.col(v))
     return ranked.where(F.col("__rank") <= cap).select(
-        "kind", "column", F.col("__rank").alias("example"), "pk", "source_value", "target_value")
+        "kind", "column", F.col("__rank").alias("example"), "pk",
+        *[shown(v).alias(v) for v in ("source_value", "target_value")])
 
 
 # Comparison without a key: row i of the sorted source against row i of the sorted target.

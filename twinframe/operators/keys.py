@@ -48,7 +48,7 @@ def join_keys(source, target, keys, mode="canonical"):
     s_exprs, t_exprs = [], []
     for k in keys:
         s, t = source.schema[k].dataType, target.schema[k].dataType
-        if s == t and isinstance(s, (*TEXTS, *DATES, T.NumericType, T.BooleanType)):
+        if _is_native(s, t):
             s_exprs += _native_key(source[k], s)
             t_exprs += _native_key(target[k], t)
         elif mode == "strict" and type_class(s) != type_class(t):
@@ -69,21 +69,41 @@ def distinct_keys(df, keys):
     return df.select(*keys).distinct()
 
 
-def one_per_key(df, key_columns, prefix):
-    """One row per key: `<prefix>` the smallest whole row, `<prefix>_n` the row count."""
+def _is_native(s_type, t_type):
+    return s_type == t_type and isinstance(s_type, (*TEXTS, *DATES, T.NumericType, T.BooleanType))
+
+
+def _restored(df, other, keys):
+    """{key: its value put together again from the key columns}, for the keys that compare as stored."""
+    out, i = {}, 0
+    for k in keys:
+        native = _is_native(df.schema[k].dataType, other.schema[k].dataType)
+        if native:
+            out[k] = F.when(~F.col(f"__k{i + 1}"), F.col(f"__k{i}"))
+        i += 2 if native else 1
+    return out
+
+
+def one_per_key(df, key_columns, prefix, restored):
+    """One row per key: `<prefix>` the smallest whole row, `<prefix>_n` the row count.
+
+    Keys that the key columns hold unchanged do not travel twice.
+    """
     names = names_of(key_columns)
-    return (
-        df.select(*key_columns, F.struct(*[df[c] for c in df.columns]).alias("row"))
-        .groupBy(*names)
-        .agg(F.min("row").alias(prefix), F.count(F.lit(1)).alias(prefix + "_n"))
+    carried = [c for c in df.columns if c not in restored] or df.columns[:1]
+    least = (
+        df.select(*key_columns, F.struct(*[df[c] for c in carried]).alias("row"))
+        .groupBy(*names).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias(prefix + "_n"))
     )
+    whole = F.struct(*[(restored[c] if c in restored else F.col(f"row.{c}")).alias(c) for c in df.columns])
+    return least.select(*names, whole.alias(prefix), prefix + "_n")
 
 
 def first_per_key(df, keys):
     """The smallest row, by all columns in order, of every key; null is a key of its own."""
     df = atomic_frame(df)
     own, _ = join_keys(df, df, keys)
-    return one_per_key(df, own, "row").select("row.*")
+    return one_per_key(df, own, "row", _restored(df, df, keys)).select("row.*")
 
 
 @dataclass
@@ -121,7 +141,8 @@ def key_pair(source, target, keys, mode="canonical", how="full_outer"):
     source, target = atomic_frame(source), atomic_frame(target)
     s_keys, t_keys = join_keys(source, target, keys, mode)
     names = names_of(s_keys)
-    frame = one_per_key(source, s_keys, "s").join(one_per_key(target, t_keys, "t"), names, how)
+    kept = _restored(source, target, keys)
+    frame = one_per_key(source, s_keys, "s", kept).join(one_per_key(target, t_keys, "t", kept), names, how)
     columns = sorted(set(source.columns) & set(target.columns))
     return Pair(frame, list(keys), names, columns, source.schema, target.schema)
 
@@ -249,7 +270,8 @@ def subset_pair(source, target, keys, mode="canonical"):
     Returns (source, target, applied). Nothing is cut if the sizes are equal
     or no key would be left.
     """
-    side = smaller_side(source.count(), target.count())
+    from twinframe.operators.profile import record_counts
+    side = smaller_side(*record_counts(source, target).first()[:2])
     if side is None:
         return source, target, False
     larger, smaller = (target, source) if side == "target" else (source, target)

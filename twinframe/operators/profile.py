@@ -10,7 +10,7 @@ from twinframe.functions.types import (
 from twinframe.functions.values import atomic, is_missing, parse_date, without_nan
 
 
-def _long(df, fields, metrics):
+def long_profile(df, fields, metrics):
     """One aggregate over the frame, turned into one row per column.
 
     `metrics` is {name: function(column, dtype) -> aggregate}; the row count is always there.
@@ -26,17 +26,17 @@ def _long(df, fields, metrics):
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def _nulls(c, dtype):
+def count_nulls(c, dtype):
     return F.count_if(is_missing(c, dtype))
 
 
-def _empties(c, dtype):
+def count_empties(c, dtype):
     return F.count_if(c == "") if isinstance(dtype, TEXTS) else F.lit(0).cast("bigint")
 
 
 def null_and_empty_counts(df, columns=None):
     fields = [f for f in df.schema if columns is None or f.name in columns]
-    return _long(df, fields, {"null_count": _nulls, "empty_count": _empties})
+    return long_profile(df, fields, {"null_count": count_nulls, "empty_count": count_empties})
 
 
 def profile_columns(df):
@@ -46,7 +46,7 @@ def profile_columns(df):
         F.lit(text_length(f)).cast("int").alias("length"),
         F.lit(precision_scale(f.dataType)[0]).cast("int").alias("precision"),
         F.lit(precision_scale(f.dataType)[1]).cast("int").alias("scale")))])
-    counts = _long(df, list(df.schema), {"null_count": _nulls})
+    counts = long_profile(df, list(df.schema), {"null_count": count_nulls})
     return (counts.withColumn("spec", spec[F.col("column")])
             .select("column", "ordinal", "spec.*", "null_count", "row_count"))
 
@@ -94,7 +94,7 @@ def distinct_counts(df, columns=None, approx=False):
     fields = [f for f in df.schema if columns is None or f.name in columns]
     if approx:
         metric = lambda c, t: F.approx_count_distinct(without_nan(atomic(c, t), t))
-        return _long(df, fields, {"distinct_count": metric}).select("column", "distinct_count")
+        return long_profile(df, fields, {"distinct_count": metric}).select("column", "distinct_count")
     cells = F.array(*[
         F.struct(F.lit(i).alias("i"), _plain_text(df[f.name], f.dataType).alias("value"))
         for i, f in enumerate(fields)])
@@ -121,7 +121,7 @@ def distinct_check(source, target, columns, approx=False):
                        {"distinct_count": "distinct"})
 
 
-def _as_time(c, dtype, include_numeric):
+def as_time(c, dtype, include_numeric=False):
     if isinstance(dtype, DATES):
         return c.cast("timestamp_ntz")
     if isinstance(dtype, TEXTS):
@@ -135,9 +135,9 @@ def _as_time(c, dtype, include_numeric):
 def date_ranges(df, columns=None, include_numeric=False):
     """Earliest and latest time per column; null where nothing parses as a time."""
     fields = [f for f in df.schema if columns is None or f.name in columns]
-    return _long(df, fields, {
-        "min_time": lambda c, t: F.min(_as_time(c, t, include_numeric)),
-        "max_time": lambda c, t: F.max(_as_time(c, t, include_numeric)),
+    return long_profile(df, fields, {
+        "min_time": lambda c, t: F.min(as_time(c, t, include_numeric)),
+        "max_time": lambda c, t: F.max(as_time(c, t, include_numeric)),
     }).select("column", "min_time", "max_time")
 
 
@@ -161,31 +161,34 @@ def column_counts(source, target, strict=False):
     }
 
 
-def _schema_frame(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def type_check(source, target, columns):
-    """Type compatibility per common column."""
+def type_rows(source, target, columns):
     rows = []
     for c in columns:
         s, t = source.schema[c].dataType, target.schema[c].dataType
         rows.append((c, s.simpleString(), t.simpleString(), type_class(s), type_class(t), compatible(s, t)))
-    return _schema_frame(
-        source.sparkSession, rows,
+    return rows
+
+
+def type_check(source, target, columns):
+    """Type compatibility per common column."""
+    return source.sparkSession.createDataFrame(
+        type_rows(source, target, columns),
         "column string, source_type string, target_type string, source_class string, target_class string, "
         "compatible boolean")
 
 
+def order_rows(source, target):
+    return [(c, i, target.columns.index(c), i == target.columns.index(c))
+            for i, c in enumerate(source.columns) if c in target.columns]
+
+
 def column_order(source, target):
     """Positions of the columns both sides have."""
-    rows = [(c, i, target.columns.index(c)) for i, c in enumerate(source.columns) if c in target.columns]
-    frame = _schema_frame(source.sparkSession, rows, "column string, source_position int, target_position int")
-    return frame.withColumn("matches", F.col("source_position") == F.col("target_position"))
+    return source.sparkSession.createDataFrame(
+        order_rows(source, target), "column string, source_position int, target_position int, matches boolean")
 
 
-def column_specs(source, target, columns):
-    """Declared length, precision and scale that differ, as (column, kind, source, target)."""
+def spec_rows(source, target, columns):
     rows = []
     for c in columns:
         s, t = source.schema[c], target.schema[c]
@@ -195,7 +198,13 @@ def column_specs(source, target, columns):
         s_num, t_num = precision_scale(s.dataType), precision_scale(t.dataType)
         if s_num[0] and t_num[0] and s_num != t_num:
             rows.append((c, "precision", "%d,%d" % s_num, "%d,%d" % t_num))
-    return _schema_frame(source.sparkSession, rows, "column string, kind string, source_value string, target_value string")
+    return rows
+
+
+def column_specs(source, target, columns):
+    """Declared length, precision and scale that differ, as (column, kind, source, target)."""
+    return source.sparkSession.createDataFrame(
+        spec_rows(source, target, columns), "column string, kind string, source_value string, target_value string")
 
 
 def count_check(pairs):
