@@ -52,8 +52,8 @@ def join_keys(source, target, keys, mode="canonical"):
             s_exprs += _native_key(source[k], s)
             t_exprs += _native_key(target[k], t)
         elif mode == "strict" and type_class(s) != type_class(t):
-            s_exprs.append(F.lit("source"))
-            t_exprs.append(F.lit("target"))
+            s_exprs += [F.concat(F.lit("source "), *_canonical_key(source[k], s))]
+            t_exprs += [F.concat(F.lit("target "), *_canonical_key(target[k], t))]
         else:
             s_exprs += _canonical_key(source[k], s)
             t_exprs += _canonical_key(target[k], t)
