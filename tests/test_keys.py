@@ -79,6 +79,13 @@ def test_set_operations(spark, rows):
     assert rows(keys.key_intersection(a, b, ["k"])) == [(1,), (None,)]
     assert rows(keys.key_difference(a, b, ["k"])) == [(2,)]
     assert rows(keys.row_difference(a, b)) == [(1, "a"), (2, "b")]
+    assert rows(keys.row_surplus(a, b)) == [(1, "a", 1), (2, "b", 1)]
+
+
+def test_count_up_in_pieces(spark, rows):
+    df = spark.createDataFrame([("a", 5, 1), ("b", 10, 25), ("c", 0, 7)], "x string, s bigint, n bigint")
+    got = rows(keys.count_up(df, "s", "n", "i", chunk=7).select("x", "i"))
+    assert got == sorted([("a", 5)] + [("b", 10 + i) for i in range(25)] + [("c", i) for i in range(7)], key=repr)
 
 
 def test_first_n_per_group(spark, rows):

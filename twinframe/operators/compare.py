@@ -10,7 +10,7 @@ from twinframe.functions.types import FLOATS, TEXTS
 from twinframe.functions.values import (
     NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted,
     row_hash, truncate, unequal)
-from twinframe.operators.keys import first_n
+from twinframe.operators.keys import count_up, first_n
 from twinframe.shared import cut
 
 BUCKET_ROWS = 1_000_000  # most rows of a side that one positional task holds
@@ -239,7 +239,7 @@ def _runs(df, columns):
 def sorted_positions(df, columns):
     """Every row as text with its position in the text sort of all columns."""
     runs, _ = _runs(df, columns)
-    return runs.select(F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("position"), *columns)
+    return count_up(runs, "start", "n", "position").select("position", *columns)
 
 
 def positional_segments(source, target, columns=None):

@@ -188,10 +188,35 @@ def key_difference(source, target, keys):
     return source.select(*keys).subtract(target.select(*keys))
 
 
-def row_difference(source, target):
-    """Whole rows of `source` beyond their number in `target`, as a multiset."""
+def count_up(df, start, n, name, chunk=100_000):
+    """One row per number from `start` on, `n` (at least 1) of them.
+
+    A row with a large `n` is first cut into pieces that spread over the tasks.
+    """
+    numbers = lambda rows, first, count: rows.withColumn(
+        name, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)))
+    few = numbers(df.where(F.col(n) <= chunk), start, n).select(*df.columns, name)
+    many = df.where(F.col(n) > chunk)
+    pieces = many.withColumn("__piece", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / chunk)))).withColumn(
+        "__first", F.col(start) + F.col("__piece") * chunk).withColumn(
+        "__count", F.least(F.lit(chunk), F.col(n) - F.col("__piece") * chunk))
+    spread = pieces.repartition("__first", "__piece")
+    return few.unionByName(numbers(spread, "__first", "__count").select(*df.columns, name))
+
+
+def row_surplus(source, target):
+    """Whole rows that `source` has more often than `target`, with the `surplus`."""
     columns = sorted(set(source.columns) & set(target.columns))
-    return source.select(*columns).exceptAll(target.select(*columns))
+    signed = lambda df, n: df.select(*columns, F.lit(n).alias("n"))
+    return (signed(source, 1).unionByName(signed(target, -1)).groupBy(*columns)
+            .agg(F.sum("n").alias("surplus")).where("surplus > 0"))
+
+
+def row_difference(source, target):
+    """Whole rows of `source` beyond their number in `target`, each as often as it is in excess."""
+    surplus = row_surplus(atomic_frame(source), atomic_frame(target)).withColumn("__one", F.lit(1).cast("bigint"))
+    return count_up(surplus, "__one", "surplus", "__copy").drop("surplus", "__one", "__copy")
 
 
 def duplicates(df, keys):
