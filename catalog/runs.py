@@ -1,6 +1,9 @@
 """Whole validation runs."""
 
-from catalog.registry import LINE_KEYS, frame, query, table
+from pyspark.sql import functions as F
+
+from catalog.joins import ORDER_DIFFS
+from catalog.registry import LINE_KEYS, frame, query, table, with_views
 from twinframe.plans.suite import run_suite, summary_frame
 from twinframe.plans.validation import Options, validate
 
@@ -15,6 +18,42 @@ def run_validation(spark, sf):
     return validate(frame(spark, sf, "orders_src"), frame(spark, sf, "orders_tgt"), "o_orderkey", options).results
 
 
+def _run_sql():
+    counts = lambda agg, c: f"(SELECT {agg.format(c=c)} FROM orders_src) AS s, (SELECT {agg.format(c=c)} FROM cut) AS t"
+    text = lambda x: f"CAST({x} AS VARCHAR)"
+    parts = [
+        f"""SELECT 'record_count_check' AS validation, '' AS "column", CASE WHEN s = t THEN 'PASS' ELSE 'FAIL' END AS result,
+        concat('Source: ', s, ' rows, Target: ', t, ' rows (cut to matching keys)') AS detail,
+        {text('s')} AS source_value, {text('t')} AS target_value FROM (SELECT {counts('count(*)', '')}) AS n""",
+        f"""SELECT 'primary_key_match', '', CASE WHEN sk = common THEN 'PASS' ELSE 'FAIL' END,
+        concat('Common: ', common, ', Source-only: ', sk - common, ', Target-only: 0'), {text('sk')}, {text('common')} FROM m""",
+        f"""SELECT 'symmetric_difference_check', '', CASE WHEN sk = common THEN 'PASS' ELSE 'FAIL' END,
+        concat('Symmetric difference: ', sk - common, ' records (Source-only: ', sk - common, ', Target-only: 0)'),
+        {text('sk - common')}, '0' FROM m"""]
+    for c, test in ORDER_DIFFS.items():
+        parts.append(f"""SELECT 'data_validation', '{c}', 'FAIL', concat(count(*), ' mismatches in column {c}'), '', ''
+        FROM orders_src1 s JOIN orders_tgt1 t USING (o_orderkey) WHERE {test} HAVING count(*) > 0""")
+        parts.append(f"""SELECT 'null_check', '{c}', CASE WHEN s = t THEN 'PASS' ELSE 'FAIL' END,
+        concat('Source: ', s, ' nulls, Target: ', t, ' nulls'), {text('s')}, {text('t')}
+        FROM (SELECT {counts('count(*) - count({c})', c)}) AS n WHERE s > 0 OR t > 0""")
+        parts.append(f"""SELECT 'distinct_value_check', '{c}', 'FAIL', 'Distinct value count differs', {text('s')}, {text('t')}
+        FROM (SELECT {counts('count(DISTINCT {c})', c)}) AS n WHERE s <> t""")
+    return with_views("orders_src1", "orders_tgt1") + """
+, cut AS (SELECT * FROM orders_tgt WHERE o_orderkey IN (SELECT o_orderkey FROM orders_src)),
+m AS (SELECT (SELECT count(*) FROM orders_src1) AS sk,
+  (SELECT count(*) FROM orders_src1 JOIN orders_tgt1 USING (o_orderkey)) AS common)
+""" + " UNION ALL ".join(parts)
+
+
+@query("run_validation_checks", _run_sql())
+def run_validation_checks(spark, sf):
+    """The summary rows of a run with all checks."""
+    shown = ["record_count_check", "primary_key_match", "symmetric_difference_check", "data_validation", "null_check",
+             "distinct_value_check"]
+    out = validate(frame(spark, sf, "orders_src"), frame(spark, sf, "orders_tgt"), "o_orderkey", Options(regression=True))
+    return out.results.where(F.col("validation").isin(shown) & (F.col("pk") == "")).drop("pk")
+
+
 @query("run_validation_composite")
 def run_validation_composite(spark, sf):
     return validate(frame(spark, sf, "lines_src"), frame(spark, sf, "lines_tgt"), LINE_KEYS, Options(name="lines")).results

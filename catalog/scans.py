@@ -140,6 +140,15 @@ def scan_json_index(spark, sf):
     return files.read_file(spark, path, format="json", json_orient="index")
 
 
+@query("scan_json_columns", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer")
+def scan_json_columns(spark, sf):
+    rows = table(spark, sf, "customer")
+    by_row = lambda c: F.map_from_entries(F.collect_list(F.struct(F.col("c_custkey").cast("string"), c)))
+    body = F.to_json(F.struct(by_row(F.col("c_custkey").cast("string")).alias("key"), by_row(F.col("c_name")).alias("name")))
+    path = _json_documents(rows, spark, "json", "c_custkey", body)
+    return files.read_file(spark, path, format="json", json_orient="columns")
+
+
 @query("scan_json_values", "SELECT CAST(c_custkey AS VARCHAR) AS \"0\", c_name AS \"1\" FROM customer")
 def scan_json_values(spark, sf):
     rows = table(spark, sf, "customer")

@@ -55,6 +55,11 @@ def test_json_orients(spark, tmp_path, rows):
         files.read_json(spark, str(tmp_path), "split")
 
 
+def test_file_sizes(spark, tmp_path, rows):
+    path = put(tmp_path / "a.csv", "a,b\n")
+    assert [(r.path[-5:], r.bytes) for r in files.file_sizes(spark, path).collect()] == [("a.csv", 4)]
+
+
 def test_unknown_format(spark):
     with pytest.raises(ValueError, match="unsupported format"):
         files.read_file(spark, "book.xlsx")

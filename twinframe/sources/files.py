@@ -66,6 +66,12 @@ def read_parquet(spark, path):
     return lower_columns(spark.read.parquet(path))
 
 
+def file_sizes(spark, path):
+    """Path and size in bytes of the files below a path; their content is not read."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            .select("path", F.col("length").alias("bytes")))
+
+
 def read_file(spark, path, format=None, sep=",", encoding=None, json_orient="records", multi_line=True):
     """A file or folder of files in the given format, or the one its extension names."""
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
