@@ -26,50 +26,50 @@ def canon_sql(x):
 
 @query("fn_canon", with_views("written") + f"SELECT event_id, {canon_sql('written')} AS canon FROM written")
 def fn_canon(spark, sf):
-    return frame(spark, sf, "written").select("event_id", values.canon(F.col("written"), TEXT).alias("canon"))
+    return frame(spark, sf, "written").select("event_id", F.expr(values.canon("written", TEXT)).alias("canon"))
 
 
 @query("fn_equal", with_views("written") + f"""
 SELECT event_id, {canon_sql('written')} IS NOT DISTINCT FROM concat('n:', CAST(number AS VARCHAR)) AS equal FROM written""")
 def fn_equal(spark, sf):
     return frame(spark, sf, "written").select(
-        "event_id", (~values.unequal(F.col("written"), F.col("number"), TEXT, LONG)).alias("equal"))
+        "event_id", (~F.expr(values.unequal("written", "number", TEXT, LONG))).alias("equal"))
 
 
 @query("fn_format_pk", with_views("written") + """
 SELECT event_id, concat('id=', CAST(event_id AS VARCHAR), ', code=',
   CASE WHEN written IS NULL THEN 'nan' ELSE concat('''', written, '''') END) AS pk FROM written""")
 def fn_format_pk(spark, sf):
-    key = [("id", F.col("event_id"), LONG), ("code", F.col("written"), TEXT)]
-    return frame(spark, sf, "written").select("event_id", values.format_key(key).alias("pk"))
+    key = [("id", "event_id", LONG), ("code", "written", TEXT)]
+    return frame(spark, sf, "written").select("event_id", F.expr(values.format_key(key)).alias("pk"))
 
 
 @query("fn_truncate", """
 SELECT doc_id, CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 97), '...') ELSE text END AS short
 FROM documents""")
 def fn_truncate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", values.truncate(F.col("text")).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(values.truncate("text")).alias("short"))
 
 
 @query("fn_safe_repr", """
 SELECT doc_id, CASE WHEN length(text) > 98 THEN concat('''', substring(text, 1, 96), '...') ELSE concat('''', text, '''') END
   AS shown FROM documents""")
 def fn_safe_repr(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", values.safe_repr(F.col("text"), TEXT).alias("shown"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(values.safe_repr("text", TEXT)).alias("shown"))
 
 
 @query("fn_row_hash", """
 SELECT doc_id, md5(concat_ws('|', text, lang, source)) AS md5_hash, sha256(concat_ws('|', text, lang, source)) AS sha256_hash
 FROM documents""")
 def fn_row_hash(spark, sf):
-    cells = [(F.col(c), TEXT) for c in ("text", "lang", "source")]
+    cells = [(c, TEXT) for c in ("text", "lang", "source")]
     return table(spark, sf, "documents").select(
-        "doc_id", values.row_hash(cells).alias("md5_hash"), values.row_hash(cells, "sha256").alias("sha256_hash"))
+        "doc_id", F.expr(values.row_hash(cells)).alias("md5_hash"), F.expr(values.row_hash(cells, "sha256")).alias("sha256_hash"))
 
 
 @query("fn_is_ascii", "SELECT doc_id, strlen(text) = length(text) AS ascii FROM documents")
 def fn_is_ascii(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", values.is_ascii(F.col("text")).alias("ascii"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(values.is_ascii("text")).alias("ascii"))
 
 
 DATE_TEXT = """CASE o_orderkey % 5 WHEN 0 THEN {ts} WHEN 1 THEN {day} WHEN 2 THEN concat(' ', {day}, 'x')
@@ -81,8 +81,8 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 2 THEN strftime(o_orderdate, '%Y-%
 def fn_parse_date(spark, sf):
     text = F.expr(DATE_TEXT.format(ts="date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')",
                                    day="date_format(o_orderdate, 'yyyy-MM-dd')"))
-    return table(spark, sf, "orders").select(
-        "o_orderkey", F.date_format(values.parse_date(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+    written = table(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+    return written.select("o_orderkey", F.date_format(F.expr(values.parse_date("written")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query("fn_slug", """

@@ -1,6 +1,8 @@
-"""Column expressions for comparing, formatting and hashing values.
+"""Expressions for comparing, formatting and hashing values.
 
-Everything here is a built-in Spark expression, so it stays in generated code.
+The functions that checks apply to every column take and return SQL expression
+text: a check over many columns is then one parsed expression instead of
+thousands of calls into the JVM. Everything is built-in Spark SQL.
 """
 
 from pyspark.sql import functions as F
@@ -8,80 +10,88 @@ from pyspark.sql import types as T
 
 from twinframe.functions.types import DATES, FLOATS, NESTED, TEXTS
 
-EXACT_DOUBLE = float(2**53)  # integers below this are exact in a double
+EXACT_DOUBLE = 2**53  # integers below this are exact in a double
 NULL_TEXT = "nan"
 
+# The characters Python strips as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NUMBER = rf"^[{_SPACES}]*[+-]?[0-9]+(\.[0-9]*)?[{_SPACES}]*\z"
+# A whole number without padding, or a decimal of at most 15 digits without padding (so that
+# different texts are different doubles), or text that starts and ends like no number.
+_OWN_KEY = (r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]|"
+            rf"[^{_SPACES}0-9+-](?s:.*[^{_SPACES}])?)\z")
 
-def is_missing(c, dtype):
-    """Null, or NaN in a floating-point column."""
-    return c.isNull() | F.isnan(c) if isinstance(dtype, FLOATS) else c.isNull()
+# First and last time that counts as a date.
+FIRST_TIME, LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 
 
-def without_nan(c, dtype):
-    return F.when(~F.isnan(c), c) if isinstance(dtype, FLOATS) else c
+def name(*path):
+    """A column or field reference."""
+    return ".".join("`" + p.replace("`", "``") + "`" for p in path)
 
 
-# The characters Python strips as white space.
-WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + (
-    "\u2028\u2029\u202f\u205f\u3000")
-_SPACES = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+def text(value):
+    """A string literal."""
+    return "'" + value.replace("'", "''") + "'"
 
 
-def trim_text(c):
-    """Strip every kind of Unicode white space from both ends."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+def missing(x, dtype):
+    """Null, or NaN in a floating-point column."""
+    return f"({x} IS NULL OR isnan({x}))" if isinstance(dtype, FLOATS) else f"({x} IS NULL)"
 
 
-def _number_key(d):
-    whole = (F.abs(d) < EXACT_DOUBLE) & (d == F.floor(d))
-    text = F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
-    return F.when(d.isNotNull() & ~F.isnan(d), F.concat(F.lit("n:"), text))
+def without_nan(x, dtype):
+    return f"if(isnan({x}), NULL, {x})" if isinstance(dtype, FLOATS) else x
 
 
-def _text_key(c):
-    # One regular expression tells numbers from text; the rest is plain trimming.
-    digits = F.rtrim(F.ltrim(c, F.lit(WHITE_SPACE + "+-0")), F.lit(WHITE_SPACE))
-    whole = (F.when(digits == "", F.lit("n:0")).when(F.contains(c, F.lit("-")), F.concat(F.lit("n:-"), digits))
-             .otherwise(F.concat(F.lit("n:"), digits)))
-    return (
-        F.when(c.isNull(), F.lit(None).cast("string"))
-        .when(~c.rlike(rf"^{_SPACES}*[+-]?[0-9]+(\.[0-9]*)?{_SPACES}*\z"), F.concat(F.lit("s:"), trim_text(c)))
-        .when(F.contains(c, F.lit(".")), _number_key(trim_text(c).try_cast("double")))
-        .otherwise(whole)
-    )
+def trim_text(x):
+    """Strip every kind of Unicode white space from both ends."""
+    return f"trim(BOTH {text(WHITE_SPACE)} FROM {x})"
 
 
-# A whole number without padding, or a decimal of at most 15 digits without padding (so that
-# different texts are different doubles), or text that starts and ends like no number.
-_OWN_KEY = (r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]|"
-            rf"[^{_SPACES[1:-1]}0-9+-](?s:.*[^{_SPACES[1:-1]}])?)\z")
+def _number_key(d):
+    return (f"CASE WHEN {d} IS NULL OR isnan({d}) THEN NULL "
+            f"WHEN abs({d}) < {EXACT_DOUBLE} AND {d} = floor({d}) THEN concat('n:', CAST(CAST({d} AS BIGINT) AS STRING)) "
+            f"ELSE concat('n:', CAST({d} AS STRING)) END")
 
 
-def _is_own_key(c):
-    """Text that coercion keeps distinct from every other such text."""
-    return F.coalesce(c.rlike(_OWN_KEY), F.lit(False))
+def _text_key(x):
+    # One regular expression tells numbers from text; the rest is plain trimming.
+    digits = f"trim(TRAILING {text(WHITE_SPACE)} FROM trim(LEADING {text(WHITE_SPACE + '+-0')} FROM {x}))"
+    return (f"CASE WHEN {x} IS NULL THEN NULL "
+            f"WHEN NOT {x} RLIKE r'{_NUMBER}' THEN concat('s:', {trim_text(x)}) "
+            f"WHEN contains({x}, '.') THEN {_number_key(f'try_cast({trim_text(x)} AS DOUBLE)')} "
+            f"WHEN {digits} = '' THEN 'n:0' "
+            f"WHEN contains({x}, '-') THEN concat('n:-', {digits}) ELSE concat('n:', {digits}) END")
 
 
-def canon(c, dtype):
+def canon(x, dtype):
     """Type-independent comparison text: numbers `n:`, text `s:`, times `t:`; null for missing."""
     if isinstance(dtype, T.NullType):
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     if isinstance(dtype, TEXTS):
-        return _text_key(c)
+        return _text_key(x)
     if isinstance(dtype, T.BinaryType):
-        return _text_key(c.cast("string"))
+        return _text_key(f"CAST({x} AS STRING)")
     if isinstance(dtype, T.BooleanType):
-        return F.when(c, F.lit("n:1")).when(~c, F.lit("n:0"))
+        return f"CASE WHEN {x} THEN 'n:1' WHEN NOT {x} THEN 'n:0' END"
     if isinstance(dtype, T.IntegralType):
-        return F.concat(F.lit("n:"), c.cast("string"))
+        return f"concat('n:', CAST({x} AS STRING))"
     if isinstance(dtype, FLOATS):
-        return _number_key(c.cast("double"))
+        return _number_key(f"CAST({x} AS DOUBLE)")
     if isinstance(dtype, T.DecimalType):
-        whole = F.concat(F.lit("n:"), c.cast(T.DecimalType(38, 0)).cast("string"))
-        return F.when(c == F.floor(c), whole).otherwise(_number_key(c.cast("double")))
+        return (f"CASE WHEN {x} = floor({x}) THEN concat('n:', CAST(CAST({x} AS DECIMAL(38, 0)) AS STRING)) "
+                f"ELSE {_number_key(f'CAST({x} AS DOUBLE)')} END")
     if isinstance(dtype, DATES):
-        return F.concat(F.lit("t:"), c.cast("string"))
-    return F.concat(F.lit("s:"), F.to_json(c))
+        return f"concat('t:', CAST({x} AS STRING))"
+    return f"concat('s:', to_json({x}))"
+
+
+def _is_own_key(x):
+    """Text that coercion keeps distinct from every other such text."""
+    return f"coalesce({x} RLIKE r'{_OWN_KEY}', FALSE)"
 
 
 def unequal(s, t, s_type, t_type):
@@ -91,102 +101,101 @@ def unequal(s, t, s_type, t_type):
     expensive part; two missing values are equal.
     """
     if s_type == t_type and not isinstance(s_type, (*TEXTS, *NESTED, T.BinaryType)):
-        return ~without_nan(s, s_type).eqNullSafe(without_nan(t, t_type))
+        return f"(NOT ({without_nan(s, s_type)} <=> {without_nan(t, t_type)}))"
     # The coercion is bulky code. Inside a lambda it stays out of the generated
     # method, which would otherwise grow too long to be compiled for wide tables.
-    coerced = F.exists(F.array(F.struct(s.alias("s"), t.alias("t"))),
-                       lambda pair: ~canon(pair["s"], s_type).eqNullSafe(canon(pair["t"], t_type)))
+    coerced = (f"exists(array(named_struct('s', {s}, 't', {t})), "
+               f"p -> NOT ({canon('p.s', s_type)} <=> {canon('p.t', t_type)}))")
     if isinstance(s_type, TEXTS) and isinstance(t_type, TEXTS):
-        return ~s.eqNullSafe(t) & ((_is_own_key(s) & _is_own_key(t)) | coerced)
-    return ~s.eqNullSafe(t) & coerced if s_type == t_type else coerced
+        return f"(NOT ({s} <=> {t}) AND (({_is_own_key(s)} AND {_is_own_key(t)}) OR {coerced}))"
+    return f"(NOT ({s} <=> {t}) AND {coerced})" if s_type == t_type else f"({coerced})"
 
 
-def atomic(c, dtype):
+def atomic(x, dtype):
     """Nested values as JSON text, binary as text, all else as it is."""
     if isinstance(dtype, NESTED):
-        return F.to_json(c)
-    if isinstance(dtype, T.BinaryType):
-        return c.cast("string")
-    return c
+        return f"to_json({x})"
+    return f"CAST({x} AS STRING)" if isinstance(dtype, T.BinaryType) else x
 
 
 def atomic_frame(df):
     """The frame with every column comparable and orderable; untouched if it already is."""
     if not any(isinstance(f.dataType, (*NESTED, T.BinaryType)) for f in df.schema):
         return df
-    return df.select(*[atomic(df[f.name], f.dataType).alias(f.name) for f in df.schema])
+    return df.selectExpr(*[f"{atomic(name(f.name), f.dataType)} AS {name(f.name)}" for f in df.schema])
 
 
-def as_text(c, dtype, null_text=NULL_TEXT):
+def as_text(x, dtype):
     """Text of a cell with missing values spelled out."""
-    return F.coalesce(without_nan(c, dtype).cast("string"), F.lit(null_text))
+    return f"coalesce(CAST({without_nan(x, dtype)} AS STRING), '{NULL_TEXT}')"
 
 
-def truncate(c, length=100):
-    return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length - 3), F.lit("..."))).otherwise(c)
+def truncate(x, length=100):
+    return f"if(length({x}) > {length}, concat(substring({x}, 1, {length - 3}), '...'), {x})"
 
 
-def quoted(c, dtype):
-    """Readable form of a value: text and times in quotes, numbers plain."""
-    text = as_text(c, dtype)
-    if is_quoted(dtype):
-        return F.when(c.isNull(), text).otherwise(F.concat(F.lit("'"), text, F.lit("'")))
-    return text
+def is_quoted(dtype):
+    return isinstance(dtype, (*TEXTS, *DATES))
 
 
-def safe_repr(c, dtype, length=100):
-    return truncate(quoted(c, dtype), length)
+def quoted(x, dtype):
+    """Readable form of a value: text and times in quotes, numbers plain."""
+    if is_quoted(dtype):
+        return f"if({x} IS NULL, '{NULL_TEXT}', concat('''', CAST({x} AS STRING), ''''))"
+    return as_text(x, dtype)
 
 
-def is_quoted(dtype):
-    return isinstance(dtype, (*TEXTS, *DATES))
+def safe_repr(x, dtype, length=100):
+    return truncate(quoted(x, dtype), length)
 
 
 def format_key(columns):
-    """`id=123, code='abc'` from [(name, column, dtype)]."""
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), quoted(c, t)) for n, c, t in columns])
+    """`id=123, code='abc'` from [(name, expression, dtype)]."""
+    parts = [f"concat({text(n + '=')}, {quoted(x, t)})" for n, x, t in columns]
+    return f"concat_ws(', ', {', '.join(parts)})"
 
 
 def row_hash(columns, algo="md5"):
-    """Hash of the `|`-joined text of [(column, dtype)]."""
-    joined = F.concat_ws("|", *[as_text(c, t) for c, t in columns])
+    """Hash of the `|`-joined text of [(expression, dtype)]."""
+    joined = f"CAST(concat_ws('|', {', '.join(as_text(x, t) for x, t in columns) or text('')}) AS BINARY)"
     if algo == "md5":
-        return F.md5(joined.cast("binary"))
+        return f"md5({joined})"
     if algo == "sha256":
-        return F.sha2(joined.cast("binary"), 256)
+        return f"sha2({joined}, 256)"
     raise ValueError(f"unknown hash '{algo}', expected md5 or sha256")
 
 
-def is_ascii(c):
-    return ~c.rlike(r"[^\x00-\x7F]")
+def is_ascii(x):
+    return rf"(NOT {x} RLIKE r'[^\x00-\x7F]')"
 
 
 def differs_in_case(s, t):
-    return (s != t) & (F.lower(s) == F.lower(t))
+    return f"({s} <> {t} AND lower({s}) = lower({t}))"
 
 
-def _drop_first_zero(c):
-    at = F.locate("0", c)
-    return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.substring(c, at + 1, F.length(c)))).otherwise(c)
+def _drop_first_zero(x):
+    at = f"locate('0', {x})"
+    return f"if({at} > 0, concat(substring({x}, 1, {at} - 1), substring({x}, {at} + 1)), {x})"
 
 
 def differs_in_leading_zero(s, t):
     """Exactly one side starts with `0`, and dropping the first `0` of both makes them equal."""
-    return (s != t) & (s.startswith("0") != t.startswith("0")) & (_drop_first_zero(s) == _drop_first_zero(t))
+    return (f"({s} <> {t} AND startswith({s}, '0') <> startswith({t}, '0') "
+            f"AND {_drop_first_zero(s)} = {_drop_first_zero(t)})")
 
 
 def differs_in_ascii(s, t):
-    return (s != t) & (is_ascii(s) != is_ascii(t))
+    return f"({s} <> {t} AND {is_ascii(s)} <> {is_ascii(t)})"
 
 
-# First and last time that counts as a date.
-FIRST_TIME, LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+def parse_date(x, fmt=None):
+    """Timestamp without zone from text; null where it does not parse or is out of range."""
+    parsed = f"CAST(try_to_timestamp({x}{', ' + text(fmt) if fmt else ''}) AS TIMESTAMP_NTZ)"
+    return (f"CASE WHEN {parsed} BETWEEN TIMESTAMP_NTZ'{FIRST_TIME}' AND TIMESTAMP_NTZ'{LAST_TIME}' "
+            f"THEN {parsed} END")
 
 
-def parse_date(c, fmt=None):
-    """Timestamp without zone from text; null where it does not parse or is out of range."""
-    parsed = (F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)).cast("timestamp_ntz")
-    return F.when(parsed.between(F.lit(FIRST_TIME).cast("timestamp_ntz"), F.lit(LAST_TIME).cast("timestamp_ntz")), parsed)
+# Single-column functions, on columns.
 
 
 def slug(c, length=40):

@@ -123,9 +123,17 @@ def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
     return samples.groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
 
 
+def collect_forest(forest):
+    """The trees as rows, for scoring more than once; bounded by trees times sample size."""
+    return forest.orderBy("tree_id").collect()
+
+
 def score_rows(df, columns, forest):
-    """The frame with `anomaly_score`: near -1 for outliers, 0 for rows with a missing value."""
-    trees = forest.orderBy("tree_id").collect()  # bounded: n_trees complete trees of the sample size
+    """The frame with `anomaly_score`: near -1 for outliers, 0 for rows with a missing value.
+
+    `forest` is the frame from `fit_forest` or its collected trees.
+    """
+    trees = forest if isinstance(forest, list) else collect_forest(forest)
     size, depth = max(t.size for t in trees), trees[0].depth
     norm = 2.0 * (math.log(size - 1) + 0.5772156649015329) - 2.0 * (size - 1) / size if size > 2 else 1.0
     sent = df.sparkSession.sparkContext.broadcast([

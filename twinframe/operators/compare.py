@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from twinframe.functions.types import FLOATS, TEXTS
 from twinframe.functions.values import (
-    NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted,
-    row_hash, truncate, unequal)
+    NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted, name,
+    row_hash, text, truncate, unequal)
 from twinframe.operators.keys import count_up, first_n
 from twinframe.shared import cut
 
@@ -17,7 +17,7 @@ BUCKET_ROWS = 1_000_000  # most rows of a side that one positional task holds
 
 
 def _cells(pair, column):
-    return F.col(f"s.{column}"), F.col(f"t.{column}")
+    return name("s", column), name("t", column)
 
 
 def _differs(pair, column):
@@ -25,41 +25,47 @@ def _differs(pair, column):
     return unequal(s, t, pair.s_type(column), pair.t_type(column))
 
 
+def _struct(**fields):
+    return "named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")"
+
+
+def _array(items):
+    return f"array({', '.join(items)})"
+
+
 def mismatch_counts(pair, columns=None):
     """(column, compared, mismatches) for every common column, one aggregate over one join."""
     columns = columns or pair.columns
-    counted = pair.matched().agg(
-        F.count(F.lit(1)).alias("compared"),
-        *[F.count_if(_differs(pair, c)).alias(f"m{i}") for i, c in enumerate(columns)])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col("compared"), F.col(f"m{i}").alias("mismatches"))
-        for i, c in enumerate(columns)])))
+    counted = pair.matched().selectExpr(
+        "count(1) AS compared", *[f"count_if({_differs(pair, c)}) AS m{i}" for i, c in enumerate(columns)])
+    rows = [_struct(column=text(c), compared="compared", mismatches=f"m{i}") for i, c in enumerate(columns)]
+    return counted.selectExpr(f"inline({_array(rows)})")
 
 
-def _raw(c, length=101):
+def _raw(x, length=101):
     """Start of a cell as text: enough to show, however long the cell is."""
-    return F.substring(c.cast("string"), 1, length)
+    return f"substring(CAST({x} AS STRING), 1, {length})"
 
 
-def _shown(pair, column, value, side):
-    """A raw cell as shown in reports: text and times in quotes, null as `nan`, 100 characters at most."""
+def _shown(pair, value, side):
+    """A raw cell of column `column` as shown: text and times in quotes, null as `nan`, 100 characters at most."""
     schema = pair.s_schema if side == "s" else pair.t_schema
-    in_quotes = [c for c in pair.columns if is_quoted(schema[c].dataType)]
-    marked = F.concat(F.lit("'"), value, F.lit("'"))
-    text = F.when(column.isin(in_quotes), marked).otherwise(value) if in_quotes else value
-    return truncate(F.coalesce(text, F.lit(NULL_TEXT)))
+    in_quotes = [text(c) for c in pair.columns if is_quoted(schema[c].dataType)]
+    marked = f"if(`column` IN ({', '.join(in_quotes)}), concat('''', {value}, ''''), {value})" if in_quotes else value
+    return truncate(f"coalesce({marked}, '{NULL_TEXT}')")
 
 
 def mismatches(pair, columns=None):
     """Every unequal cell: key columns, `pk`, column, source_value, target_value."""
     def cell(c):
         s, t = _cells(pair, c)
-        return F.when(_differs(pair, c), F.struct(
-            F.lit(c).alias("column"), _raw(s).alias("source_value"), _raw(t).alias("target_value")))
-    cells = F.array_compact(F.array(*[cell(c) for c in columns or pair.columns]))
-    found = pair.matched().select(*pair.key_names, pair.key_text(), F.inline(cells))
-    return found.select(*pair.key_names, "pk", "column", *[
-        _shown(pair, F.col("column"), F.col(v), v[0]).alias(v) for v in ("source_value", "target_value")])
+        found = _struct(column=text(c), source_value=_raw(s), target_value=_raw(t))
+        return f"CASE WHEN {_differs(pair, c)} THEN {found} END"
+    cells = [cell(c) for c in columns or pair.columns]
+    found = pair.matched().selectExpr(
+        *pair.key_names, f"{pair.key_text()} AS pk", f"inline(array_compact({_array(cells)}))")
+    return found.selectExpr(
+        *pair.key_names, "pk", "`column`", *[f"{_shown(pair, v, v[0])} AS {v}" for v in ("source_value", "target_value")])
 
 
 def mismatch_examples(pair, n=3, columns=None):
@@ -76,10 +82,12 @@ TEXT_RULES = {
 }
 
 
+TEXT_CHECK_SCHEMA = "validation string, column string, hits bigint, pk string, source_value string, target_value string"
+
+
 def _rule_columns(pair, rule):
-    text = lambda dtype: isinstance(dtype, TEXTS)
     need = any if rule == "leading_zero_check" else all
-    return [c for c in pair.columns if need([text(pair.s_type(c)), text(pair.t_type(c))])]
+    return [c for c in pair.columns if need(isinstance(t, TEXTS) for t in (pair.s_type(c), pair.t_type(c)))]
 
 
 def text_check(pair, rules=tuple(TEXT_RULES), sample_rows=None):
@@ -88,27 +96,21 @@ def text_check(pair, rules=tuple(TEXT_RULES), sample_rows=None):
     All matched rows are looked at; `sample_rows` limits that to the first
     rows by key.
     """
-    order = F.struct(*pair.key_names)
     checks = [(r, c) for r in rules for c in _rule_columns(pair, r)]
-    aggs = []
+    aggs, out = [], []
     for i, (rule, c) in enumerate(checks):
-        s, t = (F.col(f"{p}.{c}").cast("string") for p in "st")
-        hit = F.struct(order.alias("o"), F.col("pk"), s.alias("sv"), t.alias("tv"))
-        hits = TEXT_RULES[rule](s, t)
-        aggs += [F.count_if(hits).alias(f"n{i}"), F.min(F.when(hits, hit)).alias(f"e{i}")]
-    rows = pair.matched().withColumn("pk", pair.key_text())
+        s, t = (f"CAST({x} AS STRING)" for x in _cells(pair, c))
+        hit = TEXT_RULES[rule](s, t)
+        first = f"struct(struct({', '.join(pair.key_names)}) AS o, pk, {s} AS sv, {t} AS tv)"
+        aggs += [f"count_if({hit}) AS n{i}", f"min(CASE WHEN {hit} THEN {first} END) AS e{i}"]
+        out.append(_struct(validation=text(rule), column=text(c), hits=f"n{i}", pk=f"e{i}.pk",
+                           source_value=f"e{i}.sv", target_value=f"e{i}.tv"))
+    rows = pair.matched().selectExpr("*", f"{pair.key_text()} AS pk")
     if sample_rows:
         rows = rows.orderBy(*pair.key_names).limit(sample_rows)
-    out = [
-        F.struct(F.lit(rule).alias("validation"), F.lit(c).alias("column"), F.col(f"n{i}").alias("hits"),
-                 F.col(f"e{i}.pk").alias("pk"), F.col(f"e{i}.sv").alias("source_value"),
-                 F.col(f"e{i}.tv").alias("target_value"))
-        for i, (rule, c) in enumerate(checks)]
     if not checks:
-        return rows.agg(F.count(F.lit(1)).alias("hits")).where("hits < 0").select(
-            F.lit("").alias("validation"), F.lit("").alias("column"), "hits",
-            *[F.lit("").alias(x) for x in ("pk", "source_value", "target_value")])
-    return rows.agg(*aggs).select(F.inline(F.array(*out)))
+        return rows.sparkSession.createDataFrame([], TEXT_CHECK_SCHEMA)
+    return rows.selectExpr(*aggs).selectExpr(f"inline({_array(out)})")
 
 
 def row_hashes(pair, algo="md5", parity=False):
@@ -120,10 +122,10 @@ def row_hashes(pair, algo="md5", parity=False):
     """
     def side(p, schema):
         names = schema.names if parity else pair.columns
-        return row_hash([(F.col(f"{p}.{c}"), schema[c].dataType) for c in names if c not in pair.keys], algo)
-    return pair.matched().select(
-        *pair.key_names, pair.key_text(), side("s", pair.s_schema).alias("source_hash"),
-        side("t", pair.t_schema).alias("target_hash"))
+        return row_hash([(name(p, c), schema[c].dataType) for c in names if c not in pair.keys], algo)
+    return pair.matched().selectExpr(
+        *pair.key_names, f"{pair.key_text()} AS pk", f"{side('s', pair.s_schema)} AS source_hash",
+        f"{side('t', pair.t_schema)} AS target_hash")
 
 
 def checksum_counts(hashes):
@@ -149,42 +151,40 @@ def findings(pair, text_rules=(), checksum=False, algo="md5"):
     `found` is empty for keys without a finding, so the frame is narrow; the
     key is spelled out in `pk` only where something was found.
     """
-    s_there, t_there = F.col("s").isNotNull(), F.col("t").isNotNull()
-    both = s_there & t_there
+    both = "(s IS NOT NULL AND t IS NOT NULL)"
 
-    def entry(kind, test, column="", sv=F.lit(""), tv=F.lit("")):
-        return F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"),
-                                     sv.alias("source_value"), tv.alias("target_value")))
+    def entry(kind, test, column="", sv="''", tv="''"):
+        found = _struct(kind=text(kind), column=text(column), source_value=sv, target_value=tv)
+        return f"CASE WHEN {test} THEN {found} END"
 
     entries = [
-        entry("source_dup", F.col("s_n") > 1, sv=F.col("s_n").cast("string")),
-        entry("target_dup", F.col("t_n") > 1, tv=F.col("t_n").cast("string")),
-        entry("source_only", s_there & ~t_there, sv=F.lit("EXISTS"), tv=F.lit("MISSING")),
-        entry("target_only", t_there & ~s_there, sv=F.lit("MISSING"), tv=F.lit("EXISTS")),
+        entry("source_dup", "s_n > 1", sv="CAST(s_n AS STRING)"),
+        entry("target_dup", "t_n > 1", tv="CAST(t_n AS STRING)"),
+        entry("source_only", "s IS NOT NULL AND t IS NULL", sv="'EXISTS'", tv="'MISSING'"),
+        entry("target_only", "t IS NOT NULL AND s IS NULL", sv="'MISSING'", tv="'EXISTS'"),
     ]
     for c in pair.columns:
         s, t = _cells(pair, c)
-        entries.append(entry("value", both & _differs(pair, c), c, _raw(s), _raw(t)))
+        entries.append(entry("value", f"{both} AND {_differs(pair, c)}", c, _raw(s), _raw(t)))
     for rule in text_rules:
         for c in _rule_columns(pair, rule):
-            s, t = (x.cast("string") for x in _cells(pair, c))
-            entries.append(entry(rule, both & TEXT_RULES[rule](s, t), c, _raw(s), _raw(t)))
+            s, t = (f"CAST({x} AS STRING)" for x in _cells(pair, c))
+            entries.append(entry(rule, f"{both} AND {TEXT_RULES[rule](s, t)}", c, _raw(s), _raw(t)))
     if checksum:
         s_hash, t_hash = (
-            row_hash([(F.col(f"{p}.{c}"), schema[c].dataType) for c in pair.columns if c not in pair.keys], algo)
+            row_hash([(name(p, c), schema[c].dataType) for c in pair.columns if c not in pair.keys], algo)
             for p, schema in (("s", pair.s_schema), ("t", pair.t_schema)))
         # Rows whose cells read the same need no hash.
-        texts_differ = F.lit(False)
+        differ = []
         for c in pair.columns:
             s, t = _cells(pair, c)
-            same = s.eqNullSafe(t) if pair.s_type(c) == pair.t_type(c) and not isinstance(
-                pair.s_type(c), FLOATS) else s.cast("string").eqNullSafe(t.cast("string"))
-            texts_differ = texts_differ | ~same
-        entries.append(entry("checksum", both & texts_differ & (s_hash != t_hash), "",
-                             F.substring(s_hash, 1, 16), F.substring(t_hash, 1, 16)))
-    rows = pair.frame.select(*pair.key_names, both.alias("both"), pair.key_text(),
-                             F.array_compact(F.array(*entries)).alias("found"))
-    return rows.withColumn("pk", F.when(F.size("found") > 0, F.col("pk")))
+            typed = pair.s_type(c) == pair.t_type(c) and not isinstance(pair.s_type(c), FLOATS)
+            differ.append(f"NOT ({s} <=> {t})" if typed else f"NOT (CAST({s} AS STRING) <=> CAST({t} AS STRING))")
+        test = f"{both} AND ({' OR '.join(differ)}) AND {s_hash} <> {t_hash}"
+        entries.append(entry("checksum", test, "", f"substring({s_hash}, 1, 16)", f"substring({t_hash}, 1, 16)"))
+    rows = pair.frame.selectExpr(*pair.key_names, f"{both} AS `both`", f"{pair.key_text()} AS pk",
+                                 f"array_compact({_array(entries)}) AS found")
+    return rows.withColumn("pk", F.expr("if(size(found) > 0, pk, NULL)"))
 
 
 def finding_counts(found):
@@ -204,7 +204,7 @@ def finding_examples(found, pair):
     cap = F.lit(1)
     for kind, n in EXAMPLES.items():
         cap = F.when(F.col("kind") == kind, F.lit(n)).otherwise(cap)
-    shown = lambda v: F.when(F.col("kind") == "value", _shown(pair, F.col("column"), F.col(v), v[0])).otherwise(F.col(v))
+    shown = lambda v: F.expr(f"if(kind = 'value', {_shown(pair, v, v[0])}, {v})")
     return ranked.where(F.col("__rank") <= cap).select(
         "kind", "column", F.col("__rank").alias("example"), "pk",
         *[shown(v).alias(v) for v in ("source_value", "target_value")])
@@ -219,7 +219,7 @@ def _runs(df, columns):
     times sorts as a single row.
     """
     runs = (
-        df.select(*[as_text(df[c], df.schema[c].dataType).alias(c) for c in columns])
+        df.selectExpr(*[f"{as_text(name(c), df.schema[c].dataType)} AS {name(c)}" for c in columns])
         .groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     )
     # Written once: positions below rely on one fixed split into sorted parts.
@@ -257,7 +257,7 @@ def positional_segments(source, target, columns=None):
     parallel = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = min(BUCKET_ROWS, max(1024, -(-rows // (4 * parallel))))
 
-    def pieces(runs, name, other):
+    def pieces(runs, side, other):
         stop = F.least(F.col("start") + F.col("n"), F.lit(rows))
         row = F.struct(*columns)
         empty = F.lit(None).cast(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
@@ -266,7 +266,7 @@ def positional_segments(source, target, columns=None):
             .withColumn("bucket", F.explode(F.sequence(
                 F.floor(F.col("start") / width), F.floor((stop - 1) / width))))
             .select("bucket", F.greatest("start", F.col("bucket") * width).alias("position"),
-                    row.alias(name), empty.alias(other)))
+                    row.alias(side), empty.alias(other)))
 
     merged = pieces(s_runs, "s", "t").unionByName(pieces(t_runs, "t", "s"))
     upto = Window.partitionBy("bucket").orderBy("position")
@@ -282,31 +282,27 @@ def positional_segments(source, target, columns=None):
 
 
 def _text_differs(column):
-    s, t = F.col(f"s.{column}"), F.col(f"t.{column}")
-    return unequal(s, t, T.StringType(), T.StringType())
+    return unequal(name("s", column), name("t", column), T.StringType(), T.StringType())
 
 
 def positional_mismatch_counts(segments):
     """(column, compared, mismatches) per column."""
     columns = segments.schema["s"].dataType.names
-    counted = segments.agg(
-        F.coalesce(F.sum("length"), F.lit(0)).alias("compared"),
-        *[F.coalesce(F.sum(F.when(_text_differs(c), F.col("length"))), F.lit(0)).alias(f"m{i}")
-          for i, c in enumerate(columns)])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col("compared"), F.col(f"m{i}").alias("mismatches"))
-        for i, c in enumerate(columns)])))
+    counted = segments.selectExpr(
+        "coalesce(sum(length), 0) AS compared",
+        *[f"coalesce(sum(if({_text_differs(c)}, length, 0)), 0) AS m{i}" for i, c in enumerate(columns)])
+    rows = [_struct(column=text(c), compared="compared", mismatches=f"m{i}") for i, c in enumerate(columns)]
+    return counted.selectExpr(f"inline({_array(rows)})")
 
 
 def positional_mismatch_examples(segments, n=100):
     """The first n unequal cells by (position, column)."""
+    def cell(c):
+        shown = lambda x: f"substring(concat('''', {x}, ''''), 1, 100)"
+        found = _struct(column=text(c), source_value=shown(name("s", c)), target_value=shown(name("t", c)))
+        return f"CASE WHEN {_text_differs(c)} THEN {found} END"
     columns = segments.schema["s"].dataType.names
-    cells = F.array_compact(F.array(*[
-        F.when(_text_differs(c), F.struct(
-            F.lit(c).alias("column"), F.substring(F.concat(F.lit("'"), F.col(f"s.{c}"), F.lit("'")), 1, 100)
-            .alias("source_value"),
-            F.substring(F.concat(F.lit("'"), F.col(f"t.{c}"), F.lit("'")), 1, 100).alias("target_value")))
-        for c in columns]))
+    cells = F.expr(f"array_compact({_array([cell(c) for c in columns])})")
     hits = segments.select("position", "length", F.inline(cells))
     # A stretch can supply n examples at most, so only its first n positions are listed.
     last = F.col("position") + F.least(F.col("length"), F.lit(n)) - 1

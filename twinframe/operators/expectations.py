@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.types import DATES, TEXTS, family, is_type
-from twinframe.functions.values import as_text, is_missing, without_nan
+from twinframe.functions.values import as_text, missing, name, without_nan
 from twinframe.operators.keys import duplicates, keep_keys
 from twinframe.operators.profile import distinct_counts
 
@@ -35,15 +35,15 @@ class RuleError(ValueError):
 
 
 def _require(rule, *names):
-    missing = [n for n in names if rule.get(n) in (None, "", [])]
-    if missing:
-        raise RuleError("Missing " + ", ".join(f"'{n}'" for n in missing) + " parameter")
+    absent = [n for n in names if rule.get(n) in (None, "", [])]
+    if absent:
+        raise RuleError("Missing " + ", ".join(f"'{n}'" for n in absent) + " parameter")
 
 
 def _outside(df, rule):
     c, dtype = df[rule["column"]], df.schema[rule["column"]].dataType
     lo, hi = rule.get("min_value"), rule.get("max_value")
-    value = without_nan(c, dtype)
+    value = F.expr(without_nan(name(rule["column"]), dtype))
     if isinstance(dtype, T.NumericType):
         if any(isinstance(b, str) for b in (lo, hi)):
             raise RuleError(f"bounds of numeric column '{rule['column']}' must be numbers")
@@ -66,7 +66,7 @@ def _any(tests):
 
 def _no_match(df, rule):
     dtype = df.schema[rule["column"]].dataType
-    return ~as_text(df[rule["column"]], dtype).rlike(f"^(?:{rule['regex']})")
+    return ~F.expr(as_text(name(rule["column"]), dtype)).rlike(f"^(?:{rule['regex']})")
 
 
 def _not_in_set(df, rule):
@@ -79,12 +79,12 @@ def _not_in_set(df, rule):
         allowed = [v for v in rule["value_set"] if isinstance(v, str)]
     else:
         allowed = [v for v in rule["value_set"] if isinstance(v, (datetime.date, datetime.datetime))]
-    present = ~is_missing(df[rule["column"]], dtype)
+    present = ~_missing(df, rule)
     return present & ~c.isin(allowed) if allowed else present
 
 
 def _missing(df, rule):
-    return is_missing(df[rule["column"]], df.schema[rule["column"]].dataType)
+    return F.expr(missing(name(rule["column"]), df.schema[rule["column"]].dataType))
 
 
 # Row rules: parameters they need, the test for a violating row, and the report texts.
@@ -181,12 +181,12 @@ def _with_uniqueness(df, checked, columns):
     open_rule = F.col("type").eqNullSafe(UNIQUE) & F.col("result").isNull()
     extra = F.col("row_count") - F.col("distinct_count")
     texts = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
-    name, d, total = F.col("column"), F.col("distinct_count").cast("string"), F.col("row_count").cast("string")
+    column, d, total = F.col("column"), F.col("distinct_count").cast("string"), F.col("row_count").cast("string")
     new = {
         "result": _passed(extra == 0),
         "violations": extra,
-        "detail": F.when(extra > 0, texts("Column '", name, "': ", extra.cast("string"), " duplicate(s)"))
-        .otherwise(texts("Column '", name, "': All ", d, " values unique")),
+        "detail": F.when(extra > 0, texts("Column '", column, "': ", extra.cast("string"), " duplicate(s)"))
+        .otherwise(texts("Column '", column, "': All ", d, " values unique")),
         "target_value": texts("unique=", d, ",total=", total),
     }
     return joined.select(*[
@@ -202,16 +202,16 @@ def violating_rows(df, rule):
     if kind == UNIQUE:
         column = rule["column"]
         repeated = duplicates(df, [column]).where(F.col(column).isNotNull())
-        missing = is_missing(df[column], df.schema[column].dataType)
-        return keep_keys(df.where(~missing), repeated, [column]).unionByName(df.where(missing))
+        absent = _missing(df, rule)
+        return keep_keys(df.where(~absent), repeated, [column]).unionByName(df.where(absent))
     raise RuleError(f"'{kind}' does not select rows")
 
 
 def run_expectations(source, target, expectations, run_on="both"):
     """The rules on source, target or both: (side, rule, ...)."""
-    sides = [(name, df) for name, df in (("source", source), ("target", target))
-             if df is not None and run_on in (name, "both")]
-    frames = [check_expectations(df, expectations).withColumn("side", F.lit(name)) for name, df in sides]
+    sides = [(side, df) for side, df in (("source", source), ("target", target))
+             if df is not None and run_on in (side, "both")]
+    frames = [check_expectations(df, expectations).withColumn("side", F.lit(side)) for side, df in sides]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

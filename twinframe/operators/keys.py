@@ -11,30 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from twinframe.functions.types import DATES, FLOATS, TEXTS, type_class
-from twinframe.functions.values import atomic_frame, canon, format_key, is_missing, without_nan
+from twinframe.functions.types import DATES, TEXTS, type_class
+from twinframe.functions.values import atomic_frame, canon, format_key, missing, name, without_nan
 
 HOT_ROWS = 1_000_000  # a key with fewer rows fits any task
 HOT_SHARE = 0.002     # so at most 500 keys are hot
 HOT_TRACKED = 1_000
 
 
-def _stand_in(dtype):
-    if isinstance(dtype, TEXTS):
-        return F.lit("")
-    if isinstance(dtype, DATES):
-        return F.lit("1970-01-01").cast(dtype)
-    return F.lit(0).cast(dtype)
-
-
-def _native_key(c, dtype):
+def _native_key(x, dtype):
     """Two never-null expressions that are equal exactly where the keys are (null equals null)."""
-    missing = is_missing(c, dtype)
-    return [F.coalesce(without_nan(c, dtype), _stand_in(dtype)), missing]
+    stand_in = "''" if isinstance(dtype, TEXTS) else "'1970-01-01'" if isinstance(dtype, DATES) else "0"
+    typed = f"CAST({stand_in} AS {dtype.simpleString()})"
+    return [f"coalesce({without_nan(x, dtype)}, {typed})", missing(x, dtype)]
 
 
-def _canonical_key(c, dtype):
-    return [F.coalesce(canon(c, dtype), F.lit("~"))]
+def _canonical_key(x, dtype):
+    return f"coalesce({canon(x, dtype)}, '~')"
 
 
 def join_keys(source, target, keys, mode="canonical"):
@@ -49,15 +42,15 @@ def join_keys(source, target, keys, mode="canonical"):
     for k in keys:
         s, t = source.schema[k].dataType, target.schema[k].dataType
         if _is_native(s, t):
-            s_exprs += _native_key(source[k], s)
-            t_exprs += _native_key(target[k], t)
+            s_exprs += _native_key(name(k), s)
+            t_exprs += _native_key(name(k), t)
         elif mode == "strict" and type_class(s) != type_class(t):
-            s_exprs += [F.concat(F.lit("source "), *_canonical_key(source[k], s))]
-            t_exprs += [F.concat(F.lit("target "), *_canonical_key(target[k], t))]
+            s_exprs.append(f"concat('source ', {_canonical_key(name(k), s)})")
+            t_exprs.append(f"concat('target ', {_canonical_key(name(k), t)})")
         else:
-            s_exprs += _canonical_key(source[k], s)
-            t_exprs += _canonical_key(target[k], t)
-    named = lambda exprs: [e.alias(f"__k{i}") for i, e in enumerate(exprs)]
+            s_exprs.append(_canonical_key(name(k), s))
+            t_exprs.append(_canonical_key(name(k), t))
+    named = lambda exprs: [F.expr(e).alias(f"__k{i}") for i, e in enumerate(exprs)]
     return named(s_exprs), named(t_exprs)
 
 
@@ -79,7 +72,7 @@ def _restored(df, other, keys):
     for k in keys:
         native = _is_native(df.schema[k].dataType, other.schema[k].dataType)
         if native:
-            out[k] = F.when(~F.col(f"__k{i + 1}"), F.col(f"__k{i}"))
+            out[k] = f"if(__k{i + 1}, NULL, __k{i})"
         i += 2 if native else 1
     return out
 
@@ -92,11 +85,11 @@ def one_per_key(df, key_columns, prefix, restored):
     names = names_of(key_columns)
     carried = [c for c in df.columns if c not in restored] or df.columns[:1]
     least = (
-        df.select(*key_columns, F.struct(*[df[c] for c in carried]).alias("row"))
+        df.select(*key_columns, F.struct(*[name(c) for c in carried]).alias("row"))
         .groupBy(*names).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias(prefix + "_n"))
     )
-    whole = F.struct(*[(restored[c] if c in restored else F.col(f"row.{c}")).alias(c) for c in df.columns])
-    return least.select(*names, whole.alias(prefix), prefix + "_n")
+    whole = ", ".join(f"{restored.get(c, name('row', c))} AS {name(c)}" for c in df.columns)
+    return least.selectExpr(*names, f"struct({whole}) AS {prefix}", prefix + "_n")
 
 
 def first_per_key(df, keys):
@@ -128,12 +121,11 @@ class Pair:
         return self.t_schema[column].dataType
 
     def key_text(self):
-        side = lambda p, schema: format_key([(k, F.col(f"{p}.{k}"), schema[k].dataType) for k in self.keys])
-        return (F.when(F.col("s").isNotNull(), side("s", self.s_schema))
-                .otherwise(side("t", self.t_schema)).alias("pk"))
+        side = lambda p, schema: format_key([(k, name(p, k), schema[k].dataType) for k in self.keys])
+        return f"if(s IS NOT NULL, {side('s', self.s_schema)}, {side('t', self.t_schema)})"
 
     def matched(self):
-        return self.frame.where(F.col("s").isNotNull() & F.col("t").isNotNull())
+        return self.frame.where("s IS NOT NULL AND t IS NOT NULL")
 
 
 def key_pair(source, target, keys, mode="canonical", how="full_outer"):
@@ -188,21 +180,21 @@ def key_difference(source, target, keys):
     return source.select(*keys).subtract(target.select(*keys))
 
 
-def count_up(df, start, n, name, chunk=100_000):
+def count_up(df, start, n, number, chunk=100_000):
     """One row per number from `start` on, `n` (at least 1) of them.
 
     A row with a large `n` is first cut into pieces that spread over the tasks.
     """
     numbers = lambda rows, first, count: rows.withColumn(
-        name, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)))
-    few = numbers(df.where(F.col(n) <= chunk), start, n).select(*df.columns, name)
+        number, F.explode(F.sequence(F.col(first), F.col(first) + F.col(count) - 1)))
+    few = numbers(df.where(F.col(n) <= chunk), start, n).select(*df.columns, number)
     many = df.where(F.col(n) > chunk)
     pieces = many.withColumn("__piece", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / chunk)))).withColumn(
         "__first", F.col(start) + F.col("__piece") * chunk).withColumn(
         "__count", F.least(F.lit(chunk), F.col(n) - F.col("__piece") * chunk))
     spread = pieces.repartition("__first", "__piece")
-    return few.unionByName(numbers(spread, "__first", "__count").select(*df.columns, name))
+    return few.unionByName(numbers(spread, "__first", "__count").select(*df.columns, number))
 
 
 def row_surplus(source, target):
@@ -221,7 +213,7 @@ def row_difference(source, target):
 
 def duplicates(df, keys):
     """Keys with more than one row and their row count."""
-    plain = df.select(*[without_nan(df[k], df.schema[k].dataType).alias(k) for k in keys])
+    plain = df.selectExpr(*[f"{without_nan(name(k), df.schema[k].dataType)} AS {name(k)}" for k in keys])
     return plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 

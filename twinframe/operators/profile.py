@@ -6,32 +6,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.functions.types import (
-    DATES, NESTED, TEXTS, compatible, precision_scale, text_length, type_class)
-from twinframe.functions.values import atomic, is_missing, parse_date, without_nan
+    DATES, FLOATS, NESTED, TEXTS, compatible, precision_scale, text_length, type_class)
+from twinframe.functions.values import atomic, missing, name, parse_date, text, without_nan
 
 
 def long_profile(df, fields, metrics):
     """One aggregate over the frame, turned into one row per column.
 
-    `metrics` is {name: function(column, dtype) -> aggregate}; the row count is always there.
+    `metrics` is {name: function(expression, dtype) -> aggregate}; the row count is always there.
     """
-    aggs = [F.count(F.lit(1)).alias("row_count")]
+    aggs, rows = ["count(1) AS row_count"], []
     for i, f in enumerate(fields):
-        aggs += [fn(df[f.name], f.dataType).alias(f"{m}_{i}") for m, fn in metrics.items()]
-    rows = [
-        F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), F.col("row_count"),
-                 *[F.col(f"{m}_{i}").alias(m) for m in metrics])
-        for i, f in enumerate(fields)
-    ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        aggs += [f"{fn(name(f.name), f.dataType)} AS {m}_{i}" for m, fn in metrics.items()]
+        cells = "".join(f", '{m}', {m}_{i}" for m in metrics)
+        rows.append(f"named_struct('column', {text(f.name)}, 'ordinal', {i}, 'row_count', row_count{cells})")
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def count_nulls(c, dtype):
-    return F.count_if(is_missing(c, dtype))
+def count_nulls(x, dtype):
+    return f"count_if({missing(x, dtype)})"
 
 
-def count_empties(c, dtype):
-    return F.count_if(c == "") if isinstance(dtype, TEXTS) else F.lit(0).cast("bigint")
+def count_empties(x, dtype):
+    return f"count_if({x} = '')" if isinstance(dtype, TEXTS) else "CAST(0 AS BIGINT)"
 
 
 def null_and_empty_counts(df, columns=None):
@@ -93,27 +90,25 @@ def distinct_counts(df, columns=None, approx=False):
     """
     fields = [f for f in df.schema if columns is None or f.name in columns]
     if approx:
-        metric = lambda c, t: F.approx_count_distinct(without_nan(atomic(c, t), t))
+        metric = lambda x, t: f"approx_count_distinct({without_nan(atomic(x, t), t)})"
         return long_profile(df, fields, {"distinct_count": metric}).select("column", "distinct_count")
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), _plain_text(df[f.name], f.dataType).alias("value"))
-        for i, f in enumerate(fields)])
+    cells = ", ".join(
+        f"named_struct('i', {i}, 'value', {_plain_text(name(f.name), f.dataType)})" for i, f in enumerate(fields))
     counted = (
-        df.select(F.inline(cells)).distinct().groupBy("i").agg(F.count("value").alias("n")))
+        df.selectExpr(f"inline(array({cells}))").distinct().groupBy("i").agg(F.count("value").alias("n")))
     # An empty frame has no rows to count: start from the columns themselves.
     listed = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "i int, column string")
     return listed.join(counted, "i", "left").select(
         "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("distinct_count"))
 
 
-def _plain_text(c, dtype):
+def _plain_text(x, dtype):
     """Text that is equal exactly where the values are."""
     if isinstance(dtype, NESTED):
-        return F.to_json(c)
-    value = without_nan(c, dtype)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        value = value + F.lit(0).cast(dtype)  # minus zero becomes zero
-    return value.cast("string")
+        return f"to_json({x})"
+    if isinstance(dtype, FLOATS):  # minus zero becomes zero
+        return f"CAST({without_nan(x, dtype)} + CAST(0 AS {dtype.simpleString()}) AS STRING)"
+    return f"CAST({x} AS STRING)"
 
 
 def distinct_check(source, target, columns, approx=False):
@@ -121,23 +116,22 @@ def distinct_check(source, target, columns, approx=False):
                        {"distinct_count": "distinct"})
 
 
-def as_time(c, dtype, include_numeric=False):
+def as_time(x, dtype, include_numeric=False):
     if isinstance(dtype, DATES):
-        return c.cast("timestamp_ntz")
+        return f"CAST({x} AS TIMESTAMP_NTZ)"
     if isinstance(dtype, TEXTS):
-        return parse_date(c)
+        return parse_date(x)
     if include_numeric and isinstance(dtype, T.NumericType):
-        seconds = without_nan(c, dtype).cast("double") / 1e9
-        return F.timestamp_seconds(seconds).cast("timestamp_ntz")
-    return F.lit(None).cast("timestamp_ntz")
+        return f"CAST(timestamp_seconds(CAST({without_nan(x, dtype)} AS DOUBLE) / 1e9) AS TIMESTAMP_NTZ)"
+    return "CAST(NULL AS TIMESTAMP_NTZ)"
 
 
 def date_ranges(df, columns=None, include_numeric=False):
     """Earliest and latest time per column; null where nothing parses as a time."""
     fields = [f for f in df.schema if columns is None or f.name in columns]
     return long_profile(df, fields, {
-        "min_time": lambda c, t: F.min(as_time(c, t, include_numeric)),
-        "max_time": lambda c, t: F.max(as_time(c, t, include_numeric)),
+        "min_time": lambda x, t: f"min({as_time(x, t, include_numeric)})",
+        "max_time": lambda x, t: f"max({as_time(x, t, include_numeric)})",
     }).select("column", "min_time", "max_time")
 
 
@@ -209,12 +203,12 @@ def column_specs(source, target, columns):
 
 def count_check(pairs):
     """Row and column counts of named (name, file frame, file, table frame, table) pairs, one row each."""
-    def one(name, left, file, right, table):
+    def one(label, left, file, right, table):
         counts = record_counts(left, right)
         rows, cols = F.col("matches"), F.lit(len(left.columns) == len(right.columns))
         yes = lambda c: F.when(c, F.lit("YES")).otherwise(F.lit("NO"))
         return counts.select(
-            F.lit(name).alias("name"), F.lit(file).alias("csv_file"),
+            F.lit(label).alias("name"), F.lit(file).alias("csv_file"),
             F.col("source_rows").alias("csv_rows"), F.lit(len(left.columns)).alias("csv_cols"),
             F.lit(table).alias("table"),
             F.col("target_rows").alias("table_rows"), F.lit(len(right.columns)).alias("table_cols"),
