@@ -138,10 +138,12 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared.new_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
-def test_cut_keeps_rows_and_types(spark, rows):
-    df = spark.createDataFrame([(1, "a", None)], "i int, s string, d decimal(5,2)")
-    out = shared.cut(df)
+def test_written_keeps_rows_and_types(spark, rows):
+    df = spark.createDataFrame([(1, "a", None)], "i int, `a b (c)` string, d decimal(5,2)")
+    out = shared.written(df)
     assert out.schema == df.schema and rows(out) == rows(df)
+    void = spark.sql("SELECT 1 AS i, NULL AS n")
+    assert shared.written(void) is void
 
 
 def test_spread(spark):

@@ -11,7 +11,7 @@ from twinframe.functions.values import (
     NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted, name,
     row_hash, text, truncate, unequal)
 from twinframe.operators.keys import count_up, first_n
-from twinframe.shared import cut
+from twinframe.shared import written
 
 BUCKET_ROWS = 1_000_000  # most rows of a side that one positional task holds
 
@@ -223,7 +223,7 @@ def _runs(df, columns):
         .groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     )
     # Written once: positions below rely on one fixed split into sorted parts.
-    parts = cut(runs.orderBy(*columns).withColumn("part", F.spark_partition_id()))
+    parts = written(runs.orderBy(*columns).withColumn("part", F.spark_partition_id()), "runs")
     within = Window.partitionBy("part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = sorted(parts.groupBy("part").agg(F.sum("n")).collect())  # one row per sorted part
     ends = list(itertools.accumulate(size for _, size in sizes))

@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import types as T
+
 
 def shared_dir(spark):
     """The folder named in `spark.checkpoint.dir`; a temporary one only in local mode."""
@@ -32,8 +34,14 @@ def spread(df):
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def cut(df, label="cut"):
-    """Write the frame to the shared folder once and go on from there."""
+def written(df, label="written"):
+    """Write the frame to the shared folder once and go on from there.
+
+    The files stay, as checkpoint files do. Columns without a type cannot be
+    written; such a frame is returned as it is.
+    """
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema):
+        return df
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
