@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinframe.model import RESULT_FIELDS
-from twinframe.plans.suite import load_config, load_dataset, options_from, run_suite, summary_frame
+from twinframe.plans.suite import (
+    load_config, load_dataset, options_from, run_count_check, run_suite, summary_frame)
 from twinframe.plans.validation import Options, validate
 
 SCHEMA = "id int, name string, amount double, day string"
@@ -102,6 +103,7 @@ def test_rules_and_outliers_are_part_of_the_run(spark):
     assert [r[1] for r in found(out, "expectation")] == ["PASS"]
     assert found(out, "anomaly_detection")[0][1] == "WARN" and found(out, "anomaly_detection_detail")[0][1] == "INFO"
     assert 1 in {r.id for r in out.anomalies["target"].where("is_anomaly").collect()}
+    assert [r.id for r in out.top_anomalies("target", 1).collect()] == [1]
     bad = validate(df, df, "id", Options(anomaly={"columns": ["name"]}))
     assert [r[1] for r in found(bad, "anomaly_detection")] == ["ERROR", "ERROR"]
 
@@ -143,6 +145,34 @@ validations:
         run_suite(spark, load_config(path), only="Nope")
 
 
+def test_configured_rules_can_be_switched_off():
+    rules = [{"type": "expect_column_to_exist", "column": "A.b"}]
+    on = options_from({"great_expectations": {"run_on": "source", "expectations": rules},
+                       "anomaly_detection": {"columns": ["x"]}})
+    assert on.expectations[0]["column"] == "a_b" and on.expectations_on == "source" and on.anomaly
+    off = options_from({"great_expectations": {"enabled": False, "expectations": rules},
+                        "anomaly_detection": {"enabled": False, "columns": ["x"]}})
+    assert off.expectations == [] and off.anomaly == {}
+    assert options_from({"expectations": rules}).expectations_on == "both"
+
+
+def test_count_check_from_configuration(spark, tmp_path):
+    source(spark).write.parquet(str(tmp_path / "p.parquet"))
+    source(spark).createOrReplaceTempView("counted")
+    file, table = {"type": "file", "path": str(tmp_path / "p.parquet")}, {"type": "table", "table": "counted"}
+    gone = {"type": "file", "path": str(tmp_path / "none.parquet")}
+    short = {"type": "table", "query": "SELECT id FROM counted WHERE id < 3", "table": "few"}
+    config = {"validations": [
+        {"name": "same", "source": file, "target": table}, {"source": gone, "target": table},
+        {"name": "no table", "source": file, "target": {"type": "table", "table": "not_there"}},
+        {"name": "short", "source": file, "target": short}]}
+    r = {x.name: x for x in run_count_check(spark, config).collect()}
+    assert (r["same"].csv_rows, r["same"].table_rows, r["same"].rows_match, r["same"].status) == ("30", "30", "YES", "PASSED")
+    assert (r["validation_2"].csv_rows, r["validation_2"].table_rows, r["validation_2"].status) == ("ERROR", "N/A", "FAILED")
+    assert (r["no table"].csv_rows, r["no table"].table_rows, r["no table"].rows_match) == ("30", "ERROR", "ERROR")
+    assert (r["short"].table_rows, r["short"].table_cols, r["short"].rows_match, r["short"].cols_match) == ("3", "1", "NO", "NO")
+
+
 def test_bad_configuration(spark):
     with pytest.raises(ValueError):
         load_dataset(spark, {"type": "cloud"})
