@@ -110,8 +110,9 @@ SELECT 'source' AS side, unnest(['src_custkey', 'src_full_name', 'balance', 'src
 UNION ALL SELECT 'target', unnest(['custkey', 'name', 'account_balance', 'dim_segment']), (SELECT count(*) FROM customer)""")
 def column_diff(spark, sf):
     source, target = customers(spark, sf)
-    sizes = profile.null_and_empty_counts(source).select(F.lit("source").alias("side"), "column", F.col("row_count").alias("n_rows")).unionByName(
-        profile.null_and_empty_counts(target).select(F.lit("target").alias("side"), "column", F.col("row_count").alias("n_rows")))
+    size = lambda df, side: profile.null_and_empty_counts(df).select(
+        F.lit(side).alias("side"), "column", F.col("row_count").alias("n_rows"))
+    sizes = size(source, "source").unionByName(size(target, "target"))
     return align.column_diff(source, target).join(sizes, ["side", "column"])
 
 

@@ -1,7 +1,5 @@
 """Outlier detection over line items and events. Scores have no SQL form; see the tests for their properties."""
 
-from pyspark.sql import functions as F
-
 from catalog.registry import frame, query, table, with_views
 from twinframe.operators import anomaly
 from twinframe.operators.profile import null_and_empty_counts

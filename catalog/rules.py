@@ -1,7 +1,5 @@
 """Declarative rules over events, documents and orders."""
 
-from pyspark.sql import functions as F
-
 from catalog.registry import frame, query, table, with_views
 from twinframe.operators import expectations as ex
 
