@@ -1,5 +1,11 @@
 """The operators of this subpackage as registered queries over their whole tables."""
 
+from pyspark.sql import functions as F
+
+from twinframe.llm.decontaminate import contamination
+from twinframe.llm.mixing import mix
+from twinframe.llm.near_dedup import near_duplicates
+from twinframe.llm.token_files import token_index, write_tokens
 from twinframe.llm.toxicity import toxicity_scores
 
 QUERIES, SQL = {}, {}
@@ -22,3 +28,43 @@ def table(spark, sf, name):
 @query("op9_toxicity")
 def op9_toxicity(spark, sf):
     return toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).drop("votes")
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf):
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+#: Shares of all tokens by language and quality label.
+WEIGHTS = {f"{lang}/{quality}": share * part
+           for lang, share in (("de", 0.2), ("en", 0.4), ("es", 0.2), ("fr", 0.2))
+           for quality, part in ((0, 0.1), (1, 0.9))}
+
+
+def labelled_domains(documents, labels):
+    """doc_id, domain (language / quality) of the documents that labels covers."""
+    known = labels.where("quality is not null").select("doc_id", "quality")
+    return documents.select("doc_id", "lang").join(known, "doc_id").select(
+        "doc_id", F.concat_ws("/", "lang", "quality").alias("domain"))
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf):
+    documents = table(spark, sf, "documents")
+    return mix(documents, labelled_domains(documents, table(spark, sf, "labels")), WEIGHTS)
+
+
+def tokenizer_path():
+    """The word-level vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op7_token_files")
+def op7_token_files(spark, sf):
+    return token_index(spark, write_tokens(table(spark, sf, "documents"), tokenizer_path()))
