@@ -8,8 +8,8 @@ from twinframe.shared import written
 def components(links):
     """(id, component): the smallest id reachable, for every id in `links` (a, b).
 
-    Each round hooks every id to its smallest neighbour, shortens the paths
-    twice and contracts the links, until none is left. All rounds are
+    Each round hooks every id to its smallest neighbour, halves the paths and
+    contracts the links, until none is left. All rounds are
     aggregates with map-side combining and joins to unique keys, so an id with
     very many links is never gathered in one place. Null ids and self-links are
     dropped; without links the result is empty.
@@ -18,8 +18,10 @@ def components(links):
     rounds = []
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up"))
-        hook = written(_jump(_jump(written(hook, "hooks"))), "hooks")
+        hook = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up")),
+                       "hooks")
+        hook = (hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("next")), "up")
+                .select("id", F.col("next").alias("up")))
         rounds.append(hook)
         a, b = (hook.select(F.col("id").alias(c), F.col("up").alias(f"up_{c}")) for c in "ab")
         links = written(_tidy(links.join(a, "a").join(b, "b").select(F.col("up_a").alias("a"), F.col("up_b").alias("b"))),
@@ -34,9 +36,4 @@ def components(links):
 
 
 def _tidy(links):
-    return (links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-
-def _jump(hook):
-    return (hook.join(hook.select(F.col("id").alias("up"), F.col("up").alias("next")), "up")
-            .select("id", F.col("next").alias("up")))
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

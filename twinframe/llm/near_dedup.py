@@ -2,8 +2,9 @@
 
 Documents are sets of word shingles. Equal sets are one node. Nodes that share
 a band of their MinHash signature are candidates: every bucket compares its
-members with its smallest one, small buckets also all pairs, and large buckets
-that still hold several components are split by further bands. The signatures
+members with its smallest one, small buckets also all pairs. Where a large bucket
+then still holds several components, its members are compared with those outside
+the largest one, if these are few; else further bands split it. The signatures
 of a candidate pair are compared batch by batch; after each batch the pair is
 dropped when the posterior of a similarity at or above the threshold is below
 the chosen miss probability. Survivors are confirmed on their full sets.
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from twinframe.llm.buckets import buckets, candidates, remaining_pairs, with_outside
 from twinframe.llm.components import components
 from twinframe.llm.text import chunks, mix, shingles
 from twinframe.shared import written
@@ -184,28 +186,7 @@ def confirm(pairs, texts, percent, width):
     return need.repartition("a", "part").sortWithinPartitions("a", "part", "id").mapInArrow(run, "a long, b long")
 
 
-def buckets(keys, roots):
-    """Members (key, band, id, root, n, pivot) of the buckets that hold more than one component."""
-    rooted = keys.withColumn("root", F.col("id"))
-    if roots is not None:
-        rooted = keys.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-    shared = (rooted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "root")).alias("least"),
-                                        F.min("root").alias("low"), F.max("root").alias("high"))
-              .where("n > 1 and low <> high")
-              .select("key", "n", F.col("least.id").alias("pivot"), F.col("least.root").alias("pivot_root")))
-    return rooted.join(shared, "key")
-
-
-def candidates(members, small):
-    """Distinct pairs of different components: with the pivot, and all of a bucket of at most `small` members."""
-    star = members.where("id <> pivot and root <> pivot_root").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    few = members.where((F.col("n") <= small) & (F.col("n") > 2) & (F.col("id") != F.col("pivot")))
-    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    right = few.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    return star.union(left.join(right, "key").where("a < b and root_a <> root_b").select("a", "b")).distinct()
-
-
-def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8):
+def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8, few=256):
     """doc_id, n_shingles, component_id, kept for every row of documents (integer doc_id, text).
 
     Two documents are linked when 100 * intersection >= percent * union of
@@ -215,43 +196,40 @@ def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8):
     Defined results: a text with fewer words is one shingle; null texts and
     texts without words have an empty set, are linked with nothing and kept.
     Rows of one doc_id count as one document. Rows without a doc_id are linked
-    with nothing, have no component and are kept. `small` and TOGETHER only
-    steer the plan. Other columns are passed over.
+    with nothing, have no component and are kept. `small`, `few` and TOGETHER
+    only steer the plan. Other columns are passed over.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(sketch(docs, width), "sketches")
     usable = base.where("doc_id is not null and digest is not null")
     nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sign").alias("sign"),
                                                  F.max("n_shingles").alias("n")), "nodes")
-    keys, roots, links, seen, texts = band_keys(nodes), None, None, None, None
+    links, roots, texts, decide = None, None, None, None
+    members = written(buckets(band_keys(nodes), None), "buckets")
     while True:
-        members = written(buckets(keys, roots), "buckets")
         pairs = candidates(members, small)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        seen = pairs if seen is None else seen.union(pairs)
+        if decide is not None:
+            pairs = pairs.union(remaining_pairs(decide)).distinct()
         found = written(likely(pairs, nodes, percent, miss), "likely")
         texts = _fetch(docs, found, texts)
-        # first the likeliest partner of each document, then what the components so found leave open
-        best = found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x")) \
-            .select((-F.col("x.a")).alias("a"), "b")
-        links, roots = _add(links, confirm(best, texts, percent, width))
-        rest = found.select("a", "b").join(best, ["a", "b"], "left_anti")
-        for c in "ab":
-            rest = (rest.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
-                    .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
-        rest = written(rest.where("root_a <> root_b").select("a", "b"), "rest")
-        if not rest.isEmpty():
-            links, roots = _add(links, confirm(rest, texts, percent, width))
-        large = written(buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots), "large")
+        if links is None:
+            # first the likeliest partner of each document, then what the components so found leave open
+            best = (found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x"))
+                    .select((-F.col("x.a")).alias("a"), "b"))
+            links, roots = _add(links, confirm(best, texts, percent, width))
+            found = found.join(best, ["a", "b"], "left_anti")
+            for c in "ab":
+                found = (found.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
+                         .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
+            found = written(found.where("root_a <> root_b").select("a", "b"), "rest")
+        links, roots = _add(links, confirm(found.select("a", "b"), texts, percent, width))
+        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
+        large = written(with_outside(large), "large")
         if large.isEmpty():
             break
-        last = F.col("band") == BANDS - 1
-        if large.where(~last).isEmpty():
-            keys, small = large.select("key", "band", "id"), 1 << 62  # no further band: decide what is left pair by pair
-        else:
-            keys = finer_keys(large, nodes)
+        split = (F.col("outside") > few) & (F.col("band") < BANDS - 1)
+        decide = large.where(~split)
+        members = written(buckets(finer_keys(large.where(split), nodes), roots), "buckets")
     named = (nodes.select("digest", "id").join(roots, "id", "left")
              .select("digest", F.coalesce("component", "id").alias("component")))
     return (base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

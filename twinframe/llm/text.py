@@ -113,8 +113,8 @@ def shingles(data, offsets, width=5):
         long = (count >= width)[owner]
         out[long] = runs[place[long]]
         for row in np.flatnonzero((count > 0) & (count < width)):
-            h = np.uint64(count[row])
-            for w in word[bounds[row]:bounds[row + 1]]:
-                h = mix(np.asarray([h * ROOT + w], np.uint64))[0]
-            out[at[row]] = h
+            h = np.array([count[row]], np.uint64)
+            for i in range(bounds[row], bounds[row + 1]):
+                h = mix(h * ROOT + word[i:i + 1])
+            out[at[row]] = h[0]
     return out, at
