@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from twinframe.llm.decontaminate import contamination
+from twinframe.llm.fingerprints import fingerprints
 from twinframe.llm.mixing import mix
 from twinframe.llm.near_dedup import near_duplicates
 from twinframe.llm.token_files import token_index, write_tokens
 from twinframe.llm.toxicity import toxicity_scores
+from twinframe.llm.warc import archive_index, write_archive
 
 QUERIES, SQL = {}, {}
 
@@ -68,3 +70,22 @@ def tokenizer_path():
 @query("op7_token_files")
 def op7_token_files(spark, sf):
     return token_index(spark, write_tokens(table(spark, sf, "documents"), tokenizer_path()))
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark, sf):
+    return fingerprints(table(spark, sf, "documents"))
+
+
+@query("op8_warc", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS response FROM p)
+SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31))::INT, 1) for i in range(32)], '')
+    AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM r""")
+def op8_warc(spark, sf):
+    return archive_index(spark, write_archive(table(spark, sf, "pages")))
