@@ -6,6 +6,7 @@ from twinframe.llm.decontaminate import contamination
 from twinframe.llm.fingerprints import fingerprints
 from twinframe.llm.mixing import mix
 from twinframe.llm.near_dedup import near_duplicates
+from twinframe.llm.substrings import suffix_dedup
 from twinframe.llm.token_files import token_index, write_tokens
 from twinframe.llm.toxicity import toxicity_scores
 from twinframe.llm.warc import archive_index, write_archive
@@ -89,3 +90,8 @@ SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes,
 FROM r""")
 def op8_warc(spark, sf):
     return archive_index(spark, write_archive(table(spark, sf, "pages")))
+
+
+@query("op2_suffix_array")
+def op2_suffix_array(spark, sf):
+    return suffix_dedup(table(spark, sf, "documents"))

@@ -69,20 +69,25 @@ def inverse_powers(n):
     return np.multiply.accumulate(out)
 
 
-def words(data, offsets):
-    """(hash of each word, offsets of the rows in them) of lower-cased text."""
+def word_bounds(data, offsets):
+    """(first, end) bytes of each word."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~SPACE[data]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     inner = offsets[(offsets > 0) & (offsets < n)]
     first[inner] = inside[inner]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
     last[inner - 1] = inside[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(data, offsets, bounds=None):
+    """(hash of each word, offsets of the rows in them) of lower-cased text."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = bounds or word_bounds(data, offsets)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
     hashes = (total[ends] - total[starts]) * inverse_powers(n)[starts]
