@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.decontaminate import contamination
 from twinframe.llm.fingerprints import fingerprints
+from twinframe.llm.line_dedup import line_dedup
 from twinframe.llm.mixing import mix
 from twinframe.llm.near_dedup import near_duplicates
+from twinframe.llm.private_data import private_data
 from twinframe.llm.substrings import suffix_dedup
 from twinframe.llm.token_files import token_index, write_tokens
 from twinframe.llm.toxicity import toxicity_scores
@@ -95,3 +97,13 @@ def op8_warc(spark, sf):
 @query("op2_suffix_array")
 def op2_suffix_array(spark, sf):
     return suffix_dedup(table(spark, sf, "documents"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark, sf):
+    return line_dedup(table(spark, sf, "documents"))
+
+
+@query("op4_private_data")
+def op4_private_data(spark, sf):
+    return private_data(table(spark, sf, "documents"))
