@@ -1,10 +1,67 @@
-"""From documents to training files: filter, deduplicate, decontaminate, mix, tokenize."""
+"""From documents to training files in five stages: filter, deduplicate, decontaminate, mix, tokenize.
 
-from twinframe.llm import queries  # noqa: F401
+Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps, with
+the columns of documents; the last returns the index of the token files. `run`
+writes every stage as Parquet and reads it again, so that a lost executor costs
+one stage's work at most.
+"""
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from twinframe.llm.decontaminate import contamination
+from twinframe.llm.mixing import mix, mixed
+from twinframe.llm.near_dedup import near_duplicates
+from twinframe.llm.queries import WEIGHTS, labelled_domains, table, tokenizer_path
+from twinframe.llm.token_files import token_index, write_tokens
+from twinframe.llm.toxicity import toxicity_scores
+from twinframe.shared import new_path
+
+
+def _without(docs, decisions):
+    """The rows of docs whose doc_id is not among the decisions'; rows without an id stay."""
+    return docs.join(decisions.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark, docs, sf_dir):
+    """Documents that score 0.5 or more go."""
+    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 1"))
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Of each group of near-duplicates the document with the smallest doc_id stays, once if its row is repeated."""
+    kept = _without(docs, near_duplicates(docs).where("not kept"))
+    return kept.dropDuplicates()
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents with a benchmark passage go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def mixing(spark, docs, sf_dir):
+    """Every document as often as its rate says; token totals by language and quality meet the weights."""
+    rates = mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), WEIGHTS)
+    return mixed(docs, rates)
+
+
+def token_files(spark, docs, sf_dir):
+    """doc_id, start, n_tokens, ids_crc32 of the token files of what is left, read back from them."""
+    return token_index(spark, write_tokens(docs, tokenizer_path()))
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing),
+          ("token_files", token_files)]
+#: Learning, MinHash and tokenizing have no SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The stages, applied to the documents of `sf_dir`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+    return docs
