@@ -131,7 +131,56 @@ def test_sinks(spark, tmp_path, rows):
     sinks.write_csv(df, str(tmp_path / "c"))
     assert len(list((tmp_path / "c").glob("*.csv"))) == 1
     assert rows(files.read_csv(spark, str(tmp_path / "c"))) == [("a", None, 'q "x", y')]
-    assert sinks.file_label("My Run/1") == "my_run_1"
+    assert sinks.report_folder("My Run/1").startswith("my_run_1-")
+    first, second = (sinks.write_report(df, str(tmp_path / "reports"), n) for n in ("A/B", "a b"))
+    assert first != second and rows(files.read_csv(spark, first)) == rows(files.read_csv(spark, second))
+
+
+def _file(folder, name, text, encoding="utf-8"):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(text.encode(encoding))
+    return str(folder)
+
+
+@pytest.mark.parametrize("row,good", [("1,2", True), ("1", True), ("1,2,", False), ("1,2,,", False), ("1,2,,x", False),
+                                      ('"1,5",2', True), ('"a ""b"", c",2', True), ('"x\ny",2', True), ('"x\ny",2,', False)])
+def test_field_counts(spark, tmp_path, row, good):
+    path = _file(tmp_path / "f", "a.csv", f"a,b\n{row}\n3,4\n")
+    if good:
+        assert files.read_csv(spark, path).count() == 2
+    else:
+        with pytest.raises(Exception, match="more fields"):
+            files.read_csv(spark, path).collect()
+        with pytest.raises(Exception, match="more fields"):
+            files.read_csv(spark, path).count()
+
+
+def test_headers_of_a_folder_must_agree(spark, tmp_path):
+    _file(tmp_path / "f", "1.csv", "a,b\n1,2\n")
+    path = _file(tmp_path / "f", "2.csv", "b,a\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, path).collect()
+
+
+def test_mixed_encodings(spark, tmp_path, rows):
+    _file(tmp_path / "f f", "1.csv", "a,b\né,2\n")
+    _file(tmp_path / "f f", "3.csv", "a,b\nü,3\n", "utf-16")
+    path = _file(tmp_path / "f f", "2.csv", "a,b\nñ,1\n", "latin-1")
+    assert rows(files.read_csv(spark, path)) == [("é", "2"), ("ñ", "1"), ("ü", "3")]
+
+
+def test_json_by_lines_and_documents(spark, tmp_path, rows):
+    _file(tmp_path / "f", "1.json", '{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n\n{"a": 3, "b": "z"}\n')
+    assert rows(files.read_json(spark, str(tmp_path / "f"))) == [(1, "x"), (2, "y"), (3, "z")]
+    path = _file(tmp_path / "f", "2.json", '[{"a": 4,\n "b": "q"},\n {"a": 5, "b": "r"}]')
+    assert [r[0] for r in rows(files.read_json(spark, path))] == [1, 2, 3, 4, 5]
+    assert files.read_json(spark, str(tmp_path / "f" / "1.json"), lines=True).count() == 3
+
+
+def test_json_columns_of_several_files(spark, tmp_path, rows):
+    _file(tmp_path / "f", "1.json", '{"a": {"0": "1", "1": "2"}, "b": {"0": "x", "1": "y"}}')
+    path = _file(tmp_path / "f", "2.json", '{"a": {"0": "3", "1": "4"}, "b": {"0": "z", "1": null}}')
+    assert rows(files.read_json(spark, path, "columns")) == [("1", "x"), ("2", "y"), ("3", "z"), ("4", None)]
 
 
 def test_shared_folder_comes_from_the_session(spark):

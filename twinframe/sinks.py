@@ -1,16 +1,16 @@
 """Writing results: partitioned Parquet for machines, one CSV file for people."""
 
 import datetime
+import re
+import uuid
 
 from pyspark.sql import functions as F
 
 
-def file_label(name):
-    return name.lower().replace(" ", "_").replace("/", "_")
-
-
-def stamped(name, now=None):
-    return f"{file_label(name)}_{(now or datetime.datetime.now()).strftime('%Y%m%d_%H%M%S')}"
+def report_folder(name, now=None):
+    """A folder name of its own for each report: safe label, time and a random part."""
+    label = re.sub(r"[^\w-]+", "_", name.casefold()).strip("_") or "report"
+    return f"{label}-{(now or datetime.datetime.now()):%Y-%m-%dT%H%M%S}-{uuid.uuid4().hex[:12]}"
 
 
 def write_results(results, path, run_id):
@@ -21,11 +21,11 @@ def write_results(results, path, run_id):
 def write_csv(report, path, single_file=True):
     """A report as CSV with a header. Reports are small; pass single_file=False for long ones."""
     frame = report.coalesce(1) if single_file else report
-    frame.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    frame.write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_report(results, output_dir, name, now=None):
-    """The result table of one run under a time-stamped name; returns the path."""
-    path = f"{output_dir.rstrip('/')}/{stamped(name, now)}"
+    """The result table of one run in a folder of its own, which must not exist; returns the path."""
+    path = f"{output_dir.rstrip('/')}/{report_folder(name, now)}"
     write_csv(results, path)
     return path

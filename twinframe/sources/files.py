@@ -1,6 +1,9 @@
 """CSV, delimited text, JSON and Parquet files."""
 
 import os
+import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,55 +13,106 @@ from twinframe.operators.align import lower_columns
 # File extensions and the formats they name.
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
-EXTRA = "__extra_field"
+CORRUPT = "__whole_row"
+
+
+def encodings(spark, path):
+    """{encoding: files}: UTF-16 by the byte order mark, else UTF-8 if every line is valid, else ISO-8859-1.
+
+    Reads all lines once; name the encoding to save that.
+    """
+    mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
+    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+             .groupBy("file").agg(F.bool_or(mark).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid")))
+    found = {}
+    for r in files.orderBy("file").collect():  # one row a file
+        name = "UTF-16" if r.marked else "UTF-8" if r.valid else "ISO-8859-1"
+        found.setdefault(name, []).append(unquote(r.file))
+    return found
 
 
 def detect_encoding(spark, path):
-    """UTF-16 by its byte order mark, else UTF-8 if every line is valid, else ISO-8859-1."""
-    lines = spark.read.text(path)
-    first = lines.select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("mark")).first()
-    if first and first.mark in ("FFFE", "FEFF"):
-        return "UTF-16"
-    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    """The encoding of a file, or of all files of a folder."""
+    found = encodings(spark, path) or {"UTF-8": []}
+    if len(found) > 1:
+        raise ValueError(f"files of several encodings: {sorted(found)}")
+    return next(iter(found))
 
 
 def read_csv(spark, path, sep=",", encoding=None, multi_line=True):
     """Every column as text; only an empty field is null.
 
     A row with fewer fields than the header is filled up with nulls, one with
-    more is an error. `multi_line=False` lets Spark split large files, for data
-    without line breaks inside quotes.
+    more is an error, and so is a file whose header is not the folder's. Files
+    of a folder may differ in encoding. `multi_line=False` lets Spark split
+    large files, for data without line breaks inside quotes.
     """
-    encoding = encoding or detect_encoding(spark, path)
+    groups = {encoding: path} if encoding else encodings(spark, path) or {"UTF-8": path}
+    if len(groups) == 1:
+        groups = {next(iter(groups)): path}
+    frames = [_read_csv(spark, files, sep, name, multi_line) for name, files in groups.items()]
+    if any(f.columns != frames[0].columns for f in frames):
+        raise ValueError(f"files of one folder have different headers: {[f.columns for f in frames]}")
+    return reduce(lambda a, b: a.union(b), frames)
+
+
+def _read_csv(spark, path, sep, encoding, multi_line):
     if encoding.upper().replace("-", "") == "UTF16":
         multi_line = True
     reader = spark.read.options(
-        sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, header=True, mode="PERMISSIVE")
-    names = [c.lstrip("﻿").strip('"') for c in reader.csv(path).columns]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA]])
+        sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multi_line, header=True, mode="PERMISSIVE",
+        columnNameOfCorruptRecord=CORRUPT, columnPruning=False)
+    found = reader.csv(path).columns
+    names = [c.lstrip("\ufeff").strip('"') for c in found]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*found, CORRUPT]])
+    rows = reader.option("enforceSchema", False).schema(schema).csv(path).toDF(*names, CORRUPT)
+    # Spark marks rows of another length; their fields are counted outside quotes
+    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+    fields = F.size(F.split(bare, re.escape(sep)))
     too_long = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
-    rows = reader.schema(schema).csv(path)
-    return lower_columns(rows.where(F.when(F.col(EXTRA).isNull(), F.lit(True)).otherwise(too_long)).drop(EXTRA))
+    first = F.length(F.concat_ws("", F.col(f"`{names[0]}`"))) >= 0  # Spark refuses to read the marked rows alone
+    sound = F.when(F.col(CORRUPT).isNull() | (fields <= len(names)), first).otherwise(too_long)
+    return lower_columns(rows.where(sound).drop(CORRUPT))
+
+
+def _by_lines(spark, path):
+    """Files with one JSON object a line, and the others."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    alone = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.from_json("value", "map<string,string>").isNotNull()
+    files = (lines.select(F.col("_metadata.file_path").alias("file"), alone.alias("alone"))
+             .groupBy("file").agg((F.bool_and("alone") & (F.count("*") > 1)).alias("by_lines")).orderBy("file").collect())
+    return [[unquote(r.file) for r in files if r.by_lines == wanted] for wanted in (True, False)]
 
 
-def read_json(spark, path, orient="records"):
-    """JSON documents: 'records', or 'index', 'columns' and 'values' (whose cells become text)."""
+def read_json(spark, path, orient="records", lines=None):
+    """JSON documents: 'records', or 'index', 'columns' and 'values' (whose cells become text).
+
+    Records are one document a file or one object a line. Which of them is found
+    out by reading all lines once, unless `lines` says it; files with an object
+    a line are split over tasks.
+    """
     if orient == "records":
-        return lower_columns(spark.read.option("multiLine", True).json(path))
-    text = spark.read.option("wholetext", True).text(path).select("value")
+        if lines is not None:
+            return lower_columns(spark.read.option("multiLine", not lines).json(path))
+        by_lines, whole = _by_lines(spark, path)
+        if not by_lines or not whole:
+            return lower_columns(spark.read.option("multiLine", not by_lines).json(path))
+        frames = [lower_columns(spark.read.option("multiLine", not flag).json(files)) for flag, files in ((True, by_lines), (False, whole))]
+        return frames[0].unionByName(frames[1], allowMissingColumns=True)
+    text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if orient == "values":
         rows = text.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
         width = rows.agg(F.max(F.size("r"))).first()[0] or 0
         return rows.select(*[F.get("r", F.lit(i)).alias(str(i)) for i in range(width)])
-    cells = text.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("outer", "inner"))
+    cells = text.select("file", F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("outer", "inner"))
     if orient == "index":
         names = [r[0] for r in cells.select(F.explode(F.map_keys("inner"))).distinct().collect()]
         return lower_columns(cells.select(*[F.col("inner").getItem(n).alias(n) for n in sorted(names)]))
     if orient == "columns":
         names = sorted(r[0] for r in cells.select("outer").distinct().collect())
-        long = cells.select("outer", F.explode("inner").alias("row", "value"))
-        wide = long.groupBy("row").pivot("outer", names).agg(F.first("value"))
-        return lower_columns(wide.drop("row"))
+        long = cells.select("file", "outer", F.explode("inner").alias("row", "value"))
+        wide = long.groupBy("file", "row").agg(*[F.max(F.when(F.col("outer") == n, F.col("value"))).alias(n) for n in names])
+        return lower_columns(wide.select(*[f"`{n}`" for n in names]))
     raise ValueError(f"unknown JSON orient '{orient}'")
 
 
