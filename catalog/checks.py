@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.joins import ORDER_DIFFS, ORDER_KEYS, POSITIONS, SORTED, _line_hash, lines, orders
-from catalog.registry import LINE_KEYS, ORDER_COLUMNS, frame, query, with_views
+from catalog.registry import LINE_KEYS, ORDER_COLUMNS, frame, query, table, with_views
 from twinframe.operators import compare, keys, profile
 from twinframe.operators.align import common_columns
 
@@ -199,6 +199,19 @@ def agg_date_range(spark, sf):
         "column", *[text(c) for c in ("source_min", "source_max", "target_min", "target_max")], "matches")
 
 
+@query("agg_date_range_text", """
+SELECT 'due' AS column, '0001-01-01 00:00:00' AS source_min, '9999-12-31 00:00:00' AS source_max,
+  '0001-01-01 00:00:00' AS target_min, strftime(max(o_orderdate) FILTER (o_orderkey % 50 > 1), '%Y-%m-%d 00:00:00') AS target_max,
+  FALSE AS matches FROM orders""")
+def agg_date_range_text(spark, sf):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    due = lambda last: F.when(F.col("o_orderkey") % 50 == 0, F.lit("0001-01-01")).when(F.col("o_orderkey") % 50 == 1, last).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    sides = [table(spark, sf, "orders").select("o_orderkey", due(last).alias("due")) for last in (F.lit("9999-12-31"), F.lit("0001-01-01"))]
+    return profile.date_range_check(*sides, ["due"]).select(
+        "column", *[text(c) for c in ("source_min", "source_max", "target_min", "target_max")], "matches")
+
+
 def _text_sql(columns, hit):
     return with_views("orders_src1", "orders_tgt1") + " UNION ALL ".join(
         f"""SELECT '{c}' AS column, count(*) AS hits, concat('o_orderkey=', CAST(min(o_orderkey) AS STRING)) AS pk,

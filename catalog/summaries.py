@@ -54,7 +54,7 @@ def agg_failure_summary(spark, sf):
 
 
 @query("agg_failure_patterns", HISTORY + """
-SELECT substring(trim(source_value, ''''), 1, 40) AS source_value, substring(trim(target_value, ''''), 1, 40) AS target_value,
+SELECT trim(source_value, '''') AS source_value, trim(target_value, '''') AS target_value,
   count(*) AS occurrences FROM history WHERE result = 'FAIL' GROUP BY 1, 2""")
 def agg_failure_patterns(spark, sf):
     return summaries.failure_patterns(history(spark, sf))

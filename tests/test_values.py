@@ -72,10 +72,12 @@ def test_formatting(spark):
 
 
 def test_dates_from_text(spark):
-    given = {"2024-01-02": True, "1999": True, "123": False, "0899": False, "01/02/2024": False, "": False}
+    given = {"2024-01-02": True, "1999": True, "123": False, "0899": True, "9999-12-31": True, "01/02/2024": False, "": False}
     df = spark.createDataFrame([(g,) for g in given], "x string")
-    got = {r.x: r.ok for r in df.select("x", F.expr(values.parse_date("x")).isNotNull().alias("ok")).collect()}
-    assert got == given
+    date = lambda **how: F.expr(values.parse_date("x", **how)).isNotNull()
+    assert {r.x: r.ok for r in df.select("x", date().alias("ok")).collect()} == given
+    bounded = {r.x: r.ok for r in df.select("x", date(bounded=True).alias("ok")).collect()}
+    assert bounded == {**given, "0899": False, "9999-12-31": False}
 
 
 def test_hash_algorithms(spark):

@@ -23,7 +23,7 @@ _NUMBER = rf"^[{_SPACES}]*[+-]?[0-9]+(\.[0-9]*)?[{_SPACES}]*\z"
 _OWN_KEY = (r"^(?:0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]|"
             rf"[^{_SPACES}0-9+-](?s:.*[^{_SPACES}])?)\z")
 
-# First and last time that counts as a date.
+# First and last time of bounded dates.
 FIRST_TIME, LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 
 
@@ -188,9 +188,14 @@ def differs_in_ascii(s, t):
     return f"({s} <> {t} AND {is_ascii(s)} <> {is_ascii(t)})"
 
 
-def parse_date(x, fmt=None):
-    """Timestamp without zone from text; null where it does not parse or is out of range."""
+def parse_date(x, fmt=None, bounded=False):
+    """Timestamp without zone from text; null where it does not parse.
+
+    With `bounded`, also null outside the years that nanoseconds in 64 bits reach.
+    """
     parsed = f"CAST(try_to_timestamp({x}{', ' + text(fmt) if fmt else ''}) AS TIMESTAMP_NTZ)"
+    if not bounded:
+        return parsed
     return (f"CASE WHEN {parsed} BETWEEN TIMESTAMP_NTZ'{FIRST_TIME}' AND TIMESTAMP_NTZ'{LAST_TIME}' "
             f"THEN {parsed} END")
 

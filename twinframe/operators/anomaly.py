@@ -19,7 +19,8 @@ log = logging.getLogger(__name__)
 
 N_TREES = 100
 SAMPLE_SIZE = 256
-POOL_FACTOR = 16  # rows drawn in all: POOL_FACTOR * sample size
+WHOLE = 16  # up to so many times the sample size, every tree draws from all rows
+SPARE = 2  # in larger tables, places drawn for each place in a tree
 
 # A tree is complete: node i has the children 2i + 1 and 2i + 2, `path` is the
 # path length at each leaf. Early leaves are continued with splits that all
@@ -55,16 +56,17 @@ def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
     """(tree_id, order, *columns): the rows each tree is grown from.
 
     Equal rows are counted first. A row that occurs n times gets n * rate
-    places in the pool, the fraction decided by a hash of its values, so the
-    draw is proportional, needs no row identity and does not depend on the
-    partitioning. Each tree then takes its rows from the pool by hash.
+    places, the fraction decided by a hash of its values, so the draw is
+    proportional, needs no row identity and does not depend on the
+    partitioning. In a large table a hash gives every place to one tree, so no
+    two trees share a draw; in a small one each tree picks from all rows.
     """
     points = df.where(_complete(columns)).select(*_doubles(df, columns))
     rows = points.count()
     if rows == 0:
         raise ValueError("No valid data after removing NaNs")
-    pool_rows = POOL_FACTOR * size
-    rate = min(1.0, pool_rows / rows)
+    small = rows <= WHOLE * size
+    rate = 1.0 if small else SPARE * n_trees * size / rows
     share = F.col("n") * F.lit(rate)
     unit = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(share) + F.when(unit < share - F.floor(share), 1).otherwise(0)
@@ -74,10 +76,11 @@ def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
         .select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         .select(*columns, F.xxhash64(*columns, "copy", F.lit(seed)).alias("h"))
     )
-    # The pool is small; a fixed partition count keeps the trees on all cores.
+    # The draw is small; a fixed partition count keeps the trees on all cores.
     cores = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
-    trees = (pool.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"), "*")
-             .repartition(cores, "tree_id"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
+    own = F.pmod(F.xxhash64("h", F.lit("tree")), F.lit(n_trees)).cast("int")
+    trees = pool.select((every if small else own).alias("tree_id"), "*").repartition(cores, "tree_id")
     ordered = trees.withColumn("order", F.xxhash64("h", "tree_id"))
     return first_n(ordered, ["order", *columns], size, "tree_id").select("tree_id", "order", *columns)
 

@@ -49,6 +49,9 @@ def _outside(df, rule):
             raise RuleError(f"bounds of numeric column '{rule['column']}' must be numbers")
         bound = F.lit
     elif isinstance(dtype, DATES):
+        bad = [b for b in (lo, hi) if b is not None and _only(df, F.lit(b).try_cast(dtype)) is None]
+        if bad:
+            raise RuleError(f"no {dtype.simpleString()}: {bad}")
         bound = lambda b: F.lit(b).cast(dtype)
     else:
         raise RuleError(f"column '{rule['column']}' of type {dtype.simpleString()} has no range")
@@ -57,6 +60,14 @@ def _outside(df, rule):
     return _any(tests)
 
 
+def _only(df, value):
+    """A constant, evaluated; what cannot be is an error of the rule."""
+    try:
+        return df.sparkSession.range(1).select(value.alias("value")).first()["value"]
+    except Exception as e:
+        raise RuleError(str(e).splitlines()[0][:200]) from None
+
+
 def _any(tests):
     out = F.lit(False)
     for t in tests:
@@ -66,6 +77,7 @@ def _any(tests):
 
 def _no_match(df, rule):
     dtype = df.schema[rule["column"]].dataType
+    _only(df, F.lit("").rlike(f"^(?:{rule['regex']})"))
     return ~F.expr(as_text(name(rule["column"]), dtype)).rlike(f"^(?:{rule['regex']})")
 
 

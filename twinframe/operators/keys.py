@@ -163,21 +163,26 @@ def symmetric_difference(sets):
                     (F.col("source_only") + F.col("target_only")).alias("difference"))
 
 
-def missing_keys(df, other, keys, mode="canonical"):
-    """Distinct keys of `df` that `other` lacks."""
+def _distinct_against(df, other, keys, mode, how):
+    """Distinct keys of `df`, joined to the distinct keys of `other`; repeated keys are combined before the shuffle."""
     mine, theirs = join_keys(df, other, keys, mode)
     names = names_of(mine)
     left = df.select(*mine, *[df[k] for k in keys]).groupBy(*names).agg(*[F.min(k).alias(k) for k in keys])
-    return left.join(other.select(*theirs).distinct(), names, "left_anti").select(*keys)
+    return left.join(other.select(*theirs).distinct(), names, how).select(*keys)
+
+
+def missing_keys(df, other, keys, mode="canonical"):
+    """Distinct keys of `df` that `other` lacks."""
+    return _distinct_against(df, other, keys, mode, "left_anti")
 
 
-def key_intersection(source, target, keys):
+def key_intersection(source, target, keys, mode="canonical"):
     """Distinct keys found on both sides (null meets null)."""
-    return source.select(*keys).intersect(target.select(*keys))
+    return _distinct_against(source, target, keys, mode, "left_semi")
 
 
-def key_difference(source, target, keys):
-    return source.select(*keys).subtract(target.select(*keys))
+def key_difference(source, target, keys, mode="canonical"):
+    return missing_keys(source, target, keys, mode)
 
 
 def count_up(df, start, n, number, chunk=100_000):

@@ -52,9 +52,14 @@ def failure_summary(results):
             .select("validation", "fails", F.col("first.column").alias("column"), short.alias("first_detail")))
 
 
-def failure_patterns(results):
-    """How often each (source value, target value) pair fails; quotes dropped, 40 characters each."""
-    short = lambda c: F.substring(F.regexp_replace(c, "^'+|'+$", ""), 1, 40)
+def failure_patterns(results, width=None):
+    """How often each (source value, target value) pair fails, without outer quotes.
+
+    `width` groups by that many leading characters; whole values by default.
+    """
+    def short(c):
+        bare = F.regexp_replace(c, "^'+|'+$", "")
+        return F.substring(bare, 1, width) if width else bare
     return (by_status(results, "FAIL")
             .groupBy(short("source_value").alias("source_value"), short("target_value").alias("target_value"))
             .agg(F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("occurrences"), "source_value", "target_value"))
