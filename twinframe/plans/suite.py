@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from twinframe.operators.align import AlignmentRules, clean_name
 from twinframe.operators.summaries import consolidate
 from twinframe.plans.validation import Options, validate
+from twinframe.shared import written
 from twinframe.sinks import write_report
 from twinframe.sources.files import read_file
 from twinframe.sources.tables import read_table
-from twinframe.sources.workbooks import embedded_rows, read_archives, workbook_catalog
+from twinframe.sources.workbooks import embedded_rows, match_source, read_archives, workbook_catalog
 
 log = logging.getLogger(__name__)
 
@@ -31,10 +32,13 @@ def load_dataset(spark, config):
     if kind == "datasource":
         archives = read_archives(spark, config["path"])
         if config.get("extract_data", True):
-            names = embedded_rows(archives).select(F.explode(F.map_keys("cells")).alias("n")).distinct()
+            if config.get("datasource_name"):
+                wanted = match_source(workbook_catalog(archives), config["datasource_name"]).select("path")
+                archives = archives.join(wanted, "path", "left_semi")
+            rows = written(embedded_rows(archives), "embedded")
+            names = rows.select(F.explode(F.map_keys("cells")).alias("n")).distinct()
             columns = sorted(r.n for r in names.collect())  # as many as the data has columns
             if columns:
-                rows = embedded_rows(archives)
                 return rows.select(*[F.col("cells").getItem(c).alias(c) for c in columns])
         listed = workbook_catalog(archives)
         if config.get("datasource_name"):

@@ -5,12 +5,13 @@ gives for a folder, and reads the archives in the tasks.
 """
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-CATALOG_SCHEMA = ("path string, datasource_name string, column_name string, datatype string, raw_name string, "
-                  "found_by string, position int")
-INVENTORY_SCHEMA = ("path string, workbook_name string, datasource_count int, worksheet_count int, "
-                    "dashboard_count int, file_size bigint, has_hyper boolean, has_tde boolean, has_csv boolean")
+ELEMENT_SCHEMA = ("path string, at int, last int, tag string, attributes map<string,string>, text string, "
+                  "files array<string>, file_size bigint")
+HIDDEN = ("Parameters", "Sample - Superstore")  # fixed values: built-in sources
+UNKNOWN, SYSTEM = "unknown", "System"
 MIN_SIMILARITY = 0.5
 
 
@@ -20,96 +21,116 @@ def read_archives(spark, path):
             .option("pathGlobFilter", "*.{twbx,tdsx}").load(path).select("path", "content"))
 
 
-def _xml_tools():
-    """Functions that read one archive; made here so that tasks receive them by value."""
-    import io
-    import xml.etree.ElementTree as ET
-    import zipfile
-
-    hidden = ("Parameters", "Sample - Superstore")  # fixed values: built-in sources
-
-    def open_archive(content):
-        return zipfile.ZipFile(io.BytesIO(content))
-
-    def root_of(archive):
-        inner = [n for n in archive.namelist() if n.endswith((".twb", ".tds"))]
-        if not inner:
-            raise ValueError("no .twb or .tds file in the archive")
-        return ET.fromstring(archive.read(inner[0]))
-
-    def sources(root):
-        found = root.findall(".//datasource") or ([root] if root.tag == "datasource" else [])
-        shown = [d for d in found if d.get("name", "") not in hidden]
-        return {d.get("caption", d.get("name", f"Datasource_{i}")): d for i, d in enumerate(shown)}
-
-    def from_records(source):
-        for record in source.iterfind(".//metadata-record"):
-            raw, kind = record.findtext(".//local-name"), record.findtext(".//local-type")
-            name = (raw or "").strip("[]")
-            if name and not name.startswith("System"):
-                yield name, kind or "unknown", raw
-
-    def from_columns(source):
-        for column in source.iterfind(".//column"):
-            raw = column.get("name", column.get("caption", ""))
-            if raw and not raw.startswith("[System"):
-                yield raw.strip("[]"), column.get("datatype", "unknown"), raw
-
-    def from_any(source):
-        seen = set()
-        for element in source.iter():
-            raw = element.get("name", "")
-            name = raw.strip("[]")
-            if raw.startswith("[") and not raw.startswith("[System") and name and name not in seen:
-                seen.add(name)
-                yield name, element.get("datatype", element.get("type", "unknown")), raw
-
-    def columns(source):
-        for how, rule in (("metadata-record", from_records), ("column-element", from_columns),
-                          ("element-search", from_any)):
-            listed = {name: (name, kind, raw, how) for name, kind, raw in rule(source)}
-            if listed:
-                return list(listed.values())
-        return []
-
-    return open_archive, root_of, sources, columns
+def xml_elements(archives):
+    """The elements of each archive's description, numbered in document order.
 
+    An element holds those from `at` to `last`. The first element of an archive
+    also has the names of its files and its size.
+    """
+    def read(batches):
+        import io
+        import zipfile
+        from xml.parsers import expat
 
-def workbook_catalog(archives):
-    """One row per data source column of every archive."""
-    open_archive, root_of, sources, columns = _xml_tools()
-    names = [f.split()[0] for f in CATALOG_SCHEMA.split(", ")]
+        def flat(text):
+            rows, open_ = [], []
+
+            def start(tag, attributes):
+                open_.append(len(rows))
+                rows.append([len(rows), 0, tag, attributes, ""])
+
+            def end(_):
+                rows[open_.pop()][1] = len(rows) - 1
+
+            def characters(data):
+                rows[open_[-1]][4] += data
+
+            parser = expat.ParserCreate()
+            parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+            parser.Parse(text, True)
+            return rows
 
-    def read(batches):
         for batch in batches:
-            rows = []
+            out = []
             for path, content in zip(batch["path"], batch["content"]):
-                for source, element in sources(root_of(open_archive(content))).items():
-                    for i, (name, kind, raw, how) in enumerate(columns(element)):
-                        rows.append((path, source, name, kind, raw, how, i))
-            yield pd.DataFrame(rows, columns=names)
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    files = archive.namelist()
+                    described = [f for f in files if f.endswith((".twb", ".tds"))]
+                    if not described:
+                        raise ValueError(f"{path}: no .twb or .tds file in the archive")
+                    rows = flat(archive.read(described[0]))
+                out += [(path, *row, files if not row[0] else None, len(content)) for row in rows]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ELEMENT_SCHEMA.split(", ")])
+
+    return archives.mapInPandas(read, ELEMENT_SCHEMA)
+
+
+def _sources(elements):
+    """path, label, first, last: the data sources shown, of equal labels the last one."""
+    attribute = F.col("attributes").getItem
+    shown = elements.where((F.col("tag") == "datasource") & ~F.coalesce(attribute("name"), F.lit("")).isin(*HIDDEN))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1
+    label = F.coalesce(attribute("caption"), attribute("name"), F.concat(F.lit("Datasource_"), number.cast("string")))
+    return (shown.select("path", label.alias("label"), "at", "last").groupBy("path", "label")
+            .agg(F.max(F.struct("at", "last")).alias("x")).select("path", "label", F.col("x.at").alias("first"), "x.last"))
+
+
+def _mentions(elements):
+    """path, at, raw, datatype, found_by, level: columns that an element names, the surest kind of element first."""
+    attribute = F.col("attributes").getItem
+    records = elements.where("tag = 'metadata-record'").select("path", F.col("at").alias("record"), F.col("last").alias("end"))
+    parts = elements.where("tag in ('local-name', 'local-type')").select("path", "at", "tag", "text")
+    text = lambda tag: F.min_by("text", F.when(F.col("tag") == tag, F.col("at"))).alias(tag)
+    one = (parts.join(records, "path").where("at > record and at <= end").groupBy("path", "record")
+           .agg(text("local-name"), text("local-type"), F.bool_or(F.col("tag") == "local-name").alias("named")).where("named")
+           .select("path", F.col("record").alias("at"), F.col("local-name").alias("raw"), F.nullif("local-type", F.lit("")).alias("datatype"),
+                   F.lit("metadata-record").alias("found_by"), F.lit(1).alias("level")))
+    two = elements.where("tag = 'column'").select(
+        "path", "at", F.coalesce(attribute("name"), attribute("caption")), attribute("datatype"), F.lit("column-element"), F.lit(2))
+    three = elements.where(F.startswith(attribute("name"), F.lit("["))).select(
+        "path", "at", attribute("name"), F.coalesce(attribute("datatype"), attribute("type")), F.lit("element-search"), F.lit(3))
+    return one.union(two).union(three).withColumn("datatype", F.coalesce("datatype", F.lit(UNKNOWN)))
 
-    return archives.mapInPandas(read, CATALOG_SCHEMA)
+
+def workbook_catalog(archives):
+    """One row per data source column of every archive.
+
+    A source's columns come from its metadata records, else its column elements,
+    else all elements with a bracketed name. Of equal names the last record or
+    column counts, or the first other element.
+    """
+    elements = xml_elements(archives)
+    name = F.btrim("raw", F.lit("[]"))
+    listed = (_mentions(elements).withColumn("column_name", name)
+              .where((F.col("column_name") != "") & ~F.startswith("column_name", F.lit(SYSTEM)))
+              .join(_sources(elements).withColumnRenamed("last", "end"), "path").where("at > first and at <= end"))
+    best = listed.withColumn("best", F.min("level").over(Window.partitionBy("path", "label"))).where("level = best")
+    chosen = F.max_by(F.struct("datatype", "raw", "found_by"), F.when(F.col("level") < 3, F.col("at")).otherwise(-F.col("at")))
+    unique = best.groupBy("path", "label", "column_name").agg(chosen.alias("x"), F.min("at").alias("at"))
+    position = F.row_number().over(Window.partitionBy("path", "label").orderBy("at")) - 1
+    return unique.select("path", F.col("label").alias("datasource_name"), "column_name", "x.datatype", F.col("x.raw").alias("raw_name"),
+                         "x.found_by", position.alias("position"))
 
 
 def workbook_inventory(archives):
     """Counts, size and embedded data kinds of every archive."""
-    open_archive, root_of, sources, _ = _xml_tools()
-    names = [f.split()[0] for f in INVENTORY_SCHEMA.split(", ")]
+    elements = xml_elements(archives)
+    attribute = F.col("attributes").getItem
+    shown = (F.col("tag") == "datasource") & ~F.coalesce(attribute("name"), F.lit("")).isin(*HIDDEN)
+    label = F.coalesce(attribute("caption"), attribute("name"), F.concat(F.lit("Datasource_"), F.col("at").cast("string")))
+    counts = elements.groupBy("path").agg(
+        F.min_by(F.coalesce(attribute("name"), F.lit("Unknown")), "at").alias("workbook_name"),
+        F.count_distinct(F.when(shown, label)).cast("int").alias("datasource_count"),
+        F.count_if(F.col("tag") == "worksheet").cast("int").alias("worksheet_count"),
+        F.count_if(F.col("tag") == "dashboard").cast("int").alias("dashboard_count"),
+        F.max("file_size").alias("file_size"), F.min_by("files", "at").alias("files"))
 
-    def read(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                archive = open_archive(content)
-                root, inner = root_of(archive), archive.namelist()
-                has = lambda *ends: any(n.endswith(ends) for n in inner)
-                rows.append((path, root.get("name", "Unknown"), len(sources(root)),
-                             len(root.findall(".//worksheet")), len(root.findall(".//dashboard")), len(content),
-                             has(".hyper"), has(".tde"), has(".csv", ".tsv", ".txt")))
-            yield pd.DataFrame(rows, columns=names)
+    def has(*ends):
+        return F.exists("files", lambda f: f.rlike("(?:" + "|".join(ends) + ")$"))
 
-    return archives.mapInPandas(read, INVENTORY_SCHEMA)
+    return counts.select("path", "workbook_name", "datasource_count", "worksheet_count", "dashboard_count", "file_size",
+                         has(r"\.hyper").alias("has_hyper"), has(r"\.tde").alias("has_tde"),
+                         has(r"\.csv", r"\.tsv", r"\.txt").alias("has_csv"))
 
 
 def embedded_rows(archives):
@@ -117,11 +138,10 @@ def embedded_rows(archives):
 
     Fields are split at commas, or at tabs if the commas do not fit.
     """
-    open_archive, _, _, _ = _xml_tools()
-
     def read(batches):
         import csv
         import io
+        import zipfile
 
         def parse(text, sep):
             lines = list(csv.reader(io.StringIO(text), delimiter=sep))
@@ -130,7 +150,7 @@ def embedded_rows(archives):
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
-                archive = open_archive(content)
+                archive = zipfile.ZipFile(io.BytesIO(content))
                 inner = [n for n in archive.namelist() if n.endswith((".csv", ".tsv", ".txt"))]
                 if not inner:
                     continue
