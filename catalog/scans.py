@@ -4,6 +4,8 @@ File queries first write a whole table to the shared folder in the format in
 question and then read it back.
 """
 
+import datetime
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -157,6 +159,61 @@ def scan_json_values(spark, sf):
     return files.read_file(spark, path, format="json", json_orient="values")
 
 
+@query("scan_csv_short_rows", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+FROM customer""")
+def scan_csv_short_rows(spark, sf):
+    """Every third row lacks its last field."""
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat_ws(",", "c_custkey", "c_name")).otherwise(
+        F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment"))
+    body = F.concat(F.lit("c_custkey,c_name,c_mktsegment\n"), F.array_join(F.collect_list(line), "\n"))
+    path = new_path(spark, "short-rows")
+    rows = table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(body.alias("value"))
+    rows.write.partitionBy("part").text(path)
+    return files.read_csv(spark, f"{path}/*", multi_line=False)
+
+
+@query("scan_csv_mixed_encodings", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, concat('Zürich-', c_name, '-é') AS label FROM customer""")
+def scan_csv_mixed_encodings(spark, sf):
+    """One folder with files in two encodings."""
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Zürich-"), "c_name", F.lit("-é")).alias("label"))
+    path = new_path(spark, "mixed")
+    for rest, encoding in ((0, "ISO-8859-1"), (1, "UTF-8")):
+        rows.where(F.col("c_custkey") % 2 == rest).write.mode("append").options(header=True, encoding=encoding).csv(path)
+    return files.read_file(spark, path, format="csv")
+
+
+@query("scan_json_lines", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
+def scan_json_lines(spark, sf):
+    path = new_path(spark, "json-lines")
+    table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment").write.json(path)
+    read = files.read_file(spark, path, format="json")
+    return read.select("c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_mktsegment")
+
+
+@query("scan_json_columns_files", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer")
+def scan_json_columns_files(spark, sf):
+    """Several files with the same row labels."""
+    label = (F.col("c_custkey") % 100).cast("string")
+    by_row = lambda c: F.map_from_entries(F.collect_list(F.struct(label, c)))
+    body = F.to_json(F.struct(by_row(F.col("c_custkey").cast("string")).alias("key"), by_row(F.col("c_name")).alias("name")))
+    path = _json_documents(table(spark, sf, "customer"), spark, "json", "c_custkey", body, width=100)
+    return files.read_file(spark, path, format="json", json_orient="columns")
+
+
+@query("sink_reports_of_like_names", """
+SELECT 'one' AS run, CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation
+UNION ALL SELECT 'two', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE n_nationkey % 2 = 0""")
+def sink_reports_of_like_names(spark, sf):
+    """Two reports of one moment whose names differ only in what a path cannot hold."""
+    rows, folder, now = table(spark, sf, "nation").select("n_nationkey", "n_name"), new_path(spark, "reports"), datetime.datetime.now()
+    one = sinks.write_report(rows, folder, "A/B", now)
+    two = sinks.write_report(rows.where("n_nationkey % 2 = 0"), folder, "a b", now)
+    read = lambda path, run: files.read_csv(spark, path).select(F.lit(run).alias("run"), "n_nationkey", "n_name")
+    return read(one, "one").union(read(two, "two"))
+
+
 def archives(spark, sf):
     """A workbook archive per customer with two data sources and an embedded text file."""
     rows = table(spark, sf, "customer").select(
