@@ -90,12 +90,11 @@ def brute_positions(s, t, columns):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_positional_compare_against_brute_force(spark, monkeypatch, seed):
+def test_positional_compare_against_brute_force(spark, seed):
     rng = random.Random(seed)
     pick = lambda n: [{"a": rng.choice(["p", "q", "r", None]), "b": rng.choice("xyz")} for _ in range(n)]
     # A third of all rows is one and the same row.
     s, t = pick(300) + [{"a": "q", "b": "y"}] * 900, pick(500) + [{"a": "q", "b": "y"}] * 250
-    monkeypatch.setattr(compare, "BUCKET_ROWS", 64)
     frames = [spark.createDataFrame([(r["a"], r["b"]) for r in x], "a string, b string").repartition(3) for x in (s, t)]
     segments = compare.positional_segments(*frames).persist()
     counts, cells = brute_positions(s, t, ["a", "b"])

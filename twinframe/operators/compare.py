@@ -4,17 +4,14 @@ import itertools
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from twinframe.functions.types import FLOATS, TEXTS
 from twinframe.functions.values import (
     NULL_TEXT, as_text, atomic_frame, differs_in_ascii, differs_in_case, differs_in_leading_zero, is_quoted, name,
     row_hash, text, truncate, unequal)
-from twinframe.operators.keys import count_up, first_n
+from twinframe.operators.keys import first_n
 from twinframe.shared import written
 
-BUCKET_ROWS = 1_000_000  # most rows of a side that one positional task holds
-
 
 def _cells(pair, column):
     return name("s", column), name("t", column)
@@ -212,73 +209,46 @@ def finding_examples(found, pair):
 
 # Comparison without a key: row i of the sorted source against row i of the sorted target.
 
-def _runs(df, columns):
-    """Distinct rows as text with their global sorted position (columns, start, n), and the row total.
+TIE = "__tie"
+
+def _placed(df, columns):
+    """Every row as text with its place in the text sort of all columns (position, columns), and the row total.
 
-    Equal rows are counted into one run first, so a row repeated any number of
-    times sorts as a single row.
+    One range sort: a row number breaks ties, so equal rows spread over parts as
+    well, and the numbers given behind the sort hold part and place.
     """
-    runs = (
-        df.selectExpr(*[f"{as_text(name(c), df.schema[c].dataType)} AS {name(c)}" for c in columns])
-        .groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    )
-    # Written once: positions below rely on one fixed split into sorted parts.
-    parts = written(runs.orderBy(*columns).withColumn("part", F.spark_partition_id()), "runs")
-    within = Window.partitionBy("part").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = sorted(parts.groupBy("part").agg(F.sum("n")).collect())  # one row per sorted part
+    texts = df.selectExpr(*[f"{as_text(name(c), df.schema[c].dataType)} AS {name(c)}" for c in columns])
+    ordered = (texts.withColumn(TIE, F.monotonically_increasing_id()).orderBy(*[F.col(name(c)) for c in columns], TIE).drop(TIE)
+               .withColumn("__at", F.monotonically_increasing_id()))
+    # Written once: positions rely on one fixed split into sorted parts.
+    parts = written(ordered, "sorted").withColumn("__part", F.shiftright("__at", 33))
+    sizes = sorted(parts.groupBy("__part").count().collect())  # one row per sorted part
     ends = list(itertools.accumulate(size for _, size in sizes))
     offsets = df.sparkSession.createDataFrame(
-        [(part, end - size) for (part, size), end in zip(sizes, ends)], "part int, offset bigint")
-    runs = (
-        parts.withColumn("upto", F.sum("n").over(within))
-        .join(F.broadcast(offsets), "part")  # as many rows as sorted parts
-        .select(*columns, (F.col("offset") + F.col("upto") - F.col("n")).alias("start"), "n"))
-    return runs, (ends[-1] if ends else 0)
+        [(part, end - size) for (part, size), end in zip(sizes, ends)], "__part bigint, __offset bigint")
+    place = F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (parts.join(F.broadcast(offsets), "__part")  # as many rows as sorted parts
+            .select(place.alias("position"), *[F.col(name(c)) for c in columns])), (ends[-1] if ends else 0)
 
 
 def sorted_positions(df, columns):
     """Every row as text with its position in the text sort of all columns."""
-    runs, _ = _runs(df, columns)
-    return count_up(runs, "start", "n", "position").select("position", *columns)
+    return _placed(df, columns)[0]
 
 
 def positional_segments(source, target, columns=None):
-    """Stretches of positions over which both sides hold one row each.
+    """The rows of both sides at each position, as (position, length, s, t); `s` and `t` are the rows as text.
 
-    Returns (position, length, s, t) where `s` and `t` are the rows as text.
-    Positions beyond the shorter side are ignored. Runs are cut at fixed
-    position buckets; inside a bucket the two sides are merged by one ordered
-    window, so no task holds more than a bucket and no pairs are formed.
+    Positions beyond the shorter side are ignored. Positions are unique, so
+    their join has no heavy key. `length` is 1.
     """
     source, target = atomic_frame(source), atomic_frame(target)
     columns = columns or sorted(set(source.columns) & set(target.columns))
-    (s_runs, s_rows), (t_runs, t_rows) = _runs(source, columns), _runs(target, columns)
-    rows = min(s_rows, t_rows)
-    parallel = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = min(BUCKET_ROWS, max(1024, -(-rows // (4 * parallel))))
-
-    def pieces(runs, side, other):
-        stop = F.least(F.col("start") + F.col("n"), F.lit(rows))
-        row = F.struct(*columns)
-        empty = F.lit(None).cast(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        return (
-            runs.where(F.col("start") < rows)
-            .withColumn("bucket", F.explode(F.sequence(
-                F.floor(F.col("start") / width), F.floor((stop - 1) / width))))
-            .select("bucket", F.greatest("start", F.col("bucket") * width).alias("position"),
-                    row.alias(side), empty.alias(other)))
-
-    merged = pieces(s_runs, "s", "t").unionByName(pieces(t_runs, "t", "s"))
-    upto = Window.partitionBy("bucket").orderBy("position")
-    following = Window.partitionBy("bucket").orderBy("position", F.col("s").isNull())
-    end = F.least((F.col("bucket") + 1) * width, F.lit(rows))
-    return (
-        merged.select(
-            "position",
-            (F.coalesce(F.lead("position").over(following), end) - F.col("position")).alias("length"),
-            F.last("s", ignorenulls=True).over(upto).alias("s"),
-            F.last("t", ignorenulls=True).over(upto).alias("t"))
-        .where("length > 0"))
+    sides = []
+    for df, side in ((source, "s"), (target, "t")):
+        rows, _ = _placed(df, columns)
+        sides.append(rows.select("position", F.struct(*[F.col(name(c)) for c in columns]).alias(side)))
+    return sides[0].join(sides[1], "position").select("position", F.lit(1).cast("bigint").alias("length"), "s", "t")
 
 
 def _text_differs(column):
