@@ -1,10 +1,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from twinframe.llm import rans, token_files
 from twinframe.llm.queries import tokenizer_path
+from twinframe.llm.text import raw
 from twinframe.llm.token_files import read_tokens, token_index, write_tokens
 
 
@@ -64,3 +68,18 @@ def test_damage_is_noticed(spark, frame, prose):
     spark.read.parquet(f"{path}/table").write.parquet(f"{path}-bad/table")
     with pytest.raises(Exception, match="wrong checksum"):
         token_index(spark, f"{path}-bad").collect()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab'sSZ19.,<|>\u00e9\u00d7\u0130\u0131\u0301\u201d\u00b2\u03a3\u00a0 \t\n\u0149"), st.characters(codec="utf-8"))), max_size=6))
+def test_pieces_give_the_ids_of_whole_texts(texts):
+    coder = token_files.encoder(tokenizer_path())
+    ids, at = coder.encode(*raw(pa.array(texts, pa.string())))
+    assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == whole(texts)
+
+
+def test_special_tokens_in_texts():
+    texts = ["<|endoftext|>", "x<|endoftext|>,y", "<|ENDOFTEXT|> a", "'<|startoftext|>'s it's IT'S 'll,l"]
+    coder = token_files.encoder(tokenizer_path())
+    ids, at = coder.encode(*raw(pa.array(texts)))
+    assert [list(ids[a:b]) for a, b in zip(at[:-1], at[1:])] == whole(texts)
