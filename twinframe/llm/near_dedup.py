@@ -1,13 +1,14 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact sets.
 
 Documents are sets of word shingles. Equal sets are one node. Nodes that share
-a band of their MinHash signature are candidates: every bucket compares its
-members with its smallest one, small buckets also all pairs. Where a large bucket
-then still holds several components, its members are compared with those outside
-the largest one, if these are few; else further bands split it. The signatures
-of a candidate pair are compared batch by batch; after each batch the pair is
-dropped when the posterior of a similarity at or above the threshold is below
-the chosen miss probability. Survivors are confirmed on their full sets.
+a band of their MinHash signature are candidates. At first every bucket compares
+its members with its smallest one, and small buckets all their pairs. In large
+buckets that then still hold several components, what is outside the largest
+one is compared, in blocks of signatures, with that component and with one
+another, so every candidate pair is decided and none is written out. Signatures
+are compared batch by batch; after each batch a pair is dropped when the
+posterior of a similarity at or above the threshold is below the chosen miss
+probability. Survivors are confirmed on their full sets.
 """
 
 import hashlib
@@ -17,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from twinframe.llm.buckets import buckets, candidates, remaining_pairs, with_outside
+from twinframe.llm.buckets import buckets, candidates
 from twinframe.llm.components import components
-from twinframe.llm.text import chunks, mix, shingles
+from twinframe.llm.text import chunks, mix, raw, shingles
 from twinframe.shared import written
 
 BAND_ROWS, BANDS, BATCH = 4, 32, 16
@@ -28,8 +29,8 @@ _seeds = np.random.default_rng(20)
 SCALE = _seeds.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
 SHIFT = _seeds.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 SPREAD = np.uint32(0x85EBCA6B)  # fixed odd multiplier
-#: Rows of one pivot that one task compares; a plan setting only.
-TOGETHER = 256
+#: Plan settings only: texts of one pivot's partners, and signatures of one block, that one task compares.
+TOGETHER, BLOCK = 256, 1024
 
 
 def signatures(hashes, at):
@@ -45,7 +46,7 @@ def signatures(hashes, at):
 
 
 def sketch(docs, width):
-    """doc_id, n_shingles, digest of the set, signature; the last two are null for empty sets."""
+    """doc_id, n_shingles, digest of the set, signature, two bits of each place; the last three are null for empty sets."""
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
@@ -53,19 +54,20 @@ def sketch(docs, width):
                 hashes, at = shingles(data, offsets, width)
                 rows = len(at) - 1
                 full = np.flatnonzero(np.diff(at))
-                sizes, digests, signs = np.zeros(rows, np.int64), [None] * rows, [None] * rows
+                sizes, digests, signs, briefs = np.zeros(rows, np.int64), [None] * rows, [None] * rows, [None] * rows
                 if len(full):
                     signed = signatures(hashes, np.append(at[full], at[-1]))
+                    brief = ((signed & 3).astype(np.uint8).reshape(len(full), -1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(2, dtype=np.uint8)
                     for k, row in enumerate(full):
                         found = np.unique(hashes[at[row]:at[row + 1]])
                         sizes[row] = len(found)
                         digests[row] = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                        signs[row] = signed[k].tobytes()
+                        signs[row], briefs[row] = signed[k].tobytes(), brief[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "sign"])
+                    [ids.slice(first, rows), pa.array(sizes), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()),
+                     pa.array(briefs, pa.binary())], ["doc_id", "n_shingles", "digest", "sign", "brief"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sign binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sign binary, brief binary")
 
 
 def band_values(signs):
@@ -77,8 +79,8 @@ def band_values(signs):
     return out
 
 
-def band_keys(nodes):
-    """key, band, id: one row for each node and band."""
+def band_keys(nodes, *more):
+    """key, band, id: one row for each node and band, with more columns of numbers."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -87,37 +89,20 @@ def band_keys(nodes):
                 bands = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.ravel().view(np.int64)), pa.array(bands),
-                     pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), BANDS))], ["key", "band", "id"])
+                     *[pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in ("id", *more)]],
+                    ["key", "band", "id", *more])
 
-    return nodes.select("id", "sign").mapInArrow(run, "key long, band int, id long")
+    return nodes.select("id", "sign", *more).mapInArrow(run, ", ".join(["key long, band int, id long", *[f"{c} long" for c in more]]))
 
 
-def finer_keys(members, nodes):
-    """Members of large buckets again, by each further band that they may share."""
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                values = band_values(part.column("sign").to_pylist())
-                old = part.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-                row, band = np.nonzero(np.arange(BANDS) > part.column("band").to_numpy(zero_copy_only=False)[:, None])
-                key = mix(old[row] + mix(values[row, band]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(band.astype(np.int32)),
-                     pa.array(part.column("id").to_numpy(zero_copy_only=False)[row])], ["key", "band", "id"])
-
-    return (members.select("key", "band", "id").join(nodes.select("id", "sign"), "id")
-            .mapInArrow(run, "key long, band int, id long"))
-
-
-def least_matches(threshold, miss):
+def least_matches(threshold, miss, batch=BATCH):
     """After each batch: the fewest equal places at which the posterior of `threshold` or more is at least `miss`.
 
     With a uniform prior, the posterior after m of n equal places is
     P(Binomial(n + 1, threshold) <= m).
     """
     out = []
-    for n in range(BATCH, SIZE + 1, BATCH):
+    for n in range(batch, SIZE + 1, batch):
         total, m = 0.0, -1
         while total < miss:
             m += 1
@@ -127,18 +112,34 @@ def least_matches(threshold, miss):
 
 
 def likely(pairs, nodes, percent, miss):
-    """The pairs (a, b) that sequential Bayesian comparison keeps, with their equal places."""
+    """The pairs (a, b) that sequential Bayesian comparison keeps, with their equal places.
+
+    Sizes and two bits of each place come first, the whole places only for the
+    pairs that are left. Two bits agree by chance in a quarter of other places.
+    """
+    chance = percent / 100 + (1 - percent / 100) / 4
+    brief = least_matches(chance, miss, SIZE)[-1]
     least = least_matches(percent / 100, miss)
 
-    def run(batches):
+    def sides(batch, kind, width, *columns):
+        return [np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, width) for c in columns]
+
+    def short(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 8192):
+                part = batch.slice(start, 8192)
+                a, b = sides(part, np.uint8, SIZE // 4, "brief_a", "brief_b")
+                off = a ^ b
+                off = (off | off >> 1) & 0x55
+                keep = pa.array(np.flatnonzero(SIZE - np.bitwise_count(off).sum(1, dtype=np.int64) >= brief))
+                yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
+
+    def whole(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 8192):
                 part = batch.slice(start, 8192)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, SIZE)
-                        for c in ("sign_a", "sign_b"))
-                n_a, n_b = (part.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-                alive = np.flatnonzero(np.minimum(n_a, n_b) * 100 >= percent * np.maximum(n_a, n_b))
-                equal = np.zeros(len(a), np.int64)
+                a, b = sides(part, np.uint32, SIZE, "sign_a", "sign_b")
+                alive, equal = np.arange(len(a)), np.zeros(len(a), np.int64)
                 for k, need in enumerate(least):
                     at = slice(k * BATCH, (k + 1) * BATCH)
                     equal[alive] += (a[alive, at] == b[alive, at]).sum(1)
@@ -147,8 +148,120 @@ def likely(pairs, nodes, percent, miss):
                 yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep),
                                                   pa.array(equal[alive])], ["a", "b", "equal"])
 
-    side = {c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}")) for c in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long, equal long")
+    def with_sides(pairs, *columns):
+        for c in "ab":
+            pairs = pairs.join(nodes.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]), c)
+        return pairs
+
+    alike = (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b"))
+    few = with_sides(pairs, "n", "brief").where(alike).select("a", "b", "brief_a", "brief_b").mapInArrow(short, "a long, b long")
+    return with_sides(few, "sign").mapInArrow(whole, "a long, b long, equal long")
+
+
+def in_blocks(queries, members, percent, miss, width, with_texts):
+    """Links (a, b) between queries and members of one group that join their roots into the same sets as all links would.
+
+    Both sides are group, id, root. Members are dealt into blocks, and the
+    queries, in blocks as well, go to each of them. Tasks compare signatures in
+    place and confirm what is left on full sets; a pair of roots that the task
+    has joined needs no further link.
+    """
+    least = least_matches(percent / 100, miss)
+
+    def parts(side, name):
+        return side.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+
+    many = parts(queries, "of_queries").join(parts(members, "of_members"), "group")
+    rows = None
+    for name, side, other_name in (("queries", queries, "of_members"), ("members", members, "of_queries")):
+        own = F.pmod(F.xxhash64("id"), f"of_{name}")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_name) - 1))
+        dealt = side.join(many, "group").select("group", "id", "root", own.alias("own"), other.alias("other"))
+        first, second = ("own", "other") if name == "queries" else ("other", "own")
+        dealt = dealt.select("group", F.col(first).alias("x"), F.col(second).alias("y"), F.lit(name == "members").alias("member"), "id", "root")
+        rows = dealt if rows is None else rows.union(dealt)
+
+    def run(batches):
+        now, held, up, sets = None, [], {}, {}
+
+        def root(r):
+            while up.get(r, r) != r:
+                r = up[r]
+            return r
+
+        def set_of(i, text):
+            if i not in sets:
+                sets[i] = np.unique(shingles(*raw(pa.array([text])), width)[0])
+            return sets[i]
+
+        def compare(queries, members):
+            ids, roots, sizes, signs, texts = members
+            for q_id, q_root, q_size, q_sign, q_text in zip(*queries):
+                alive = np.flatnonzero((roots != q_root) & (np.minimum(sizes, q_size) * 100 >= percent * np.maximum(sizes, q_size)))
+                equal = np.zeros(len(ids), np.int64)
+                for k, need in enumerate(least):
+                    if not len(alive):
+                        break
+                    at = slice(k * BATCH, (k + 1) * BATCH)
+                    equal[alive] += (signs[alive, at] == q_sign[at]).sum(1)
+                    alive = alive[equal[alive] >= need]
+                for i in alive[np.argsort(-equal[alive], kind="stable")]:
+                    x, y = root(int(q_root)), root(int(roots[i]))
+                    if x == y:
+                        continue
+                    one, two = set_of(int(q_id), q_text), set_of(int(ids[i]), texts[i])
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * both >= percent * (len(one) + len(two) - both):
+                        up[max(x, y)] = min(x, y)
+                        yield min(int(q_id), int(ids[i])), max(int(q_id), int(ids[i]))
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("group", "x", "y"))))
+            member = batch.column("member").to_numpy(zero_copy_only=False)
+            ids, roots, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "n"))
+            signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint32).reshape(-1, SIZE)
+            texts = batch.column("text").to_pylist()
+            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or member[i] != member[i - 1]] + [len(keys)]
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if keys[a] != now:
+                    now, held, up, sets = keys[a], [], {}, {}
+                part = ids[a:b], roots[a:b], sizes[a:b], signs[a:b], texts[a:b]
+                if not member[a]:
+                    held.append(part)
+                    continue
+                for query in held:
+                    out += compare(query, part)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())],
+                                             ["a", "b"])
+
+    return (with_texts(rows).repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "member")
+            .select("group", "x", "y", "member", "id", "root", "n", "sign", "text").mapInArrow(run, "a long, b long"))
+
+
+def undecided(nodes, roots, small, percent, miss, width, docs, texts):
+    """Links between the components that buckets of more than `small` members still hold."""
+    rooted = nodes.select("id", "sign").join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
+    rows = band_keys(rooted, "root")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
+    open_ = (sizes.groupBy("key").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("top"))
+             .where((F.col("n") > small) & (F.col("n") > F.col("top"))).select(F.col("key").alias("open_key"), "main"))
+    outside = written(rows.join(open_, (F.col("key") == F.col("open_key")) & (F.col("root") != F.col("main")))
+                      .select("key", "main", "id", "root"), "outside")
+    # what is outside against the whole largest component, and against what else is outside in its bucket
+    name = lambda kind, c: F.xxhash64(F.lit(kind), c)
+    queries = outside.select(name("main", "main").alias("group"), "id", "root").distinct()
+    mains = outside.select("main").distinct()
+    others = outside.select(name("key", "key").alias("group"), "id", "root")
+    members = (rooted.select("id", "root").join(mains, F.col("root") == F.col("main"), "left_semi")
+               .select(name("main", "root").alias("group"), "id", "root"))
+    queries, members = written(queries.union(others), "queries"), written(members.union(others), "members")
+
+    def with_texts(rows):
+        known = _fetch(docs, queries.select("id").union(members.select("id")), texts)
+        return rows.join(nodes.select("id", "n", "sign"), "id").join(known, "id")
+
+    return in_blocks(queries, members, percent, miss, width, with_texts)
 
 
 def confirm(pairs, texts, percent, width):
@@ -186,7 +299,7 @@ def confirm(pairs, texts, percent, width):
     return need.repartition("a", "part").sortWithinPartitions("a", "part", "id").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8, few=256):
+def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8):
     """doc_id, n_shingles, component_id, kept for every row of documents (integer doc_id, text).
 
     Two documents are linked when 100 * intersection >= percent * union of
@@ -196,40 +309,28 @@ def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8, few=256):
     Defined results: a text with fewer words is one shingle; null texts and
     texts without words have an empty set, are linked with nothing and kept.
     Rows of one doc_id count as one document. Rows without a doc_id are linked
-    with nothing, have no component and are kept. `small`, `few` and TOGETHER
+    with nothing, have no component and are kept. `small`, TOGETHER and BLOCK
     only steer the plan. Other columns are passed over.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(sketch(docs, width), "sketches")
     usable = base.where("doc_id is not null and digest is not null")
     nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sign").alias("sign"),
-                                                 F.max("n_shingles").alias("n")), "nodes")
-    links, roots, texts, decide = None, None, None, None
+                                                 F.any_value("brief").alias("brief"), F.max("n_shingles").alias("n")), "nodes")
     members = written(buckets(band_keys(nodes), None), "buckets")
-    while True:
-        pairs = candidates(members, small)
-        if decide is not None:
-            pairs = pairs.union(remaining_pairs(decide)).distinct()
-        found = written(likely(pairs, nodes, percent, miss), "likely")
-        texts = _fetch(docs, found, texts)
-        if links is None:
-            # first the likeliest partner of each document, then what the components so found leave open
-            best = (found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x"))
-                    .select((-F.col("x.a")).alias("a"), "b"))
-            links, roots = _add(links, confirm(best, texts, percent, width))
-            found = found.join(best, ["a", "b"], "left_anti")
-            for c in "ab":
-                found = (found.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
-                         .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
-            found = written(found.where("root_a <> root_b").select("a", "b"), "rest")
-        links, roots = _add(links, confirm(found.select("a", "b"), texts, percent, width))
-        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
-        large = written(with_outside(large), "large")
-        if large.isEmpty():
-            break
-        split = (F.col("outside") > few) & (F.col("band") < BANDS - 1)
-        decide = large.where(~split)
-        members = written(buckets(finer_keys(large.where(split), nodes), roots), "buckets")
+    found = written(likely(candidates(members, small), nodes, percent, miss), "likely")
+    texts = _fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))), None)
+    # first the likeliest partner of each document, then what the components so found leave open
+    best = (found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x"))
+            .select((-F.col("x.a")).alias("a"), "b"))
+    links, roots = _add(None, confirm(best, texts, percent, width))
+    rest = found.join(best, ["a", "b"], "left_anti")
+    for c in "ab":
+        rest = (rest.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
+                .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
+    rest = written(rest.where("root_a <> root_b").select("a", "b"), "rest")
+    links, roots = _add(links, confirm(rest, texts, percent, width))
+    links, roots = _add(links, undecided(nodes, roots, small, percent, miss, width, docs, texts))
     named = (nodes.select("digest", "id").join(roots, "id", "left")
              .select("digest", F.coalesce("component", "id").alias("component")))
     return (base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -238,9 +339,9 @@ def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8, few=256):
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _fetch(docs, found, texts):
-    """(id, text) of the documents in `found`, besides those fetched before."""
-    ids = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
+def _fetch(docs, ids, texts):
+    """(id, text) of the documents named, besides those fetched before."""
+    ids = ids.distinct()
     if texts is not None:
         ids = written(ids.join(texts.select("id"), "id", "left_anti"), "ids")
         if ids.isEmpty():
