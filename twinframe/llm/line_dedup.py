@@ -70,23 +70,24 @@ def likely(pairs, nodes):
     return (pairs.join(side["a"], "a").join(side["b"], "b").where(MANY - F.bit_count(off) >= AGREE).select("a", "b"))
 
 
-def shingle_set(line):
-    wide = F.encode(line, "UTF-32")
+def shingle_set(wide):
+    """Hashes of the shingles of a UTF-32 column."""
     last = F.greatest(F.floor(F.octet_length(wide) / 4) - SHINGLE, F.lit(0)).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(wide, at)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(F.col(wide), at)))
 
 
 def confirm(pairs, texts, percent):
     """The pairs with 100 * both >= percent * either, on full shingle sets."""
-    side = {c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab"}
-    sets = (pairs.join(side["a"], "a").join(side["b"], "b")
-            .select("a", "b", shingle_set(F.col("line_a")).alias("x"), shingle_set(F.col("line_b")).alias("y")))
-    both = F.size(F.array_intersect("x", "y"))
-    return sets.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    side = {c: texts.select(F.col("id").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "ab"}
+    x, y = shingle_set("wide_a"), shingle_set("wide_b")
+    # written before it is filtered, or the filter would make each set several times
+    sizes = written(pairs.join(side["a"], "a").join(side["b"], "b")
+                    .select("a", "b", F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all")), "line-sizes")
+    return sizes.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
 def fetch(docs, pairs, nodes, texts):
-    """(id, line) of the lines in `pairs`, besides those fetched before."""
+    """(id, wide) of the lines in `pairs`, in UTF-32, besides those fetched before."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     if texts is not None:
         ids = ids.join(texts.select("id"), "id", "left_anti")
@@ -96,7 +97,9 @@ def fetch(docs, pairs, nodes, texts):
         return texts
     table = lines(docs)
     wanted = table.join(F.broadcast(ids) if n <= BROADCAST_LINES else ids, NODE)
-    more = written(wanted.groupBy("id").agg(F.any_value("line").alias("line")), "lines")
+    # written as UTF-32, or each shingle would encode the whole line again
+    more = written(wanted.groupBy("id").agg(F.any_value("line").alias("line"))
+                   .select("id", F.encode("line", "UTF-32").alias("wide")), "lines")
     return more if texts is None else texts.union(more)
 
 
@@ -114,7 +117,7 @@ def line_links(docs, percent, small, few):
             pairs = pairs.union(remaining_pairs(decide)).distinct()
         found = written(likely(pairs, nodes), "line-pairs")
         texts = fetch(docs, found, nodes, texts)
-        more = written(confirm(found, texts, percent), "line-links")
+        more = confirm(found, texts, percent)
         links = more if links is None else links.union(more)
         roots = written(components(links), "line-roots")
         large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
