@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from twinframe.llm import line_dedup as module
 from twinframe.llm.line_dedup import SHINGLE, line_dedup, without_lines
 
@@ -81,3 +83,24 @@ def test_odd_tables(frame, prose):
     line = prose(9, 1)
     got = result(line_dedup(frame([(2, line), (1, line), (1, line), (None, line)])))
     assert got == {None: (1, []), 1: (1, [0]), 2: (1, [0])}
+
+
+def test_every_large_bucket_is_decided_in_full(frame, prose, monkeypatch):
+    r, rows = random.Random(4), []
+    for i in range(80):
+        line = prose(14, 100 + i // 2)
+        rows.append((i, line if i % 2 else line[:-3] + r.choice(("qqq", "vvv"))))
+    want = brute(rows)
+    signed = module.signed
+
+    def one_bucket(table):
+        # all lines share one band, and no two lines another
+        made = signed(table)
+        return made.withColumn("keys", F.transform("keys", lambda key, b: F.when(b == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("h1", "h2", b))))
+
+    monkeypatch.setattr(module, "signed", one_bucket)
+    monkeypatch.setattr("twinframe.llm.buckets.BLOCK", 7, raising=False)
+    for few in (1, 256):
+        got = module.duplicate_lines(frame(rows), small=2, few=few).where("not kept")
+        assert sorted((x.doc_id, x.position) for x in got.collect()) == sorted((i, p) for i, w in want.items() for p in w[1])
+    assert sum(len(w[1]) for w in want.values()) == 40

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+#: Plan setting only: members of one block.
+BLOCK = 2048
+
 
 def buckets(keys, roots):
     """Members (key, band, id, root, n, pivot, pivot_root) of the buckets that hold more than one component."""
@@ -34,9 +37,24 @@ def with_outside(members):
     return members.join(most, "key")
 
 
-def remaining_pairs(members):
-    """Distinct pairs of different components: all members of a bucket against those outside its largest component."""
-    one = members.where("root <> main").select("key", F.col("id").alias("one"), F.col("root").alias("root_one"))
-    both = one.join(members.select("key", F.col("id").alias("two"), F.col("root").alias("root_two")), "key")
-    return (both.where("root_one <> root_two")
-            .select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
+def outside_pairs(members, few, more, alike):
+    """Distinct pairs of different components, of all members of a bucket against those outside its largest component.
+
+    `alike` decides on the columns `more` of both (c_one and c_two) inside the
+    join, so pairs that it drops are never written. Both sides are dealt into
+    blocks of BLOCK members, but up to `few` outsiders stay together.
+    """
+    many = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("of_two"), F.first("outside").alias("outside"))
+    many = many.select("key", "of_two", F.when(F.col("outside") <= few, F.lit(1).cast("long"))
+                       .otherwise(F.ceil(F.col("outside") / BLOCK)).alias("of_one"))
+    dealt = members.join(many, "key")
+    side = {}
+    for name, other, rows in (("one", "two", dealt.where("root <> main")), ("two", "one", dealt)):
+        side[name] = rows.select(
+            "key", F.pmod(F.xxhash64("id"), f"of_{name}").alias(f"block_{name}"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{other}") - 1)).alias(f"block_{other}"),
+            F.col("main").alias(f"main_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in ("id", "root", *more)])
+    # of two outsiders each meets the other; one of the two meetings is enough
+    once = (F.col("root_two") == F.col("main_two")) | (F.col("id_one") < F.col("id_two"))
+    return (side["one"].join(side["two"], ["key", "block_one", "block_two"]).where((F.col("root_one") != F.col("root_two")) & once & alike)
+            .select(F.least("id_one", "id_two").alias("a"), F.greatest("id_one", "id_two").alias("b")).distinct())

@@ -11,7 +11,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from twinframe.llm.buckets import buckets, candidates, remaining_pairs, with_outside
+from twinframe.llm.buckets import buckets, candidates, outside_pairs, with_outside
 from twinframe.llm.components import components
 from twinframe.shared import written
 
@@ -54,20 +54,17 @@ def signed(table):
     return rows.groupBy(*NODE).agg(*least).select(*NODE, bits.alias("bits"), keys.alias("keys"))
 
 
-def finer(members, nodes):
-    """Members of large buckets again, by each further band that they may share."""
-    later = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: b > F.col("band"))
-    return (members.select("key", "band", "id").join(nodes.select("id", "keys"), "id")
-            .select("id", "key", "keys", F.explode(later).alias("next"))
-            .select(F.xxhash64("key", F.element_at("keys", F.col("next") + 1)).alias("key"), F.col("next").alias("band"), "id"))
+def alike(one, other):
+    """Whether enough bits of two signatures agree."""
+    off = F.col(one).bitwiseXOR(F.col(other))
+    off = off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS))
+    return MANY - F.bit_count(off) >= AGREE
 
 
 def likely(pairs, nodes):
     """The pairs of which enough bits agree."""
     side = {c: nodes.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
-    off = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    off = off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS))
-    return (pairs.join(side["a"], "a").join(side["b"], "b").where(MANY - F.bit_count(off) >= AGREE).select("a", "b"))
+    return pairs.join(side["a"], "a").join(side["b"], "b").where(alike("bits_a", "bits_b")).select("a", "b")
 
 
 def shingle_set(wide):
@@ -109,24 +106,22 @@ def line_links(docs, percent, small, few):
     nodes = made.withColumn("id", F.monotonically_increasing_id())
     nodes = written(nodes, "line-nodes")
     keys = nodes.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
-    links, roots, texts, decide = None, None, None, None
+    links, roots, texts = None, None, None
     members = written(buckets(keys, None), "line-buckets")
+    pairs = likely(candidates(members, small), nodes)
     while True:
-        pairs = candidates(members, small)
-        if decide is not None:
-            pairs = pairs.union(remaining_pairs(decide)).distinct()
-        found = written(likely(pairs, nodes), "line-pairs")
+        found = written(pairs, "line-pairs")
         texts = fetch(docs, found, nodes, texts)
         more = confirm(found, texts, percent)
-        links = more if links is None else links.union(more)
+        if roots is not None:
+            return nodes.select("id", *NODE), written(components(links.union(more)), "line-roots")
+        links = more
         roots = written(components(links), "line-roots")
         large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
-        large = written(with_outside(large), "line-large")
+        large = written(with_outside(large).join(nodes.select("id", "bits"), "id"), "line-large")
         if large.isEmpty():
             return nodes.select("id", *NODE), roots
-        split = (F.col("outside") > few) & (F.col("band") < BANDS - 1)
-        decide = large.where(~split)
-        members = written(buckets(finer(large.where(split), nodes), roots), "line-buckets")
+        pairs = outside_pairs(large, few, ["bits"], alike("bits_one", "bits_two"))
 
 
 def duplicate_lines(docs, percent=75, small=8, few=256):
@@ -141,9 +136,8 @@ def duplicate_lines(docs, percent=75, small=8, few=256):
     same lines are kept; a null doc_id comes first. Other columns are passed over.
 
     A pair at the threshold shares no band once in 230 (at 85 %, once in 13,000).
-    In buckets with more than `few` lines outside their largest component it has
-    to share another band, which one pair in 29 at the threshold does not; small
-    and few change nothing else.
+    Every bucket is decided in full, whatever its size; small and few (see
+    `outside_pairs`) are plan settings.
     """
     docs = docs.select("doc_id", "text")
     nodes, roots = line_links(docs, percent, small, few)
