@@ -104,3 +104,11 @@ def test_every_large_bucket_is_decided_in_full(frame, prose, monkeypatch):
         got = module.duplicate_lines(frame(rows), small=2, few=few).where("not kept")
         assert sorted((x.doc_id, x.position) for x in got.collect()) == sorted((i, p) for i, w in want.items() for p in w[1])
     assert sum(len(w[1]) for w in want.values()) == 40
+
+
+def test_short_lines_at_the_threshold_are_found(frame):
+    # 6 shingles in common, 8 in all
+    r = random.Random(12)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15)) for _ in range(2500)]
+    rows = [(i, f"{line[:13]}\n{line}") for i, line in enumerate(lines)]
+    assert module.duplicate_lines(frame(rows)).where("not kept").count() == len(lines)

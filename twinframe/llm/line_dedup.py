@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Equal lines (trimmed, lower case) are one node. Each node's character shingles
-are hashed once; MANY minima under XOR with fixed numbers are its signature.
+are hashed once, and the hash again for each of MANY minima, its signature.
 Bands of BAND minima propose pairs, two bits of each minimum drop most of the
 wrong ones, and the full shingle sets decide. Union-find names components, and
 of each component one line stays.
 """
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -15,16 +16,17 @@ from twinframe.llm.buckets import buckets, candidates, outside_pairs, with_outsi
 from twinframe.llm.components import components
 from twinframe.shared import written
 
-SHINGLE, MANY, BAND = 8, 30, 3
+SHINGLE, MANY, BAND = 8, 60, 3
 BANDS = MANY // BAND
 _numbers = random.Random(30)
 MASKS = [_numbers.getrandbits(32) - (1 << 31) for _ in range(MANY)]
-#: Of MANY pairs of bits, so many must agree. A pair at 75 % similarity has 24 on average, unrelated lines 8.
-AGREE = 16
-PAIRS_OF_BITS = sum(1 << 2 * i for i in range(MANY))
+#: Pairs of bits in one number of `bits`, and the chance that a pair of lines at the threshold is dropped by them.
+IN_ONE, MISS = 30, 1e-6
+PAIRS_OF_BITS = sum(1 << 2 * i for i in range(IN_ONE))
 #: Lines to fetch that are broadcast rather than shuffled: 16 bytes each, so 4 MB.
 BROADCAST_LINES = 1 << 18
 NODE = ["h1", "h2"]
+BITS = [f"bits{i}" for i in range(MANY // IN_ONE)]
 
 
 def lines(docs):
@@ -41,30 +43,50 @@ def shingle_hash(wide, at):
 
 
 def signed(table):
-    """h1, h2, bits, keys of each distinct line: the bits of its signature and its band keys."""
+    """h1, h2, BITS, keys of each distinct line: two bits of each place of its signature, and its band keys."""
     rows = table.select(*NODE, F.encode("line", "UTF-32").alias("wide"))
     last = F.greatest(F.floor(F.octet_length("wide") / 4) - SHINGLE, F.lit(0)).cast("int")
     rows = rows.select(*NODE, "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     rows = rows.select(*NODE, F.hash(F.substring(F.col("wide"), 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("v"))
-    least = [F.min(F.col("v").bitwiseXOR(F.lit(c))).alias(f"m_{i}") for i, c in enumerate(MASKS)]
-    bits = F.lit(0).cast("long")
-    for i in range(MANY):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m_{i}").cast("long").bitwiseAND(3), 2 * i))
+    # hashed again for each minimum: XOR alone leaves the minima dependent
+    least = [F.min(F.hash(F.col("v").bitwiseXOR(F.lit(c)))).alias(f"m_{i}") for i, c in enumerate(MASKS)]
+    bits = []
+    for at in range(0, MANY, IN_ONE):
+        one = F.lit(0).cast("long")
+        for i in range(IN_ONE):
+            one = one.bitwiseOR(F.shiftleft(F.col(f"m_{at + i}").cast("long").bitwiseAND(3), 2 * i))
+        bits.append(one.alias(f"bits{at // IN_ONE}"))
     keys = F.array(*[F.xxhash64(F.lit(b), *[f"m_{BAND * b + i}" for i in range(BAND)]) for b in range(BANDS)])
-    return rows.groupBy(*NODE).agg(*least).select(*NODE, bits.alias("bits"), keys.alias("keys"))
+    return rows.groupBy(*NODE).agg(*least).select(*NODE, *bits, keys.alias("keys"))
 
 
-def alike(one, other):
-    """Whether enough bits of two signatures agree."""
-    off = F.col(one).bitwiseXOR(F.col(other))
-    off = off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS))
-    return MANY - F.bit_count(off) >= AGREE
+def least_agreeing(percent):
+    """The most of MANY pairs of bits of which a pair at the threshold has fewer with a chance of at most MISS.
+
+    Places are equal with the similarity as their chance, and the bits of others in one case of four.
+    """
+    p, total, n = percent / 100 + (1 - percent / 100) / 4, 0.0, 0
+    while n < MANY:
+        total += math.comb(MANY, n) * p ** n * (1 - p) ** (MANY - n)
+        if total > MISS:
+            break
+        n += 1
+    return n
+
+
+def alike(one, other, percent):
+    """Whether enough bits of two signatures agree; the names of their columns are those of BITS with a suffix."""
+    count = F.lit(MANY)
+    for c in BITS:
+        off = F.col(f"{c}_{one}").bitwiseXOR(F.col(f"{c}_{other}"))
+        count = count - F.bit_count(off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS)))
+    return count >= least_agreeing(percent)
 
 
-def likely(pairs, nodes):
+def likely(pairs, nodes, percent):
     """The pairs of which enough bits agree."""
-    side = {c: nodes.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}")) for c in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").where(alike("bits_a", "bits_b")).select("a", "b")
+    side = {c: nodes.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in BITS]) for c in "ab"}
+    return pairs.join(side["a"], "a").join(side["b"], "b").where(alike("a", "b", percent)).select("a", "b")
 
 
 def shingle_set(wide):
@@ -108,7 +130,7 @@ def line_links(docs, percent, small, few):
     keys = nodes.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
     links, roots, texts = None, None, None
     members = written(buckets(keys, None), "line-buckets")
-    pairs = likely(candidates(members, small), nodes)
+    pairs = likely(candidates(members, small), nodes, percent)
     while True:
         found = written(pairs, "line-pairs")
         texts = fetch(docs, found, nodes, texts)
@@ -118,10 +140,10 @@ def line_links(docs, percent, small, few):
         links = more
         roots = written(components(links), "line-roots")
         large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
-        large = written(with_outside(large).join(nodes.select("id", "bits"), "id"), "line-large")
+        large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large")
         if large.isEmpty():
             return nodes.select("id", *NODE), roots
-        pairs = outside_pairs(large, few, ["bits"], alike("bits_one", "bits_two"))
+        pairs = outside_pairs(large, few, BITS, alike("one", "two", percent))
 
 
 def duplicate_lines(docs, percent=75, small=8, few=256):
@@ -135,7 +157,8 @@ def duplicate_lines(docs, percent=75, small=8, few=256):
     null and empty texts have none. Rows of one doc_id are copies, of which the
     same lines are kept; a null doc_id comes first. Other columns are passed over.
 
-    A pair at the threshold shares no band once in 230 (at 85 %, once in 13,000).
+    A pair at 75 % shares no band once in 57,000 (at 85 %, once in 10^8), and the
+    bits drop it with a chance of at most MISS at any threshold.
     Every bucket is decided in full, whatever its size; small and few (see
     `outside_pairs`) are plan settings.
     """
