@@ -83,3 +83,16 @@ def test_a_group_over_many_batches():
             heads += list(zip(*first))
         return late, sorted(map(tuple, heads))
     assert through(300) == through(1) == through(7) == through(50)
+
+
+def test_runs_whose_class_hashes_differ_in_any_bit_are_no_repeats(spark):
+    gram, doc, none = np.full(4, 9, np.uint64), np.arange(4), np.zeros(4, np.int64)
+
+    def repeated(kind, **more):
+        rows = substrings.batch_of(none, gram, np.array(kind, np.uint64), doc, none, none + 1, 0, **more)
+        found = substrings.met(spark.createDataFrame(rows.to_pandas(), substrings.ROW))
+        return sorted(r.doc for r in found.where("kind = 1").collect())
+
+    high = 5 << 32
+    assert repeated([high + 1, high + 2, high + 3, high + 3]) == [3]
+    assert repeated([high] * 4, more=np.array([1, 2, 2, 1], np.uint64)) == [2, 3]

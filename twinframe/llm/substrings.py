@@ -14,16 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from twinframe.llm.text import ROOT, chunks, mix
+from twinframe.llm.text import ROOT, chunks, inverse_powers, mix, powers
 from twinframe.shared import written
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM + 1
 PLACE = np.uint64((1 << 28) - 1)
 LOWEST = -(1 << 63)
+#: A number for each byte, for the second hash of a class.
+SECOND = np.random.default_rng(21).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Plan settings only: documents sampled for splitters; segments of one gram that one task sorts; windows sorted at once.
 SAMPLED, HOT, TOGETHER = 2000, 2000, 200_000
-ROW = "bucket int, gram long, class long, doc long, start long, m int, kind int"
+ROW = "bucket int, gram long, class long, more long, doc long, start long, m int, kind int"
 
 
 def window_hashes(data):
@@ -35,10 +37,10 @@ def window_hashes(data):
 
 
 def segments(data, offsets):
-    """(row, first window, number of windows, anchor, gram hash, class hash) of runs of windows with one anchor."""
+    """(row, first window, number of windows, anchor, gram hash, class hash, second class hash) of runs of windows with one anchor."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 3
     small, large = window_hashes(data)
     low = (small & ~PLACE) | np.arange(len(small), dtype=np.uint64)
     wide = 1
@@ -52,7 +54,7 @@ def segments(data, offsets):
     keep = window + LENGTH <= offsets[row + 1]
     window, row, anchor = window[keep], row[keep], anchor[keep]
     if not len(window):
-        return (window,) * 4 + (np.zeros(0, np.uint64),) * 2
+        return (window,) * 4 + (np.zeros(0, np.uint64),) * 3
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
@@ -61,7 +63,11 @@ def segments(data, offsets):
     rest = LENGTH + m - 1 - 64
     kind = mix(large[first] * ROOT + (m + (anchor - first) * 1000).astype(np.uint64))
     kind = mix(mix(kind * ROOT + large[first + rest // 2]) * ROOT + large[first + rest])
-    return row[at], first, m, anchor, small[anchor], kind
+    # over each byte of the run, and from other numbers than the first hash
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(SECOND[data] * powers(n), out=total[1:])
+    more = mix((total[first + LENGTH + m - 1] - total[first]) * inverse_powers(n)[first])
+    return row[at], first, m, anchor, small[anchor], kind, more
 
 
 def leads(data, places):
@@ -110,11 +116,11 @@ def suffix_rows(docs, cuts, buckets):
             order = np.argsort(own, kind="stable")
             own, parts = own[order], []
             for row0, data, offsets in chunks(batch.column("text").take(pa.array(order))):
-                row, first, m, anchor, gram, kind = segments(data, offsets)
-                parts.append((gram, kind, own[row + row0], first - offsets[row], m, leads(data, anchor)))
-            gram, kind, doc, start, m, lead = (np.concatenate(x) for x in zip(*parts))
+                row, first, m, anchor, gram, kind, more = segments(data, offsets)
+                parts.append((gram, kind, more, own[row + row0], first - offsets[row], m, leads(data, anchor)))
+            gram, kind, more, doc, start, m, lead = (np.concatenate(x) for x in zip(*parts))
             # earliest of each class in this batch, then against the earliest of the batches before
-            both = mix(gram * ROOT + kind)
+            both = mix(mix(gram * ROOT + kind) * ROOT + more)
             _, at, of = np.unique(both, return_index=True, return_inverse=True)
             mine = both[at]
             found = np.searchsorted(key, mine)
@@ -135,33 +141,36 @@ def suffix_rows(docs, cuts, buckets):
             first_start = np.concatenate([first_start, best_start[~known]])[order]
             keep = ~later
             bucket = np.searchsorted(cuts, lead[keep])
-            yield batch_of(bucket, gram[keep], kind[keep], doc[keep], start[keep], m[keep], 0)
+            yield batch_of(bucket, gram[keep], kind[keep], doc[keep], start[keep], m[keep], 0, more[keep])
             doc, start, m = runs(doc[later], start[later], m[later])
-            yield batch_of(np.arange(len(doc)) % buckets, np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64), doc, start, m, 1)
+            none = np.zeros(len(doc), np.uint64)
+            yield batch_of(np.arange(len(doc)) % buckets, none, none, doc, start, m, 1)
 
     return docs.select("doc_id", "text").mapInArrow(run, ROW)
 
 
-def batch_of(bucket, gram, kind, doc, start, m, what):
+def batch_of(bucket, gram, kind, doc, start, m, what, more=None):
+    more = np.zeros(len(doc), np.uint64) if more is None else more
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array((kind >> np.uint64(32)).astype(np.int64)),
-         pa.array(doc), pa.array(start), pa.array(m.astype(np.int32)), pa.array(np.full(len(doc), what, np.int32))],
-        ["bucket", "gram", "class", "doc", "start", "m", "kind"])
+        [pa.array(bucket.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(kind.view(np.int64)),
+         pa.array(more.view(np.int64)), pa.array(doc), pa.array(start), pa.array(m.astype(np.int32)), pa.array(np.full(len(doc), what, np.int32))],
+        ["bucket", "gram", "class", "more", "doc", "start", "m", "kind"])
 
 
 class Meeting:
     """A sorted stream of segments, batch by batch, with what went before."""
 
     def __init__(self):
-        self.gram = self.kind = self.held = None
+        self.gram = self.kind = self.more = self.held = None
         self.doc = self.start = 0
 
-    def step(self, gram, kind, doc, start, m):
+    def step(self, gram, kind, doc, start, m, more=None):
         """(mask of repeats; first segments, as gram, doc, start, m, of classes whose gram has several)."""
+        more = np.zeros_like(kind) if more is None else more
         new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])
+        new[1:] = (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1]) | (more[1:] != more[:-1])
         same_gram = self.gram is not None and gram[0] == self.gram
-        new[0] = not (same_gram and kind[0] == self.kind)
+        new[0] = not (same_gram and kind[0] == self.kind and more[0] == self.more)
         head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), -1))
         head_doc, head_start = np.where(head < 0, self.doc, doc[head]), np.where(head < 0, self.start, start[head])
         repeat = ~new & ((doc != head_doc) | (start != head_start))
@@ -182,7 +191,7 @@ class Meeting:
         out = [x[at[emit]] for x in (gram, doc, start, m)]
         if first is not None:
             out = [np.concatenate(x) for x in zip(first, out)]
-        self.gram, self.kind, self.doc, self.start = gram[-1], kind[-1], head_doc[-1], head_start[-1]
+        self.gram, self.kind, self.more, self.doc, self.start = gram[-1], kind[-1], more[-1], head_doc[-1], head_start[-1]
         return repeat, out
 
 
@@ -195,19 +204,19 @@ def met(rows):
     def run(batches):
         state = Meeting()
         for batch in batches:
-            gram, kind, doc, start, m, what = (batch.column(c).to_numpy(zero_copy_only=False)
-                                               for c in ("gram", "class", "doc", "start", "m", "kind"))
+            gram, kind, more, doc, start, m, what = (batch.column(c).to_numpy(zero_copy_only=False)
+                                                     for c in ("gram", "class", "more", "doc", "start", "m", "kind"))
             done = what == 1
             if done.any():
                 yield out(1, gram[done], doc[done], start[done], m[done])
             if not done.all():
-                gram, kind, doc, start, m = (x[~done] for x in (gram, kind, doc, start, m))
-                repeat, heads = state.step(gram, kind, doc, start, m)
+                gram, kind, more, doc, start, m = (x[~done] for x in (gram, kind, more, doc, start, m))
+                repeat, heads = state.step(gram, kind, doc, start, m, more)
                 doc, start, m = runs(doc[repeat], start[repeat], m[repeat])
                 yield out(1, np.zeros(len(doc), np.int64), doc, start, m)
                 yield out(2, *heads)
 
-    return (rows.repartition("bucket").sortWithinPartitions("kind", "gram", "class", "doc", "start")
+    return (rows.repartition("bucket").sortWithinPartitions("kind", "gram", "class", "more", "doc", "start")
             .mapInArrow(run, "kind int, gram long, doc long, start long, m int"))
 
 
