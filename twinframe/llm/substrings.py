@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from twinframe.llm.text import ROOT, chunks, inverse_powers, mix, powers
+from twinframe.llm.text import CHUNK, ROOT, chunks, inverse_powers, mix, powers
 from twinframe.shared import written
 
 LENGTH, GRAM = 100, 32
@@ -59,15 +59,19 @@ def segments(data, offsets):
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     m = np.diff(np.append(at, len(window)))
-    first, anchor = window[at], anchor[at]
-    rest = LENGTH + m - 1 - 64
+    first, anchor, row = window[at], anchor[at], row[at]
+    rest, gram = LENGTH + m - 1 - 64, small[anchor]
     kind = mix(large[first] * ROOT + (m + (anchor - first) * 1000).astype(np.uint64))
     kind = mix(mix(kind * ROOT + large[first + rest // 2]) * ROOT + large[first + rest])
+    del small, large, low, window, new, keep
     # over each byte of the run, and from other numbers than the first hash
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(SECOND[data] * powers(n), out=total[1:])
+    total = powers(n + 1)
+    total[1:] = total[:-1]
+    total[0] = 0
+    total[1:] *= SECOND[data]
+    np.cumsum(total, out=total)
     more = mix((total[first + LENGTH + m - 1] - total[first]) * inverse_powers(n)[first])
-    return row[at], first, m, anchor, small[anchor], kind, more
+    return row, first, m, anchor, gram, kind, more
 
 
 def leads(data, places):
@@ -85,7 +89,7 @@ def splitters(docs, buckets):
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), CHUNK // 2):
                 yield pa.RecordBatch.from_arrays([pa.array(leads(data, segments(data, offsets)[3]))], ["lead"])
 
     cuts = (rows.select("text").mapInArrow(run, "lead long")
@@ -115,7 +119,7 @@ def suffix_rows(docs, cuts, buckets):
             own = places(batch.column("doc_id"))
             order = np.argsort(own, kind="stable")
             own, parts = own[order], []
-            for row0, data, offsets in chunks(batch.column("text").take(pa.array(order))):
+            for row0, data, offsets in chunks(batch.column("text").take(pa.array(order)), CHUNK // 2):
                 row, first, m, anchor, gram, kind, more = segments(data, offsets)
                 parts.append((gram, kind, more, own[row + row0], first - offsets[row], m, leads(data, anchor)))
             gram, kind, more, doc, start, m, lead = (np.concatenate(x) for x in zip(*parts))
