@@ -7,6 +7,7 @@ from twinframe.llm.fingerprints import fingerprints
 from twinframe.llm.line_dedup import line_dedup
 from twinframe.llm.mixing import mix
 from twinframe.llm.near_dedup import near_duplicates
+from twinframe.llm.periods import periodic_runs, planted, run_digests
 from twinframe.llm.private_data import private_data
 from twinframe.llm.substrings import suffix_dedup
 from twinframe.llm.token_files import token_index, write_tokens
@@ -107,3 +108,8 @@ def op3_line_dedup(spark, sf):
 @query("op4_private_data")
 def op4_private_data(spark, sf):
     return private_data(table(spark, sf, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf):
+    return run_digests(periodic_runs(planted(table(spark, sf, "documents"))))
