@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from twinframe.llm.decontaminate import contamination
 from twinframe.llm.fingerprints import fingerprints
 from twinframe.llm.line_dedup import line_dedup
+from twinframe.llm.manifest import document_manifest
 from twinframe.llm.mixing import mix
 from twinframe.llm.near_dedup import near_duplicates
 from twinframe.llm.periods import periodic_runs, planted, run_digests
@@ -113,3 +114,51 @@ def op4_private_data(spark, sf):
 @query("op11_periodic_runs")
 def op11_periodic_runs(spark, sf):
     return run_digests(periodic_runs(planted(table(spark, sf, "documents"))))
+
+
+def _encoded(*columns):
+    """SQL of the columns one after the other, each `-` if null, else its UTF-8 byte count, `:` and its text."""
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+@query("op13_merkle_manifest", sql=f"""
+WITH RECURSIVE c AS (
+  SELECT *, xor(list_reduce(flatten([[4294967295::BIGINT], flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in
+      string_split(doc_id::VARCHAR, '')])]), lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+      ELSE xor(crc >> 1, CASE WHEN crc & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END), 4294967295::BIGINT) AS crc FROM documents),
+e AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM c),
+d AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256({_encoded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+  sha256({_encoded("doc_id", "source", "lang", "n_chars", "cut")}) AS tampered FROM e),
+p AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY g) AS n FROM d),
+low AS (
+  SELECT 0 AS level, g, pos, n, leaf AS h FROM p
+  UNION ALL
+  SELECT level + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY level, g, pos // 3, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM s
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 3, n),
+nodes AS (SELECT 0 AS tree, * FROM low UNION ALL SELECT 1, level, '', pos, n, h FROM high),
+around AS (
+  SELECT a.tree, a.level, a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.g = b.g AND a.pos // 3 = b.pos // 3
+  WHERE a.n > 1 GROUP BY ALL),
+climb AS (
+  SELECT id, g, 0 AS level, pos, tampered AS h, '' AS proof FROM p
+  UNION ALL
+  SELECT id, c.g, c.level + 1, c.pos // 3, sha256(l || h || r), proof || l || r
+  FROM climb c JOIN around x ON x.tree = 0 AND x.g = c.g AND x.level = c.level AND x.pos = c.pos),
+half AS (SELECT id, g, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climb GROUP BY id, g),
+rest AS (
+  SELECT id, 0 AS level, s.pos, h, proof FROM half JOIN s USING (g)
+  UNION ALL
+  SELECT id, c.level + 1, c.pos // 3, sha256(l || h || r), proof || l || r
+  FROM rest c JOIN around x ON x.tree = 1 AND x.level = c.level AND x.pos = c.pos),
+done AS (SELECT id, arg_max(h, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM rest GROUP BY id)
+SELECT doc_id, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified
+FROM p JOIN s USING (g) JOIN done USING (id) CROSS JOIN (SELECT h FROM high WHERE n = 1)""")
+def op13_merkle_manifest(spark, sf):
+    return document_manifest(table(spark, sf, "documents"))
