@@ -209,8 +209,10 @@ def planted(docs):
     g, n = F.floor(h / 10), F.size(words)
     a = g % F.greatest(n, F.lit(1))
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    unit = F.slice(words, a + 1, p)
+    repeated = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.array_join(F.concat(F.slice(words, F.lit(1), a), repeated), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text")).alias("text"))
 
 
 def run_digests(found):
