@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from twinframe.llm.decontaminate import contamination
+from twinframe.llm.exact_index import exact_dedup
 from twinframe.llm.fingerprints import fingerprints
 from twinframe.llm.line_dedup import line_dedup
 from twinframe.llm.manifest import document_manifest
@@ -162,3 +163,12 @@ SELECT doc_id, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root
 FROM p JOIN s USING (g) JOIN done USING (id) CROSS JOIN (SELECT h FROM high WHERE n = 1)""")
 def op13_merkle_manifest(spark, sf):
     return document_manifest(table(spark, sf, "documents"))
+
+
+@query("op12_exact_dedup", sql=r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, h AS text_sha256
+FROM d WINDOW same AS (PARTITION BY h)""")
+def op12_exact_dedup(spark, sf):
+    return exact_dedup(table(spark, sf, "documents"))
