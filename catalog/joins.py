@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import LINE_COLUMNS, LINE_KEYS, frame, query, with_views
 from twinframe.operators import compare, keys
-from twinframe.sources.tables import keep_source_keys
+from twinframe.operators.pushdown import keep_pushed_keys
 
 ORDER_KEYS = ["o_orderkey"]
 
@@ -45,7 +45,7 @@ SELECT t.* FROM lines_tgt t WHERE EXISTS (SELECT 1 FROM lines_src s
   WHERE s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber)""")
 def join_filter_target_all_keys(spark, sf):
     source, target = lines(spark, sf)
-    return keep_source_keys(target, source, LINE_KEYS)
+    return keep_pushed_keys(target, source, LINE_KEYS)
 
 
 # A cell of the order pair after coercion, in DuckDB: only these columns differ by more than spelling.

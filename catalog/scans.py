@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from catalog.registry import frame, query, table, with_views
 from twinframe import sinks
 from twinframe.operators import dashboards, profile, summaries
+from twinframe.operators.pushdown import keep_pushed_keys
 from twinframe.shared import new_path
 from twinframe.sources import files, tables, workbooks
 
@@ -71,7 +72,7 @@ SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)""")
 def scan_pk_pushdown(spark, sf):
     wanted = table(spark, sf, "customer").where("c_acctbal > 5000")
-    return tables.keep_source_keys(
+    return keep_pushed_keys(
         table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), wanted, ["c_custkey"], ["o_custkey"])
 
 
@@ -81,8 +82,25 @@ SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN
 def scan_pk_pushdown_literal(spark, sf):
     nations = table(spark, sf, "nation").join(
         table(spark, sf, "region").where("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return tables.keep_source_keys(
-        table(spark, sf, "supplier"), nations, ["n_nationkey"], ["s_nationkey"], literal=True).select("s_suppkey", "s_name")
+    return keep_pushed_keys(table(spark, sf, "supplier"), nations, ["n_nationkey"], ["s_nationkey"]).select("s_suppkey", "s_name")
+
+
+@query("scan_pk_pushdown_composite", """
+SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_quantity > 25)""")
+def scan_pk_pushdown_composite(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return keep_pushed_keys(lines.select("l_orderkey", "l_linenumber", "l_partkey"), lines.where("l_quantity > 25"),
+                            ["l_orderkey", "l_linenumber"])
+
+
+@query("scan_pk_pushdown_nulls", with_views("events_src") + """
+SELECT event_id, event_type, value FROM events_src t WHERE EXISTS (
+  SELECT 1 FROM events_src k WHERE k.event_id % 5 = 0
+  AND k.event_type IS NOT DISTINCT FROM t.event_type AND k.value IS NOT DISTINCT FROM t.value)""")
+def scan_pk_pushdown_nulls(spark, sf):
+    events = frame(spark, sf, "events_src")
+    return keep_pushed_keys(events.select("event_id", "event_type", "value"), events.where("event_id % 5 = 0"), ["event_type", "value"])
 
 
 def _exported(df, spark, label, **options):

@@ -78,19 +78,6 @@ def test_tables(spark, rows):
     assert tables.normalize_where("   ") is None and tables.normalize_where(" where a = 1") == "a = 1"
 
 
-def test_key_pushdown(spark, rows):
-    target = spark.createDataFrame([(i, i * i) for i in range(20)], "id int, v int")
-    wanted = spark.createDataFrame([(3,), (5,), (None,)], "key int")
-    assert rows(tables.keep_source_keys(target, wanted, ["key"], ["id"])) == [(3, 9), (5, 25)]
-    few = wanted.dropna()
-    literal = tables.keep_source_keys(target, few, ["key"], ["id"], literal=True)
-    assert rows(literal) == [(3, 9), (5, 25)]
-    assert tables.key_predicate(few, "key", "id", limit=1) is None
-    assert tables.key_predicate(wanted, "key", "id") is None
-    text = spark.createDataFrame([("3",), ("x",)], "key string")
-    assert rows(tables.keep_source_keys(target, text, ["key"], ["id"], literal=True)) == [(3, 9)]
-
-
 def archive(inner):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

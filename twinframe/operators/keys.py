@@ -255,15 +255,16 @@ def keep_keys(df, keys_df, keys, mode="canonical", how="left_semi", split_hot=Tr
     """
     mine, theirs = join_keys(df, keys_df, keys, mode)
     names = names_of(mine)
-    left = df.select(*[df[c] for c in df.columns], *mine)
+    columns = [name(c) for c in df.columns]
+    left = df.select(*columns, *mine)
     right = keys_df.select(*theirs).distinct()
     hot = hot_key_hashes(df, mine) if split_hot else []
     if not hot:
-        return left.join(right, names, how).select(*df.columns)
+        return left.join(right, names, how).select(*columns)
     is_hot = F.xxhash64(*[F.col(n) for n in names]).isin(hot)
     heavy = left.where(is_hot).join(F.broadcast(right.where(is_hot)), names, how)
     rest = left.where(~is_hot).join(right.where(~is_hot), names, how)
-    return heavy.unionByName(rest).select(*df.columns)
+    return heavy.unionByName(rest).select(*columns)
 
 
 def broadcast_if_small(df, rows=100_000):

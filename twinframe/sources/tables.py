@@ -1,11 +1,6 @@
 """Catalog tables, JDBC tables and SQL queries, narrowed by columns, predicate, keys and limit."""
 
-from pyspark.sql import functions as F
-
 from twinframe.operators.align import lower_columns
-from twinframe.operators.keys import keep_keys
-
-IN_LIST = 1000  # keys sent to a database as a literal list; more are joined on Spark
 
 
 def normalize_where(text):
@@ -37,29 +32,6 @@ def select_columns(df, columns):
     return df.select(*found) if found else df.select().limit(0)
 
 
-def key_predicate(keys_df, key, target_key, limit=IN_LIST):
-    """`target_key IN (...)` if there are few keys, else None. Databases receive it with the scan."""
-    few = keys_df.select(key).distinct().limit(limit + 1).collect()  # bounded by the limit
-    if len(few) > limit or any(r[0] is None for r in few):
-        return None
-    return F.col(target_key).isin([r[0] for r in few])
-
-
-def keep_source_keys(df, keys_df, keys, target_keys=None, literal=False, mode="canonical"):
-    """Rows of `df` whose key occurs in `keys_df`.
-
-    With `literal`, a short list of single keys goes into the scan as a
-    predicate; otherwise the keys are joined.
-    """
-    target_keys = target_keys or keys
-    if literal and len(keys) == 1 and df.schema[target_keys[0]].dataType == keys_df.schema[keys[0]].dataType:
-        predicate = key_predicate(keys_df, keys[0], target_keys[0])
-        if predicate is not None:
-            return df.where(predicate)
-    renamed = keys_df.select(*[F.col(k).alias(t) for k, t in zip(keys, target_keys)])
-    return keep_keys(df, renamed, target_keys, mode)
-
-
 def read_table(spark, table=None, query=None, jdbc=None, schema=None, columns=None, where=None, limit=None):
     """A table or query as a frame, from the catalog or over JDBC options.
 
