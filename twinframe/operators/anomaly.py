@@ -13,14 +13,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinframe.operators.keys import first_n
+from twinframe.operators.ranks import interpolated
 
 log = logging.getLogger(__name__)
 
 N_TREES = 100
 SAMPLE_SIZE = 256
-WHOLE = 16  # up to so many times the sample size, every tree draws from all rows
-SPARE = 2  # in larger tables, places drawn for each place in a tree
+LARGEST_SAMPLE = 1 << 14  # rows of a tree that a share of the table may come to
+HEAVY = 250  # a point with one in so many rows is always in the pool
 
 # A tree is complete: node i has the children 2i + 1 and 2i + 2, `path` is the
 # path length at each leaf. Early leaves are continued with splits that all
@@ -52,42 +52,71 @@ def _complete(columns):
     return out
 
 
-def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
-    """(tree_id, order, *columns): the rows each tree is grown from.
+def training_pool(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
+    """(points, copies, rows to draw for a tree): what all trees draw from, of bounded size.
+
+    The points whose seeded hash is below a bound, with the number of their rows:
+    all points of a small table, of a large one about as many as the trees draw.
+    Rows beyond the bound end where they are read, so only points of the pool
+    shuffle, counted in each task first. A point that holds one row in HEAVY is
+    always there, its copies reduced like those of the others. The pool depends
+    on the rows alone, not on their order or partitioning.
 
-    Equal rows are counted first. A row that occurs n times gets n * rate
-    places, the fraction decided by a hash of its values, so the draw is
-    proportional, needs no row identity and does not depend on the
-    partitioning. In a large table a hash gives every place to one tree, so no
-    two trees share a draw; in a small one each tree picks from all rows.
+    A `size` that is a float is a share of the complete rows, of at most
+    LARGEST_SAMPLE rows.
     """
     points = df.where(_complete(columns)).select(*_doubles(df, columns))
-    rows = points.count()
-    if rows == 0:
+    h = F.xxhash64(*columns, F.lit(seed))
+    seen = points.select(h.alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.01).alias("distinct"),
+        F.expr(f"approx_top_k(h, {2 * HEAVY}, {40 * HEAVY})").alias("top")).first()
+    if not seen.n:
         raise ValueError("No valid data after removing NaNs")
-    small = rows <= WHOLE * size
-    rate = 1.0 if small else SPARE * n_trees * size / rows
-    share = F.col("n") * F.lit(rate)
-    unit = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(share) + F.when(unit < share - F.floor(share), 1).otherwise(0)
-    pool = (
-        points.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        .select(*columns, copies.alias("copies")).where("copies > 0")
-        .select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-        .select(*columns, F.xxhash64(*columns, "copy", F.lit(seed)).alias("h"))
-    )
-    # The draw is small; a fixed partition count keeps the trees on all cores.
-    cores = min(n_trees, df.sparkSession.sparkContext.defaultParallelism)
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-    own = F.pmod(F.xxhash64("h", F.lit("tree")), F.lit(n_trees)).cast("int")
-    trees = pool.select((every if small else own).alias("tree_id"), "*").repartition(cores, "tree_id")
-    ordered = trees.withColumn("order", F.xxhash64("h", "tree_id"))
-    return first_n(ordered, ["order", *columns], size, "tree_id").select("tree_id", "order", *columns)
+    if isinstance(size, float):
+        if not 0 < size <= 1 or size * seen.n > LARGEST_SAMPLE:
+            raise ValueError(f"max_samples {size} is no share, or more than {LARGEST_SAMPLE} of {seen.n} rows")
+        size = max(int(size * seen.n), 1)
+    if size < 1:
+        raise ValueError(f"max_samples {size} is no number of rows")
+    share = min(1.0, max(n_trees * SAMPLE_SIZE, 8 * size) / max(seen.distinct, 1))
+    low = F.pmod(F.xxhash64(h, F.lit("pool")), F.lit(1 << 40)) < int(share * (1 << 40))
+    many = [t["item"] for t in seen.top or [] if t["count"] * HEAVY >= seen.n / 2]  # among them all that hold one row in HEAVY
+    pool = (points.where(low | h.isin(many)).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+            .where(low | (F.col("n") * HEAVY >= seen.n)).select(*columns, "n", h.alias("h")).toPandas())
+    pool = pool.sort_values(["h", *columns])
+    copies = pool["n"].to_numpy()
+    copies = np.where(copies * HEAVY >= seen.n, np.maximum(np.rint(copies * share), 1), copies).astype(np.int64)
+    return pool[columns].to_numpy(dtype=float), copies, min(size, seen.n), size
+
+
+def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
+    """(tree_id, order, *columns): the rows each tree is grown from, drawn for each tree without replacement."""
+    return _samples(df.sparkSession, training_pool(df, columns, n_trees, size, seed), columns, n_trees, seed)
+
+
+def _samples(spark, pool, columns, n_trees, seed):
+    sent = spark.sparkContext.broadcast(pool)  # at most LARGEST_SAMPLE * 8 or n_trees * SAMPLE_SIZE points, and HEAVY
+
+    def draw(batches):
+        points, copies, k, _ = sent.value
+        ends = np.cumsum(copies)
+        for batch in batches:
+            for tree_id in batch["id"]:
+                rng = np.random.default_rng([seed, tree_id])
+                places = rng.choice(ends[-1], min(k, ends[-1]), replace=False)
+                out = pd.DataFrame(points[np.searchsorted(ends, places, "right")], columns=columns)
+                out.insert(0, "order", np.arange(len(out)))
+                out.insert(0, "tree_id", np.int32(tree_id))
+                yield out
+
+    trees = spark.range(0, n_trees, numPartitions=min(n_trees, spark.sparkContext.defaultParallelism))
+    return trees.mapInPandas(draw, "tree_id int, order bigint, " + ", ".join(f"`{c}` double" for c in columns))
 
 
 def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
     """One row per tree with its nodes as arrays."""
-    samples = training_samples(df, columns, n_trees, size, seed)
+    pool = training_pool(df, columns, n_trees, size, seed)
+    samples, size = _samples(df.sparkSession, pool, columns, n_trees, seed), pool[-1]
 
     def average_path(n):
         if n <= 2:
@@ -163,14 +192,19 @@ def score_rows(df, columns, forest):
 
 
 def score_threshold(scored, columns, contamination=0.02):
-    """One row with the score below which the given share of complete rows lies."""
-    return scored.where(_complete(columns)).agg(
-        F.percentile_approx("anomaly_score", contamination, 100_000).alias("threshold"))
+    """One row with the exact score below which the given share of complete rows lies; null without complete rows.
+
+    The threshold is between the scores of the ranks around (n - 1) * contamination.
+    Scores below it are anomalies: floor((n - 1) * contamination) rows if that is a
+    whole number, else one more, and fewer where rows tie at the threshold.
+    """
+    scores = scored.where(_complete(columns)).select("anomaly_score")
+    return scored.sparkSession.createDataFrame([(interpolated(scores, "anomaly_score", contamination),)], "threshold double")
 
 
 def mark_anomalies(scored, columns, threshold):
     """The scored frame with `is_anomaly`; rows with a missing value are never anomalies."""
-    return scored.withColumn("is_anomaly", _complete(columns) & (F.col("anomaly_score") < F.lit(threshold)))
+    return scored.withColumn("is_anomaly", _complete(columns) & (F.col("anomaly_score") < F.lit(-2.0 if threshold is None else threshold)))
 
 
 def flag_anomalies(scored, columns, contamination=0.02):
