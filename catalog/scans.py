@@ -127,6 +127,18 @@ def scan_csv_encoding(spark, sf):
     return files.read_file(spark, _exported(rows, spark, "latin", encoding="ISO-8859-1"), format="csv")
 
 
+@query("scan_csv_bare_quotes", """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, concat(p_size, '"in') AS size, concat(p_brand, '" ', p_size, '"') AS label FROM part""")
+def scan_csv_bare_quotes(spark, sf):
+    """Quotes inside a field that does not start with one are text."""
+    inch = lambda c: F.concat(c, F.lit('"'))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat(inch(F.col("p_size").cast("string")), F.lit("in")).alias("size"),
+                                           F.concat(inch("p_brand"), F.lit(" "), inch(F.col("p_size").cast("string"))).alias("label"))
+    path = new_path(spark, "bare")
+    rows.write.options(header=True, quote="").csv(path)
+    return files.read_file(spark, path, format="csv")
+
+
 @query("scan_delimited", """
 SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part""")
 def scan_delimited(spark, sf):

@@ -130,6 +130,7 @@ def _file(folder, name, text, encoding="utf-8"):
 
 
 @pytest.mark.parametrize("row,good", [("1,2", True), ("1", True), ("1,2,", False), ("1,2,,", False), ("1,2,,x", False),
+                                      ('5"x,6"x', True), ('5"x,6"x,7', False), ('5",6",7', False), ('a,"b"c', True), ('a, "b,c"', False),
                                       ('"1,5",2', True), ('"a ""b"", c",2', True), ('"x\ny",2', True), ('"x\ny",2,', False)])
 def test_field_counts(spark, tmp_path, row, good):
     path = _file(tmp_path / "f", "a.csv", f"a,b\n{row}\n3,4\n")
@@ -164,6 +165,19 @@ def test_json_by_lines_and_documents(spark, tmp_path, rows):
     assert files.read_json(spark, str(tmp_path / "f" / "1.json"), lines=True).count() == 3
 
 
+@pytest.mark.parametrize("text", ['{"a": 1}\n{"a": 2}\n{"a":', '{"a": 1}\n{"a": 2}\nx\n{"a": 3}', '{"a": 1}\n\n{"a"', '{"a": 1', '[{"a": 1}, {"a"'])
+def test_broken_json_is_an_error(spark, tmp_path, text):
+    path = _file(tmp_path / "f", "1.json", text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_json(spark, path).collect()
+
+
+def test_marks_within_a_file_are_text(spark, tmp_path, rows):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "1.csv").write_bytes(b"a,b\n\xff\xfe,1\n\xe9,2\n")
+    assert rows(files.read_csv(spark, str(tmp_path / "f"))) == [("\xe9", "2"), ("\xff\xfe", "1")]
+
+
 def test_json_columns_of_several_files(spark, tmp_path, rows):
     _file(tmp_path / "f", "1.json", '{"a": {"0": "1", "1": "2"}, "b": {"0": "x", "1": "y"}}')
     path = _file(tmp_path / "f", "2.json", '{"a": {"0": "3", "1": "4"}, "b": {"0": "z", "1": null}}')

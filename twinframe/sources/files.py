@@ -16,18 +16,30 @@ FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 CORRUPT = "__whole_row"
 
 
+def _lines(spark, path):
+    """file, at, value of all lines; the least `at` of a file is its first line's."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
 def encodings(spark, path):
     """{encoding: files}: UTF-16 by the byte order mark, else UTF-8 if every line is valid, else ISO-8859-1.
 
-    Reads all lines once; name the encoding to save that.
+    Reads all lines once; name the encoding to save that. File names reach the
+    driver only if there are several encodings.
     """
     mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
-    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-             .groupBy("file").agg(F.bool_or(mark).alias("marked"), F.bool_and(F.is_valid_utf8("value")).alias("valid")))
+    lines = _lines(spark, path).select("file", "at", F.is_valid_utf8("value").alias("valid"), mark.alias("mark"))
+    named = F.when(F.col("marked"), "UTF-16").when(F.col("valid"), "UTF-8").otherwise("ISO-8859-1")
+    files = (lines.groupBy("file").agg(F.min_by("mark", "at").alias("marked"), F.bool_and("valid").alias("valid"))
+             .select("file", named.alias("encoding")))
+    kinds = [r.encoding for r in files.select("encoding").distinct().collect()]
+    if len(kinds) < 2:
+        return {kind: [path] for kind in kinds}
     found = {}
     for r in files.orderBy("file").collect():  # one row a file
-        name = "UTF-16" if r.marked else "UTF-8" if r.valid else "ISO-8859-1"
-        found.setdefault(name, []).append(unquote(r.file))
+        found.setdefault(r.encoding, []).append(unquote(r.file))
     return found
 
 
@@ -66,8 +78,8 @@ def _read_csv(spark, path, sep, encoding, multi_line):
     names = [c.lstrip("\ufeff").strip('"') for c in found]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*found, CORRUPT]])
     rows = reader.option("enforceSchema", False).schema(schema).csv(path).toDF(*names, CORRUPT)
-    # Spark marks rows of another length; their fields are counted outside quotes
-    bare = F.regexp_replace(CORRUPT, '"(?:[^"]|"")*"', "")
+    # Spark marks rows of another length; their fields are counted outside quotes, which open a field only at its start
+    bare = F.regexp_replace(CORRUPT, f'(?:^|(?<={re.escape(sep)}))"(?:[^"]|"")*"', "")
     fields = F.size(F.split(bare, re.escape(sep)))
     too_long = F.raise_error(F.lit("a row has more fields than the header")).cast("boolean")
     first = F.length(F.concat_ws("", F.col(f"`{names[0]}`"))) >= 0  # Spark refuses to read the marked rows alone
@@ -76,12 +88,16 @@ def _read_csv(spark, path, sep, encoding, multi_line):
 
 
 def _by_lines(spark, path):
-    """Files with one JSON object a line, and the others."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    """(files with one JSON object a line, the others); a file whose first line is a whole object and not its last is of the first kind."""
+    lines = _lines(spark, path).where("trim(value) <> ''")
     alone = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.from_json("value", "map<string,string>").isNotNull()
-    files = (lines.select(F.col("_metadata.file_path").alias("file"), alone.alias("alone"))
-             .groupBy("file").agg((F.bool_and("alone") & (F.count("*") > 1)).alias("by_lines")).orderBy("file").collect())
-    return [[unquote(r.file) for r in files if r.by_lines == wanted] for wanted in (True, False)]
+    files = (lines.select("file", "at", alone.alias("alone")).groupBy("file")
+             .agg((F.min_by("alone", "at") & (F.count("*") > 1)).alias("by_lines")))
+    kinds = [r.by_lines for r in files.select("by_lines").distinct().collect()]
+    if len(kinds) < 2:
+        return ([path], []) if True in kinds else ([], [path])
+    found = files.orderBy("file").collect()  # one row a file
+    return [[unquote(r.file) for r in found if r.by_lines == wanted] for wanted in (True, False)]
 
 
 def read_json(spark, path, orient="records", lines=None):
@@ -89,16 +105,16 @@ def read_json(spark, path, orient="records", lines=None):
 
     Records are one document a file or one object a line. Which of them is found
     out by reading all lines once, unless `lines` says it; files with an object
-    a line are split over tasks.
+    a line are split over tasks. A line or document that is no JSON is an error.
     """
     if orient == "records":
+        read = lambda files, by_lines: lower_columns(spark.read.options(multiLine=not by_lines, mode="FAILFAST").json(files))
         if lines is not None:
-            return lower_columns(spark.read.option("multiLine", not lines).json(path))
+            return read(path, lines)
         by_lines, whole = _by_lines(spark, path)
         if not by_lines or not whole:
-            return lower_columns(spark.read.option("multiLine", not by_lines).json(path))
-        frames = [lower_columns(spark.read.option("multiLine", not flag).json(files)) for flag, files in ((True, by_lines), (False, whole))]
-        return frames[0].unionByName(frames[1], allowMissingColumns=True)
+            return read(path, bool(by_lines))
+        return read(by_lines, True).unionByName(read(whole, False), allowMissingColumns=True)
     text = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
     if orient == "values":
         rows = text.select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
