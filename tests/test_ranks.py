@@ -2,9 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from twinframe.operators import ranks
-from twinframe.operators.ranks import at_rank, interpolated
+from twinframe.operators.ranks import around_rank, interpolated
 
 SETS = {
     "ties": [0.25] * 50 + [-1.0] * 3 + [0.5, 0.75] * 40,
@@ -18,17 +19,17 @@ SETS = {
 
 
 @pytest.mark.parametrize("name", SETS)
-@pytest.mark.parametrize("few,bins", [(0, 64), (7, 16)])
-def test_every_rank(spark, monkeypatch, name, few, bins):
-    monkeypatch.setattr(ranks, "FEW", few)
-    monkeypatch.setattr(ranks, "BINS", bins)
+def test_every_rank(spark, monkeypatch, name):
+    monkeypatch.setattr(ranks, "FEW", 7)
+    monkeypatch.setattr(ranks, "BINS", 16)
     data = sorted(SETS[name])
     values = spark.createDataFrame([(float(x),) for x in reversed(data)], "x double").coalesce(2).cache()
     n = len(data)
+    ends = Row(low=data[0], high=data[-1], n=n)
     for rank in {0, n // 3, n - 1}:
-        assert at_rank(values, "x", rank) == (data[rank], sum(x <= data[rank] for x in data))
+        assert around_rank(values, "x", rank, ends) == (data[rank], data[rank + 1] if rank + 1 < n else None)
     with pytest.raises(ValueError):
-        at_rank(values, "x", n)
+        around_rank(values, "x", n, ends)
     values.unpersist()
 
 

@@ -1,7 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinframe.model import RESULT_FIELDS
+from twinframe.plans import validation as runs
 from twinframe.plans.suite import (
     load_config, load_dataset, options_from, run_count_check, run_suite, summary_frame)
 from twinframe.plans.validation import Options, validate
@@ -179,3 +182,54 @@ def test_bad_configuration(spark):
     for n in (0, "x", -3):
         with pytest.raises(ValueError):
             options_from({"quick_sample_pks": n})
+
+
+def _counted(monkeypatch, *names):
+    calls = []
+    for n in names:
+        real = getattr(runs, n)
+        monkeypatch.setattr(runs, n, lambda *a, n=n, real=real, **k: calls.append(n) or real(*a, **k))
+    return calls
+
+
+@pytest.mark.parametrize("extra,joins", [([], ["key_pair"]), ([(1, "a"), (1, "b"), (2, "")], ["key_pair", "keep_key_columns"])])
+def test_one_join_cuts_and_compares(spark, monkeypatch, extra, joins):
+    source = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "k int, v string")
+    target = spark.createDataFrame([(i, f"v{i}" if i % 5 else None) for i in range(50)] + extra, "k int, v string")
+    calls = _counted(monkeypatch, "key_pair", "keep_keys", "keep_key_columns")
+    out = validate(source, target, "k", Options(regression=True))
+    assert calls == joins and out.subset_applied
+    found = {(r[0], r[2]): r for r in out.rows if not r[3]}
+    assert found["record_count_check", ""][5:] == ("20", str(20 + len(extra)))
+    assert found["null_check", "v"][5:] == ("0", "4")
+    assert found["data_validation", "v"][4] == f"{6 if extra else 4} mismatches in column v"
+    assert [r[3] for r in out.rows if r[0] == "empty_string_check" and r[1] == "FAIL"] == (["k=2"] if extra else [])
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert not [f for f in os.listdir(folder) if f.startswith(("joined-", "subset-"))]
+
+
+def test_cut_keeps_nested_columns(spark):
+    source = spark.createDataFrame([(i, [i]) for i in range(5)], "k int, v array<int>")
+    target = spark.createDataFrame([(i, [i] if i % 2 else [0, i]) for i in range(9)], "k int, v array<int>")
+    out = validate(source, target, "k", Options())
+    found = {(r[0], r[2]): r for r in out.rows if not r[3]}
+    assert found["record_count_check", ""][5:] == ("5", "5") and found["metadata_type_check", "v"][5:] == ("array<int>", "array<int>")
+    assert found["data_validation", "v"][4] == "3 mismatches in column v"
+
+
+def test_no_common_key_compares_everything(spark):
+    source = spark.createDataFrame([(i, "a") for i in range(5)], "k int, v string")
+    target = spark.createDataFrame([(100 + i, "a") for i in range(9)], "k int, v string")
+    out = validate(source, target, "k", Options())
+    found = {(r[0], r[2]): r for r in out.rows if not r[3]}
+    assert not out.subset_applied and found["record_count_check", ""][5:] == ("5", "9")
+    assert found["primary_key_match", ""][4] == "Common: 0, Source-only: 5, Target-only: 9"
+
+
+def test_flagged_rows_of_a_cut_side_can_be_read_later(spark):
+    source = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "k int, x double")
+    target = spark.createDataFrame([(i, float(i % 7) if i != 30 else 900.0) for i in range(99)], "k int, x double")
+    out = validate(source, target, "k", Options(anomaly={"columns": ["x"], "run_on": "target", "max_samples": 0.5, "n_estimators": 20}))
+    assert [r.k for r in out.top_anomalies("target", 1).collect()] == [30]
+    bad = validate(source, target, "k", Options(anomaly={"columns": ["x"], "run_on": "target", "max_samples": 1.5}))
+    assert [r[1] for r in bad.rows if r[0] == "anomaly_detection"] == ["ERROR"]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinframe.operators.ranks import interpolated
+from twinframe.shared import kept
 
 log = logging.getLogger(__name__)
 
@@ -90,33 +91,35 @@ def training_pool(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
 
 
 def training_samples(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
-    """(tree_id, order, *columns): the rows each tree is grown from, drawn for each tree without replacement."""
-    return _samples(df.sparkSession, training_pool(df, columns, n_trees, size, seed), columns, n_trees, seed)
+    """(tree_id, *columns): the rows each tree is grown from, drawn for each tree without replacement."""
+    def rows(tree_id, points):
+        out = pd.DataFrame(points, columns=columns)
+        out.insert(0, "tree_id", np.int32(tree_id))
+        return out
+    schema = "tree_id int, " + ", ".join(f"`{c}` double" for c in columns)
+    return _by_tree(df.sparkSession, training_pool(df, columns, n_trees, size, seed), n_trees, seed, rows, schema)
 
 
-def _samples(spark, pool, columns, n_trees, seed):
+def _by_tree(spark, pool, n_trees, seed, rows, schema):
+    """What `rows` makes of each tree's number and draw, trees spread over the cores. Nothing is shuffled."""
     sent = spark.sparkContext.broadcast(pool)  # at most LARGEST_SAMPLE * 8 or n_trees * SAMPLE_SIZE points, and HEAVY
 
-    def draw(batches):
+    def each(batches):
         points, copies, k, _ = sent.value
         ends = np.cumsum(copies)
         for batch in batches:
-            for tree_id in batch["id"]:
-                rng = np.random.default_rng([seed, tree_id])
-                places = rng.choice(ends[-1], min(k, ends[-1]), replace=False)
-                out = pd.DataFrame(points[np.searchsorted(ends, places, "right")], columns=columns)
-                out.insert(0, "order", np.arange(len(out)))
-                out.insert(0, "tree_id", np.int32(tree_id))
-                yield out
+            for tree_id in batch["id"].tolist():
+                places = np.random.default_rng([seed, tree_id]).choice(ends[-1], min(k, ends[-1]), replace=False)
+                yield rows(tree_id, points[np.searchsorted(ends, places, "right")])
 
     trees = spark.range(0, n_trees, numPartitions=min(n_trees, spark.sparkContext.defaultParallelism))
-    return trees.mapInPandas(draw, "tree_id int, order bigint, " + ", ".join(f"`{c}` double" for c in columns))
+    return trees.mapInPandas(each, schema)
 
 
 def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
     """One row per tree with its nodes as arrays."""
     pool = training_pool(df, columns, n_trees, size, seed)
-    samples, size = _samples(df.sparkSession, pool, columns, n_trees, seed), pool[-1]
+    size = pool[-1]
 
     def average_path(n):
         if n <= 2:
@@ -125,11 +128,8 @@ def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
 
     depth = math.ceil(math.log2(max(size, 2)))
 
-    def grow(pdf):
-        pdf = pdf.sort_values(["order", *columns])
-        x = pdf[columns].to_numpy(dtype=float)
-        tree_id = int(pdf["tree_id"].iloc[0])
-        rng = np.random.default_rng([seed, tree_id])
+    def grow(tree_id, x):
+        rng = np.random.default_rng([seed, tree_id, 1])
         inner = 2 ** depth - 1
         feature, threshold = np.zeros(inner, dtype=int), np.full(inner, np.inf)
         path = np.zeros(inner + 1)
@@ -152,7 +152,7 @@ def fit_forest(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
         return pd.DataFrame([{"tree_id": tree_id, "size": len(x), "depth": depth, "feature": feature,
                               "threshold": threshold, "path": path}])
 
-    return samples.groupBy("tree_id").applyInPandas(grow, TREE_SCHEMA)
+    return _by_tree(df.sparkSession, pool, n_trees, seed, grow, TREE_SCHEMA)
 
 
 def collect_forest(forest):
@@ -198,8 +198,13 @@ def score_threshold(scored, columns, contamination=0.02):
     Scores below it are anomalies: floor((n - 1) * contamination) rows if that is a
     whole number, else one more, and fewer where rows tie at the threshold.
     """
-    scores = scored.where(_complete(columns)).select("anomaly_score")
-    return scored.sparkSession.createDataFrame([(interpolated(scores, "anomaly_score", contamination),)], "threshold double")
+    with kept(scored.where(_complete(columns)).select(*columns, "anomaly_score"), "scores") as scores:
+        return scored.sparkSession.createDataFrame([(stored_threshold(scores, columns, contamination),)], "threshold double")
+
+
+def stored_threshold(scored, columns, contamination=0.02):
+    """The threshold of scored rows that are stored, so that reading them again does not score them again."""
+    return interpolated(scored.where(_complete(columns)), "anomaly_score", contamination)
 
 
 def mark_anomalies(scored, columns, threshold):

@@ -142,11 +142,12 @@ def checksum_examples(hashes, pair, n=5):
 EXAMPLES = {"source_dup": 5, "target_dup": 5, "source_only": 5, "target_only": 5, "value": 3, "checksum": 5}
 
 
-def findings(pair, text_rules=(), checksum=False, algo="md5"):
+def findings(pair, text_rules=(), checksum=False, algo="md5", carried=()):
     """One row per key with `both` and the array `found` of (kind, column, source_value, target_value).
 
     `found` is empty for keys without a finding, so the frame is narrow; the
-    key is spelled out in `pk` only where something was found.
+    key is spelled out in `pk` only where something was found. `carried` are
+    further columns of the pair, as SQL.
     """
     both = "(s IS NOT NULL AND t IS NOT NULL)"
 
@@ -180,7 +181,7 @@ def findings(pair, text_rules=(), checksum=False, algo="md5"):
         test = f"{both} AND ({' OR '.join(differ)}) AND {s_hash} <> {t_hash}"
         entries.append(entry("checksum", test, "", f"substring({s_hash}, 1, 16)", f"substring({t_hash}, 1, 16)"))
     rows = pair.frame.selectExpr(*pair.key_names, f"{both} AS `both`", f"{pair.key_text()} AS pk",
-                                 f"array_compact({_array(entries)}) AS found")
+                                 f"array_compact({_array(entries)}) AS found", *carried)
     return rows.withColumn("pk", F.expr("if(size(found) > 0, pk, NULL)"))
 
 

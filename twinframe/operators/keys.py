@@ -247,18 +247,21 @@ def hot_key_hashes(df, key_columns):
 
 
 def keep_keys(df, keys_df, keys, mode="canonical", how="left_semi", split_hot=True):
-    """Rows of `df` whose key is in `keys_df` (or, with 'left_anti', is not).
+    """Rows of `df` whose key is in `keys_df` (or, with 'left_anti', is not)."""
+    mine, theirs = join_keys(df, keys_df, keys, mode)
+    return keep_key_columns(df, mine, keys_df.select(*theirs).distinct(), how, split_hot)
+
+
+def keep_key_columns(df, key_columns, right, how="left_semi", split_hot=True):
+    """Rows of `df` whose key columns are among the distinct rows of `right`.
 
     Rows of heavy keys do not shuffle: the few keys concerned (at most
     1 / HOT_SHARE of them) are broadcast to where the rows are. Everything else
     is a normal shuffled join.
     """
-    mine, theirs = join_keys(df, keys_df, keys, mode)
-    names = names_of(mine)
-    columns = [name(c) for c in df.columns]
-    left = df.select(*columns, *mine)
-    right = keys_df.select(*theirs).distinct()
-    hot = hot_key_hashes(df, mine) if split_hot else []
+    names, columns = names_of(key_columns), [name(c) for c in df.columns]
+    left = df.select(*columns, *key_columns)
+    hot = hot_key_hashes(df, key_columns) if split_hot else []
     if not hot:
         return left.join(right, names, how).select(*columns)
     is_hot = F.xxhash64(*[F.col(n) for n in names]).isin(hot)

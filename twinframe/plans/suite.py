@@ -64,6 +64,7 @@ def options_from(config):
         sample_keys=int(sample) if sample is not None else None,
         sample_seed=int(config.get("quick_sample_seed", 42)),
         filter_target=bool(config.get("filter_target_by_source_pks", False)),
+        approx_distinct=bool(config.get("approx_distinct", False)), hash_algo=config.get("hash_algo", "md5"),
         expectations=expected if rules.get("enabled", True) else [], expectations_on=on,
         anomaly=anomaly if anomaly.get("enabled", True) else {})
 
