@@ -2,7 +2,7 @@
 
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import types as T
 
@@ -50,12 +50,16 @@ def written(df, label="written"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df, folders, label="stored"):
+    """The frame, written to the shared folder once and read from there; `folders`, an ExitStack, deletes the files."""
+    path = new_path(df.sparkSession, label)
+    folders.callback(remove, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def kept(df, label="kept"):
     """The frame, written to the shared folder once and read from there; the files go when the block ends."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    try:
-        yield df.sparkSession.read.schema(df.schema).parquet(path)
-    finally:
-        remove(df.sparkSession, path)
+    with ExitStack() as folders:
+        yield stored(df, folders, label)
