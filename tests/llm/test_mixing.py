@@ -32,6 +32,17 @@ def test_totals_meet_targets(corpus, labelled, weights):
     assert all(abs(r.copies - r.rate) < 1 for r in rows)
 
 
+@pytest.mark.parametrize("steps", [1, 5])
+def test_what_is_left_is_told(corpus, labelled, steps):
+    """Targets that the steps do not reach come back with the gap that is left."""
+    rows = mix(corpus, labelled, {"de": 0.97, "en": 0.03}, max_steps=steps).collect()
+    n = sum(r.n_tokens for r in rows)
+    left = sum(abs(a - b * n) for a, b in zip(totals(rows, 2), (0.97, 0.03))) / n
+    assert {r.gap for r in rows} == {rows[0].gap} and rows[0].gap == pytest.approx(left, abs=1e-9)
+    met = mix(corpus, labelled, {"de": 0.6, "en": 0.4}).first().gap
+    assert met <= 1e-6
+
+
 def test_least_squares_like_dense_projection(corpus, labelled):
     """The fit leaves no smaller gap than a dense solver's."""
     import numpy as np

@@ -86,11 +86,11 @@ def fit_rates(members, weights, tolerance=1e-6, max_steps=60):
     inverse = np.linalg.pinv(gram / total + 1e-12 * np.eye(k))
     target, gap = np.array(weights) / sum(weights) * total, 0.0
     rate = F.col("rate")
-    for step in range(max_steps):
+    for step in range(max_steps + 1):
         got = rated.agg(*[F.sum(rate * F.col("n_tokens") * F.col(f"p_{i}")).alias(f"a_{i}") for i in range(k)]).first()
         off = (target - np.array(got, float)) / total
         gap = float(np.abs(off).sum())
-        if gap < tolerance:
+        if gap < tolerance or step == max_steps:
             break
         move = inverse @ off
         rate = F.greatest(F.lit(0.0), rate + sum((F.col(f"p_{i}") * float(move[i]) for i in range(k)), F.lit(0.0)))
@@ -99,13 +99,15 @@ def fit_rates(members, weights, tolerance=1e-6, max_steps=60):
     return rated.withColumn("rate", rate), gap
 
 
-def mix(docs, labelled, weights, max_rows=5000, tolerance=1e-6):
-    """doc_id, n_tokens, domain, posterior, rate, copies of each distinct doc_id.
+def mix(docs, labelled, weights, max_rows=5000, tolerance=1e-6, max_steps=60):
+    """doc_id, n_tokens, domain, posterior, rate, copies, gap of each distinct doc_id.
 
     `labelled` names the domain of some documents (doc_id, domain); `weights`
     maps the domains to their shares of all tokens. `copies` is the rate rounded
     up or down by a hash of the doc_id, so that it is right on average and the
-    same in every run.
+    same in every run. `gap`, the same in all rows, is how far the expected
+    token totals of all domains are from their targets, as a share of all
+    tokens: at most `tolerance`, unless no rates or not enough steps meet them.
 
     Defined results: rows of one doc_id (also of none) are one document with all
     their words; null and empty texts have no tokens and the posterior of the
@@ -117,14 +119,14 @@ def mix(docs, labelled, weights, max_rows=5000, tolerance=1e-6):
     domains = sorted(weights)
     docs = docs.select("doc_id", "text")
     members = written(memberships(docs, labelled, domains, max_rows), "members")
-    rated, _ = fit_rates(members, [weights[d] for d in domains], tolerance)
+    rated, gap = fit_rates(members, [weights[d] for d in domains], tolerance, max_steps)
     posterior = F.array(*[f"p_{i}" for i in range(len(domains))])
     names = F.array(*[F.lit(d) for d in domains])
     even = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return (rated.withColumn("posterior", posterior)
             .select("doc_id", "n_tokens", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
                     .alias("domain"), "posterior", "rate",
-                    (F.floor("rate") + (even < F.col("rate") - F.floor("rate")).cast("long")).alias("copies")))
+                    (F.floor("rate") + (even < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"), F.lit(gap).alias("gap")))
 
 
 def mixed(docs, rates):

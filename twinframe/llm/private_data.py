@@ -26,8 +26,12 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Punctuation at the edges of an identifier that is no part of it, and the fewest characters of one.
-EDGES, SHORTEST = " \t\n\r\x0b\x0c.,;:!?\"'()[]<>{}", 5
+#: Punctuation at the edges of an identifier that is no part of it.
+EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]<>{}"
+#: What a discovered identifier has inside that plain words have not: a digit, or a sign between other characters.
+SIGNS = np.zeros(256, bool)
+SIGNS[list(b"@_+%=/.()[]{}<>\\")] = True
+UNLIKE_WORDS = re.compile(r"[0-9]|.[@_+%=/.()\[\]{}<>\\].", re.DOTALL)
 #: The filter of induced contexts: 4 MB, whatever their number.
 FILTER_BITS = 25
 SPAN = "struct<kind: int, start: int, end: int, before: long, around: long, value: long>"
@@ -78,7 +82,7 @@ def base_spans(text):
 
 
 def units(data, offsets):
-    """Words, with runs of words that hold digits as one: (first byte, end byte, row, holds a digit, before, around).
+    """Words, with runs of words that hold digits as one: (first byte, end byte, row, is unlike a plain word, before, around).
 
     `before` hashes the two words before a unit and `around` the words next to
     it; 0 where the row has no such words.
@@ -92,6 +96,8 @@ def units(data, offsets):
     digit = count[end] > count[start]
     joins = np.zeros(len(word), bool)
     joins[1:] = digit[1:] & digit[:-1] & (row[1:] == row[:-1])
+    signs = np.concatenate([[0], np.cumsum(SIGNS[data])])
+    unlike = digit | (signs[np.maximum(end - 1, start)] > signs[np.minimum(start + 1, end)])
     first = np.flatnonzero(~joins)
     last = np.append(first[1:], len(word)) - 1
     begin, finish = at[row[first]], at[row[first] + 1]
@@ -100,7 +106,7 @@ def units(data, offsets):
     around = mix(mix(padded[first + 1] * ROOT + padded[last + 3]) + np.uint64(2)) | np.uint64(1)
     before[first - 2 < begin] = 0
     around[(first - 1 < begin) | (last + 1 >= finish)] = 0
-    return start[first], end[last], row[first], digit[first], before, around
+    return start[first], end[last], row[first], unlike[first], before, around
 
 
 def value_of(text):
@@ -145,11 +151,12 @@ def filter_of(patterns):
     return out.view(np.uint8)
 
 
-def occurrences(docs, bits):
+def occurrences(docs, bits, shortest):
     """Where the contexts in the filter occur.
 
-    Rows with `n`: how often a task saw the pattern. Rows without: units with a
-    digit that hold no base span, as pattern, doc_id, tie, start, end, value.
+    Rows with `n`: how often a task saw the pattern. Rows without: units unlike
+    plain words, of at least `shortest` characters, that hold no base span, as
+    pattern, doc_id, tie, start, end, value.
     """
     mask = np.uint64((1 << FILTER_BITS) - 1)
 
@@ -166,14 +173,14 @@ def occurrences(docs, bits):
             ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
             rows = []
             for row0, data, offsets in chunks(batch.column("text")):
-                start, end, row, digit, before, around = units(data, offsets)
+                start, end, row, unlike, before, around = units(data, offsets)
                 texts = {}
                 for contexts in (before, around):
                     hit = np.flatnonzero(passes(contexts))
                     for p, n in zip(*np.unique(contexts[hit], return_counts=True)):
                         p = int(p.view(np.int64))
                         seen[p] = seen.get(p, 0) + int(n)
-                    for u in hit[digit[hit]]:
+                    for u in hit[unlike[hit]]:
                         i = int(row[u])
                         if i not in texts:
                             text = data[offsets[i]:offsets[i + 1]].tobytes()
@@ -184,7 +191,7 @@ def occurrences(docs, bits):
                         a += len(own) - len(own.lstrip(EDGES))
                         own = own.strip(EDGES)
                         b = a + len(own)
-                        if len(own) >= SHORTEST and DIGIT.search(own) and not any(a < y and x < b for _, x, y in known):
+                        if len(own) >= shortest and UNLIKE_WORDS.search(own) and not any(a < y and x < b for _, x, y in known):
                             rows.append((int(contexts[u].view(np.int64)), None, ids[row0 + i], ties[row0 + i], a, b, value_of(own)))
             yield table(rows)
             if len(seen) > 200_000:
@@ -200,14 +207,16 @@ def occurrences(docs, bits):
     return docs.mapInArrow(run, "pattern long, n long, doc_id long, tie long, start int, end int, value long")
 
 
-def discovered(docs, base, rounds=3, min_seeds=3, confidence=0.7):
+def discovered(docs, base, rounds=3, min_seeds=3, confidence=0.7, shortest=5):
     """doc_id, tie, found: spans (kind, start, end) of identifiers that credible contexts name.
 
     A pattern's confidence is the credible share of all its occurrences: seeds
     count 1, other instances their score, and two more occurrences are imagined
     that are not credible. An instance's score is the chance that at least one
     of its patterns is right. After `rounds` rounds, patterns of at least
-    `confidence` and `min_seeds` different seeds name their instances.
+    `confidence` and `min_seeds` different seeds name their instances. These have
+    at least `shortest` characters and a digit inside, or a sign as in
+    jane(at)example or bob@localhost; plain words are none in any context.
     """
     spark = docs.sparkSession
     seeds = base.select(F.explode("spans").alias("s")).select(
@@ -218,7 +227,7 @@ def discovered(docs, base, rounds=3, min_seeds=3, confidence=0.7):
                                                       F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
                        .where(F.col("different") >= min_seeds), "patterns")
     bits = spark.sparkContext.broadcast(filter_of(patterns))
-    seen = written(occurrences(docs, bits), "occurrences")
+    seen = written(occurrences(docs, bits, shortest), "occurrences")
     totals = seen.where("n is not null").groupBy("pattern").agg(F.sum("n").alias("total"))
     graph = written(patterns.join(totals, "pattern").select("pattern", "kind", "seeds", "total"), "graph")
     mentions = seen.where("n is null").drop("n")
