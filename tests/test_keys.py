@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import keys
+from twinframe.operators import bloom, keys
 
 
 def frame(spark, data, schema="k int, v string"):
@@ -39,6 +39,30 @@ def test_first_per_key_is_the_smallest_row(spark, rows):
             [(1, "a"), (2, None), (None, "p")], key=repr)
 
 
+@pytest.mark.parametrize("words", [1 << 19, 1])
+def test_unique_rows_bypass_the_reduction(spark, rows, monkeypatch, words):
+    monkeypatch.setattr(bloom, "WORDS", words)
+    data = [(i, f"v{i % 13}") for i in range(3000)] + [(i * 2, f"u{i}") for i in range(500)] * 2 + [(None, "x"), (None, "a"), (-1, None)]
+    first = {}
+    for k, v in data:
+        if k not in first or v is None or first[k] is not None and v < first[k]:
+            first[k] = v
+    assert rows(keys.first_per_key(frame(spark, data).repartition(4), ["k"])) == sorted(first.items(), key=repr)
+    unique = frame(spark, [(i, "a") for i in range(50)] + [(None, "b")])
+    assert rows(keys.first_per_key(unique, ["k"])) == rows(unique)
+
+
+@pytest.mark.parametrize("few", [50, 0])
+def test_heavy_labels_are_salted(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(keys, "HOT_ROWS", few)
+    df = frame(spark, [(7, f"v{i}") for i in range(300)] + [(i, "w") for i in range(100, 130)] + [(None, "n")] * 90)
+    limits = spark.createDataFrame([(7, 1.0), (7, 2.0), (101, 3.0), (None, 4.0), (999, 5.0)], "k int, x double")
+    got = keys.salted_left_join(df, limits, "k")
+    assert rows(got) == rows(df.join(limits, "k", "left")) and got.columns == ["k", "v", "x"]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in text
+
+
 def test_duplicates(spark, rows):
     df = frame(spark, [(1, "a"), (1, "b"), (None, "c"), (None, "d"), (2, "e")])
     assert rows(keys.duplicates(df, ["k"])) == [(1, 2), (None, 2)]
@@ -65,6 +89,19 @@ def test_sample_keys_do_not_depend_on_partitioning(spark, rows):
     assert rows(keys.sample_keys(df, ["k"], 10, seed=1)) != picked[0]
 
 
+@pytest.mark.parametrize("n", [0, 1, 37, 400, 998, 1003, 5000])
+def test_large_samples_are_cut_by_a_bound(spark, rows, monkeypatch, n):
+    df = spark.range(1000).selectExpr("id AS k", "if(id % 3 = 0, NULL, CAST(id AS STRING)) AS s")
+    df = df.unionByName(df.where("k < 200"))
+    wanted = rows(keys.sample_keys(df, ["k", "s"], n))
+    monkeypatch.setattr(keys, "ONE_TASK", -1)
+    if n:
+        assert rows(keys.sample_keys(df.repartition(5), ["k", "s"], n)) == wanted and len(wanted) == min(n, 1000)
+    monkeypatch.setattr(keys, "HASHES", 1 << 52)  # bounds far too low are raised, and many hashes lie above all of them
+    if n in (37, 400):
+        assert rows(keys.sample_keys(df, ["k", "s"], n)) == wanted
+
+
 def test_subset_cuts_the_larger_side(spark, rows):
     small, large = frame(spark, [(1, "a"), (2, "b")]), frame(spark, [(1, "x"), (1, "y"), (3, "z")])
     assert rows(keys.subset_pair(small, large, ["k"])[1]) == [(1, "x"), (1, "y")]

@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from twinframe.operators import pushdown
+from twinframe.operators import bloom, pushdown
 from twinframe.operators.pushdown import keep_pushed_keys
 from twinframe.shared import written
 
@@ -25,8 +25,8 @@ def side(request, monkeypatch):
     if request.param != "list":
         monkeypatch.setattr(pushdown, "IN_LIST", 0)
     if request.param == "filter too small":
-        monkeypatch.setattr(pushdown, "WORDS", 1)
-        monkeypatch.setattr(pushdown, "BITS", 1 << 20)
+        monkeypatch.setattr(bloom, "WORDS", 1)
+        monkeypatch.setattr(bloom, "BITS", 1 << 20)
 
 
 nan = float("nan")
@@ -80,10 +80,10 @@ def test_different_types_meet_by_value(spark, rows, side):
 
 def test_filter_lets_no_key_down_and_few_others_pass(spark):
     keys = spark.range(0, 200_000, 2)
-    bits, words = pushdown.bloom_filter(keys.toDF("__k0"), ["__k0"], 100_000)
-    assert words * 64 >= 100_000 * pushdown.BITS and bits.count() <= words
+    bits, words = bloom.bloom_filter(keys.toDF("__k0"), ["__k0"], 100_000)
+    assert words * 64 >= 100_000 * bloom.BITS and bits.count() <= words
     from pyspark.sql import functions as F
-    at, mask = pushdown._bits(["__k0"], words)
+    at, mask = bloom.key_bits(["__k0"], words)
     tested = spark.range(0, 200_000).toDF("__k0").withColumn("w", at).withColumn("m", mask).join(
         F.broadcast(bits), (F.col("w") == F.col("__word")) & (F.col("m").bitwiseAND(F.col("__bits")) == F.col("m")), "left_semi")
     found = tested.groupBy(F.expr("__k0 % 2").alias("odd")).count().collect()

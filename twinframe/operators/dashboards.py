@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinframe.functions.values import allows_exact, allows_part
-from twinframe.operators.keys import broadcast_if_small
+from twinframe.operators.keys import salted_left_join
 
 FULL, CHART, FILTER = "full_dashboard_load", "chart_load", "filter_refresh"
 FIRST_RENDER_MS, INTERACTION_MS = 15000.0, 8000.0  # fixed values: default limits
+SMALL = 100_000  # limits that are broadcast
 
 
 def _zero(c):
@@ -104,7 +105,9 @@ def slowest_charts(samples):
 def timing_report(samples, thresholds=None):
     """All measurements in the long report form with limit and pass columns as text."""
     if thresholds is not None:
-        samples = samples.join(broadcast_if_small(thresholds), "dashboard_label", "left")
+        small = thresholds.limit(SMALL + 1).count() <= SMALL
+        samples = (samples.join(F.broadcast(thresholds), "dashboard_label", "left") if small
+                   else salted_left_join(samples, thresholds, "dashboard_label"))
         first, inter = (F.coalesce(c, F.lit(d)) for c, d in (
             (F.col("first_render_ms"), FIRST_RENDER_MS), (F.col("interaction_ms"), INTERACTION_MS)))
     else:

@@ -5,6 +5,7 @@ share of all rows is combined before the shuffle. Joins of raw rows to a key
 set split off heavy keys (see `keep_keys`).
 """
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -13,10 +14,16 @@ from pyspark.sql.window import Window
 
 from twinframe.functions.types import DATES, TEXTS, type_class
 from twinframe.functions.values import atomic_frame, canon, format_key, missing, name, without_nan
+from twinframe.operators.bloom import bloom_filter, bloom_join
+from twinframe.operators.ranks import around_rank
+from twinframe.shared import written
 
 HOT_ROWS = 1_000_000  # a key with fewer rows fits any task
 HOT_SHARE = 0.002     # so at most 500 keys are hot
 HOT_TRACKED = 1_000
+SALTS = 64            # parts of a heavy key in a join that carries values
+ONE_TASK = 10_000     # keys that one task may order
+HASHES = 1 << 60      # hashes that order a sample of keys
 
 
 def _native_key(x, dtype):
@@ -93,10 +100,25 @@ def one_per_key(df, key_columns, prefix, restored):
 
 
 def first_per_key(df, keys):
-    """The smallest row, by all columns in order, of every key; null is a key of its own."""
+    """The smallest row, by all columns in order, of every key; null is a key of its own.
+
+    A narrow pass finds the keys that several rows have. A Bloom filter of these
+    parts the rows: one that fails it is alone with its key and stays as it is,
+    the others are reduced to one a key. So unique rows are neither sorted nor
+    shuffled; with more repeated keys than the filter holds, all are reduced.
+    """
     df = atomic_frame(df)
     own, _ = join_keys(df, df, keys)
-    return one_per_key(df, own, "row", _restored(df, df, keys)).select("row.*")
+    names, columns = names_of(own), [name(c) for c in df.columns]
+    several = written(df.select(*own).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "keys")
+    n = several.count()
+    if not n:
+        return df
+    filter_ = bloom_filter(several, names, n)
+    if filter_ is None:
+        return one_per_key(df, own, "row", _restored(df, df, keys)).select("row.*")
+    part = lambda how: bloom_join(df, own, filter_, how).select(*columns)
+    return part("left_anti").unionByName(one_per_key(part("left_semi"), own, "row", _restored(df, df, keys)).select("row.*"))
 
 
 @dataclass
@@ -270,17 +292,53 @@ def keep_key_columns(df, key_columns, right, how="left_semi", split_hot=True):
     return heavy.unionByName(rest).select(*columns)
 
 
+def salted_left_join(df, other, key):
+    """`df` with the columns of the rows of `other` that have its key, null without one.
+
+    Rows of heavy keys are dealt over SALTS parts, and the rows of `other` with
+    these keys (at most 1 / HOT_SHARE keys) are repeated once a part.
+    """
+    hot = hot_key_hashes(df, [F.col(key)])
+    if not hot:
+        return df.join(other, key, "left")
+    heavy = F.xxhash64(key).isin(hot)
+    dealt = df.withColumn("__salt", F.when(heavy, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0))
+    parts = F.when(F.xxhash64(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(other.withColumn("__salt", F.explode(parts)), [key, "__salt"], "left").drop("__salt")
+
+
 def broadcast_if_small(df, rows=100_000):
     """The frame marked for broadcast if a bounded count proves it small, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def sample_keys(df, keys, n, seed=42):
-    """n distinct keys in the order of a seeded hash: the same ones however the data is partitioned."""
+    """n distinct keys, those with the smallest seeded hashes: the same ones however the data is partitioned.
+
+    Up to ONE_TASK keys are picked by a plain ordered limit. More are cut by a
+    bound that an estimate of the number of keys gives, with a margin, and among
+    the few left by the exact hash of the last one; a bound that was too low is
+    raised. So no task ever holds n keys.
+    """
     own = distinct_keys(df, keys)
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[
-        F.coalesce(own[k].cast("string"), F.lit("~")) for k in keys]).cast("binary"))
-    return own.orderBy(order, *keys).limit(n)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(own[k].cast("string"), F.lit("~")) for k in keys]))
+    if n <= ONE_TASK:
+        return own.orderBy(order.cast("binary"), *keys).limit(n)
+    hashed = own.withColumn("__order", order).withColumn("__h", F.conv(F.substring("__order", 1, 15), 16, 10).cast("bigint"))
+    several = df.agg(F.approx_count_distinct(F.struct(*keys)).alias("d")).first()["d"]
+    share = (1.2 * n + 8 * math.sqrt(n)) / max(several, 1)
+    while True:
+        left = written(hashed.where(F.col("__h") < int(share * HASHES)) if share < 1 else hashed, "picked")
+        ends = left.agg(F.min("__h").alias("low"), F.max("__h").alias("high"), F.count("__h").alias("n")).first()
+        if ends.n >= n or share >= 1:
+            break
+        share *= 2
+    if ends.n <= n:
+        return left.select(*keys)
+    last, _ = around_rank(left, "__h", n - 1, ends)
+    before = left.where(F.col("__h") < last)
+    tied = left.where(F.col("__h") == last).orderBy(F.col("__order").cast("binary"), *keys).limit(n - before.count())
+    return before.select(*keys).unionByName(tied.select(*keys))  # hardly ever more than one row is tied
 
 
 def smaller_side(source_rows, target_rows):

@@ -11,14 +11,12 @@ from pyspark.sql import types as T
 
 from twinframe.functions.types import TEXTS
 from twinframe.functions.values import missing, name, without_nan
+from twinframe.operators.bloom import bloom_filter, bloom_join
 from twinframe.operators.keys import join_keys, keep_keys, names_of
 from twinframe.shared import written
 
 #: Keys sent as a literal list.
 IN_LIST = 1000
-#: Bits a key and most 64-bit words of a Bloom filter, which is broadcast. With under half the bits a key it is left out.
-BITS, WORDS = 12, 1 << 19
-
 #: The number of a date or time, and back.
 NUMBERS = {T.DateType: ("unix_date", F.date_from_unix_date), T.TimestampType: ("unix_micros", F.timestamp_micros)}
 LITERALS = (*TEXTS, T.IntegralType, T.DecimalType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.BooleanType)
@@ -71,27 +69,6 @@ def range_predicate(df, keys_df, keys):
     return out
 
 
-def _bits(columns, words):
-    """(number of the 64-bit word, mask of up to four bits in it) of key columns."""
-    h = F.xxhash64(*columns)
-    more = F.xxhash64(h, F.lit(1))
-    mask = F.lit(0).cast("bigint")
-    for i in range(4):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(more, 8 * i), F.lit(64)).cast("int")))
-    return F.pmod(h, F.lit(words)), mask
-
-
-def bloom_filter(keys, names, n):
-    """(word, bits): a Bloom filter of n rows of key columns as a table of at most WORDS words; None if it would let nearly all pass."""
-    words = 1 << 10
-    while words * 64 < n * BITS and words < WORDS:
-        words *= 2
-    if words * 64 * 2 < n * BITS:
-        return None
-    at, mask = _bits(names, words)
-    return keys.select(at.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__bits")), words
-
-
 def keep_pushed_keys(df, keys_df, keys, target_keys=None, mode="canonical"):
     """Rows of `df` whose key occurs in `keys_df`, filtered as early as the number of keys allows.
 
@@ -115,9 +92,5 @@ def keep_pushed_keys(df, keys_df, keys, target_keys=None, mode="canonical"):
     narrow = df.where(range_predicate(df, wanted, target_keys))
     filter_ = bloom_filter(wanted.select(*theirs), names, n)
     if filter_:
-        bits, words = filter_
-        at, mask = _bits(names, words)
-        tested = left(narrow).withColumn("__at", at).withColumn("__mask", mask)
-        passes = (F.col("__at") == F.col("__word")) & (F.col("__mask").bitwiseAND(F.col("__bits")) == F.col("__mask"))
-        narrow = tested.join(F.broadcast(bits), passes, "left_semi").select(*[name(c) for c in df.columns])  # at most WORDS rows
+        narrow = bloom_join(narrow, mine, filter_, "left_semi")
     return keep_keys(narrow, wanted, target_keys, mode)
