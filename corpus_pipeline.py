@@ -17,26 +17,32 @@ from twinframe.llm.toxicity import toxicity_scores
 from twinframe.shared import new_path
 
 
-def _without(docs, decisions):
-    """The rows of docs whose doc_id is not among the decisions'; rows without an id stay."""
-    return docs.join(decisions.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _decided(docs, drops):
+    """The rows of docs but those whose doc_id is among drops(docs).
+
+    Rows without an id are decided as well: for that they get ids of their own,
+    downwards from the largest number, by their place in the stored rows.
+    """
+    own = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
+    named = docs.withColumn("pipeline_id", F.coalesce("doc_id", own))
+    gone = drops(named.withColumn("doc_id", F.col("pipeline_id")).drop("pipeline_id"))
+    return (named.join(gone.select(F.col("doc_id").alias("pipeline_id")).distinct(), "pipeline_id", "left_anti")
+            .select(*docs.columns))
 
 
 def toxicity(spark, docs, sf_dir):
     """Documents that score 0.5 or more go."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scores.where("predicted = 1"))
+    return _decided(docs, lambda rows: toxicity_scores(rows, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def near_dedup(spark, docs, sf_dir):
     """Of each group of near-duplicates the document with the smallest doc_id stays, once if its row is repeated."""
-    kept = _without(docs, near_duplicates(docs).where("not kept"))
-    return kept.dropDuplicates()
+    return _decided(docs, lambda rows: near_duplicates(rows).where("not kept")).dropDuplicates()
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents with a benchmark passage go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return _decided(docs, lambda rows: contamination(rows, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def mixing(spark, docs, sf_dir):
