@@ -96,6 +96,7 @@ def test_bayes_bounds():
     ([(100, i) for i in range(50)] + [(None, 3)], {**{i: 0 for i in range(50)}, 100: 0}),
     ([], {}),
 ])
-def test_components(spark, links, want):
-    got = components(spark.createDataFrame(links, "a long, b long").repartition(3))
+@pytest.mark.parametrize("few", [0, 5, 1000])
+def test_components(spark, links, want, few):
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(3), few)
     assert {r.id: r.component for r in got.collect()} == want

@@ -21,6 +21,7 @@ def sf(spark, prose, tmp_path):
     items = [(k, prose(20, 800 + k)) for k in range(4)]
     rows += [(200 + i, prose(20, 900 + i) + " " + items[i % 4][1], "en", "src0", 0) for i in range(8)]
     rows += [(300 + i, rows[1 + i * 4][1] + (" tail" if i % 2 else ""), "en", "src1", 0) for i in range(8)]
+    rows += [(None, rows[0][1] + " bare", "en", "src1", 5), (None, rows[5][1], "en", "src1", 5), (None, prose(20, 990) + " " + items[0][1], "en", "src1", 5)]
     rows += [(400, None, "en", None, None), (401, "", None, "src1", 0), (None, "no id", "en", "src1", 5), rows[1]]
     path = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
@@ -40,6 +41,11 @@ def test_stages_take_effect(spark, sf):
         if name != "token_files":
             assert docs.columns == seen[None].columns
     ids = {name: sorted(-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect()) for name, df in seen.items()}
+    bare = {name: [r[1] for r in rows if r[0] is None and r[1] in {x.text for x in df.where("doc_id is null").collect()}]
+            for name, df in seen.items() if name != "token_files"}
+    assert len(bare[None]) == 4 and bare["toxicity"] == bare[None][1:] and bare["near_dedup"] == bare[None][2:]
+    assert bare["decontamination"] == ["no id"] and set(bare["mixing"]) <= {"no id"}
+    ids["near_dedup"].remove(-1)  # the one with a benchmark passage
     assert set(ids["toxicity"]) == {-1 if r[0] is None else r[0] for r in rows if "moron" not in (r[1] or "")}
     left = {r[0]: r for r in rows if r[0] in ids["toxicity"]}
     kept = [i for i, _, _, keep in groups([(i, r[1]) for i, r in left.items()]) if keep]

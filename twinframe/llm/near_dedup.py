@@ -29,8 +29,8 @@ _seeds = np.random.default_rng(20)
 SCALE = _seeds.integers(0, 1 << 32, SIZE, dtype=np.uint32) | np.uint32(1)
 SHIFT = _seeds.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 SPREAD = np.uint32(0x85EBCA6B)  # fixed odd multiplier
-#: Plan settings only: texts of one pivot's partners, and signatures of one block, that one task compares.
-TOGETHER, BLOCK = 256, 1024
+#: Plan settings only: texts of one pivot's partners, and signatures of one block, that one task compares; links that one task joins.
+TOGETHER, BLOCK, FEW_LINKS = 256, 1024, 200_000
 
 
 def signatures(hashes, at):
@@ -353,4 +353,4 @@ def _fetch(docs, ids, texts):
 def _add(links, more):
     more = written(more.distinct(), "confirmed")
     links = more if links is None else links.union(more)
-    return links, written(components(links), "roots")
+    return links, written(components(links, few=FEW_LINKS), "roots")
