@@ -3,7 +3,8 @@ import hashlib
 import numpy as np
 import pytest
 
-from twinframe.llm.fingerprints import FULL, LEVELS, chain, edit, fingerprints, likeness, rarity
+from twinframe.llm.fingerprints import (
+    CLASS, FULL, KINDS, LEVELS, STEPS, candidates, chain, edit, entropy_levels, features, fingerprints, likeness, rarity)
 from twinframe.llm.text import raw
 import pyarrow as pa
 
@@ -48,3 +49,58 @@ def test_empty_chains(a, b, want):
     rank = rarity(np.zeros(LEVELS))
     x, y = (chain(*raw(pa.array([t])), rank)[0] for t in (a, b))
     assert likeness(x, y) == want
+
+
+def brute_features(text, rank):
+    """Windows rarer than their neighbours, one window at a time."""
+    from twinframe.llm.text import ROOT, mix
+    data, out = text.encode(), []
+    for i, (size, near, least, most) in enumerate(KINDS):
+        if not least <= len(text) < most or len(data) < size:
+            continue
+        keys = []
+        for at in range(len(data) - size + 1):
+            window = data[at:at + size]
+            counts = np.bincount(CLASS[np.frombuffer(window, np.uint8)])
+            share = counts[counts > 0] / size
+            level = int(np.clip(np.rint(100 * -(share * np.log2(share)).sum()), 0, STEPS - 1)) + i * STEPS
+            number = sum((c + 1) * pow(int(ROOT), k, 1 << 64) for k, c in enumerate(window)) % (1 << 64)
+            h = int(mix(np.array([number], np.uint64))[0])
+            keys.append((int(rank[level]) << 32 | h >> 32, h))
+        for at, (key, h) in enumerate(keys):
+            if all(key < k for k, _ in keys[max(at - near, 0):at]) and all(key <= k for k, _ in keys[at + 1:at + near + 1]):
+                out.append(h)
+    return out
+
+
+def test_features_of_every_start(prose):
+    """All windows count, in texts of every length, whatever stands beside them."""
+    rank = rarity(np.random.default_rng(2).permutation(LEVELS))
+    texts = [prose(3, 1), prose(70, 2), "é" * 90, "ab" * 300, prose(30, 3), "", "short", "12345678", prose(45, 4) + "\n\t" + "x" * 80, prose(200, 5)]
+    found, of = features(*raw(pa.array(texts)), rank)
+    for i, t in enumerate(texts):
+        want = brute_features(t, rank)
+        if len(t.encode()) >= 8:
+            assert sorted(found[of == i].tolist()) == sorted(want) and want
+        else:
+            assert (of == i).sum() == bool(t)
+
+
+def test_entropy_of_every_window():
+    data = np.random.default_rng(1).integers(32, 127, 3000).astype(np.uint8)
+    data[500:900] = 97
+    for size in (8, 64):
+        want = []
+        for at in range(len(data) - size + 1):
+            share = np.bincount(CLASS[data[at:at + size]]) / size
+            want.append(-(share[share > 0] * np.log2(share[share > 0])).sum())
+        assert np.abs(entropy_levels(data, size) - 100 * np.array(want)).max() <= 0.5001
+
+
+def test_short_texts_are_like_their_edits(frame, prose):
+    texts = [prose(5 + i % 110, i) for i in range(500)]
+    got = [r for r in fingerprints(frame(texts, 4)).collect() if r.n_chars >= 30]
+    for low, high in ((30, 60), (60, 120), (120, 171), (171, 256), (256, 384), (384, 600)):
+        part = [r for r in got if low <= r.n_chars < high]
+        near, other = np.mean([r.near_edited for r in part]), np.mean([r.near_next for r in part])
+        assert len(part) > 15 and near > 0.4 and near > 3 * other, (low, near, other)

@@ -1,9 +1,11 @@
 """Document fingerprints of improbable features.
 
-Windows of WINDOW bytes that start at places their own bytes select are ranked
-by how rare their entropy is among all documents; windows rarer than their
-neighbours become features. Features go into a chain of Bloom filters of 2,048
-bits, and two chains are compared by their bit overlap, less what chance gives.
+All windows of a text's bytes are ranked by how rare their entropy is among the
+windows of all documents; windows rarer than their neighbours become features.
+Long texts have windows of 64 bytes, short ones of 8, and texts in between have
+both, so that a text and an edited one always share a kind. Features go into a
+chain of Bloom filters of 2,048 bits, and two chains are compared by their bit
+overlap, less what chance gives.
 """
 
 import base64
@@ -15,38 +17,60 @@ from pyspark.sql import functions as F
 
 from twinframe.llm.text import ROOT, chunks, inverse_powers, mix, powers
 
-WINDOW, NEIGHBOURS, BITS, PROBES, FULL = 64, 4, 2048, 5, 160
-#: One start in 2^SELECT is looked at. Entropies are told apart in hundredths of a bit.
-SELECT, LEVELS = 2, 501
+BITS, PROBES, FULL = 2048, 5, 160
+#: Kinds of windows: bytes, neighbours on either side, least and most code points of the texts that have them.
+KINDS = ((64, 16, 171, 1 << 62), (8, 2, 0, 384))
+#: Entropies are told apart in hundredths of a bit, for each kind apart.
+STEPS = 601
+LEVELS = STEPS * len(KINDS)
 #: Classes of bytes for the entropy: letters without case, digits, and kinds of others.
 CLASS = np.full(256, 28, np.uint8)
 for _i in range(26):
     CLASS[65 + _i] = CLASS[97 + _i] = _i
 CLASS[48:58], CLASS[32], CLASS[10], CLASS[128:192], CLASS[192:] = 26, 27, 29, 30, 31
-_counts = np.arange(WINDOW + 1)
-INFORMATION = _counts * np.log2(np.maximum(_counts, 1)) / WINDOW
+#: Whole number for each count of a byte in a window; their sum over a window gives its entropy exactly.
+_counts = np.arange(max(k[0] for k in KINDS) + 1)
+INFORMATION = np.rint(_counts * np.log2(np.maximum(_counts, 1)) * (1 << 20)).astype(np.int64)
+GAIN = np.diff(INFORMATION, prepend=0)
+
+
+def entropy_levels(data, size):
+    """Entropy of the byte classes of every window of `size` bytes, from one window to the next by what leaves and enters it."""
+    kind = CLASS[data]
+    order = np.argsort(kind, kind="stable")
+    # where the bytes of each class stand, one class after the other, and the first of the class that lies beyond each one's window
+    whole = np.int32 if len(data) < 1 << 25 else np.int64
+    place = kind[order].astype(whole) * whole(len(data) + size) + order.astype(whole)
+    beyond = np.searchsorted(place, place + whole(size))
+    number = np.arange(len(data))
+    leaving, entering = np.empty(len(data), np.int32), np.empty(len(data), np.int32)
+    leaving[order] = beyond - number
+    entering[order] = number + 1 - np.cumsum(np.bincount(beyond, minlength=len(data) + 1)[:len(data)])
+    total = np.empty(len(data) - size + 1, np.int64)
+    total[0] = INFORMATION[np.bincount(kind[:size], minlength=32)].sum()
+    np.cumsum(GAIN[entering[size:]] - GAIN[leaving[:len(data) - size]], out=total[1:])
+    total[1:] += total[0]
+    # hundredths of a bit, rounded, in whole numbers
+    most, bit = int(round(np.log2(size) * (size << 20))), size << 20
+    return np.clip((200 * (most - total) + bit) // (2 * bit), 0, STEPS - 1)
 
 
 def candidates(data, offsets):
-    """(start, owner, entropy level, hash) of the windows that are looked at."""
-    n = len(data) - WINDOW + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    wide = data.astype(np.uint32)
-    gram = wide[:n] | wide[1:n + 1] << np.uint32(8) | wide[2:n + 2] << np.uint32(16) | wide[3:n + 3] << np.uint32(24)
-    start = np.flatnonzero(gram * np.uint32(0x9E3779B1) >> np.uint32(32 - SELECT) == 0)
-    owner = np.searchsorted(offsets, start, "right") - 1
-    inside = start + WINDOW <= offsets[owner + 1]
-    start, owner = start[inside], owner[inside]
-    kind, level = CLASS[data], np.empty(len(start), np.int64)
-    for at in range(0, len(start), 2048):
-        part = start[at:at + 2048]
-        cell = kind[part[:, None] + np.arange(WINDOW)].astype(np.int64) + 32 * np.arange(len(part))[:, None]
-        count = np.bincount(cell.ravel(), minlength=32 * len(part)).reshape(-1, 32)
-        level[at:at + 2048] = np.rint(100 * (np.log2(WINDOW) - INFORMATION[count].sum(1)))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=total[1:])
-    return start, owner, np.clip(level, 0, LEVELS - 1), mix((total[start + WINDOW] - total[start]) * inverse_powers(len(data))[start])
+    """For each kind (first start, owner of each start, -1 if its window is not within a text; entropy level; hash; neighbours)."""
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    points, length = np.diff(points), np.diff(offsets)
+    for i, (size, near, least, most) in enumerate(KINDS):
+        rows = np.flatnonzero((points >= least) & (points < most) & (length >= size))
+        if not len(rows):
+            continue
+        owner = np.repeat(rows, length[rows])
+        own = data if len(owner) == len(data) else data[np.repeat((points >= least) & (points < most) & (length >= size), length)]
+        n = len(own) - size + 1
+        owner = np.where(owner[:n] == owner[size - 1:], owner[:n], -1)
+        total = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(len(own)), out=total[1:])
+        hashes = mix((total[size:] - total[:n]) * inverse_powers(len(own))[:n])
+        yield owner, entropy_levels(own, size) + i * STEPS, hashes, near
 
 
 def entropy_counts(docs):
@@ -55,7 +79,8 @@ def entropy_counts(docs):
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 18):
-                total += np.bincount(candidates(data, offsets)[2], minlength=LEVELS)
+                for owner, level, _, _ in candidates(data, offsets):
+                    total += np.bincount(level[owner >= 0], minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(total)], ["level", "n"])
 
     out = np.zeros(LEVELS, np.int64)
@@ -71,17 +96,33 @@ def rarity(counts):
     return out
 
 
+def least_of(key, n):
+    """The least of every n neighbours, at the first of them."""
+    out, width = key, 1
+    while width < n:
+        step = min(width, n - width)
+        out = np.minimum(out[:len(out) - step], out[step:])
+        width += step
+    return out
+
+
 def features(data, offsets, rank):
-    """(hash, owner) of the features, in order. A text without any is a feature itself, if it is not empty."""
-    start, owner, level, hashes = candidates(data, offsets)
-    key = (rank[level] << np.uint64(32)) | (hashes >> np.uint64(32))
-    best = np.ones(len(key), bool)
-    for s in range(1, NEIGHBOURS + 1):
-        if len(key) > s:
-            near = owner[s:] == owner[:-s]
-            best[:-s] &= ~near | (key[:-s] <= key[s:])
-            best[s:] &= ~near | (key[s:] < key[:-s])
-    found, of = hashes[best], owner[best]
+    """(hash, owner) of the features, by owner. A text shorter than any window is a feature itself, if it is not empty.
+
+    Of equal neighbours the first is rarer. Texts do not touch each other: there
+    are more starts without a window between them than neighbours count.
+    """
+    found, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    none = np.uint64((1 << 64) - 1)
+    for owner, level, hashes, near in candidates(data, offsets):
+        key = np.where(owner >= 0, (rank[level] << np.uint64(32)) | (hashes >> np.uint64(32)), none)
+        around = least_of(np.concatenate([np.full(near, none), key, np.full(near, none)]), near)
+        best = np.flatnonzero((owner >= 0) & (key < around[:len(key)]) & (key <= around[near + 1:near + 1 + len(key)]))
+        found.append(hashes[best])
+        of.append(owner[best])
+    found, of = np.concatenate(found), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    found, of = found[order], of[order]
     bare = np.setdiff1d(np.flatnonzero(np.diff(offsets)), of)
     if len(bare):
         own = [int.from_bytes(hashlib.blake2b(data[offsets[i]:offsets[i + 1]].tobytes(), digest_size=8).digest(), "little") for i in bare]
@@ -211,12 +252,18 @@ def fingerprints(docs):
                     held = None if edge else (b, i, text)
 
         def output(group):
-            texts = [t for _, t, _ in group] + [edit(t, f) for _, t, f in group] + [f for _, _, f in group]
+            # the next document of a row is mostly the row after it
+            n, last = len(group), group[-1][2]
+            texts = [t for _, t, _ in group] + [edit(t, f) for _, t, f in group] + [last]
+            after = [i + 1 if f is group[i + 1][1] else None for i, (_, _, f) in enumerate(group[:-1])] + [2 * n]
+            extra = [i for i, k in enumerate(after) if k is None]
+            texts += [group[i][2] for i in extra]
+            for k, i in enumerate(extra):
+                after[i] = 2 * n + 1 + k
             chains = []
             for _, data, offsets in chunks(pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.binary()), 1 << 18):
                 chains += chain(data, offsets, rank)
-            n = len(group)
-            own, edited, following = chains[:n], chains[n:2 * n], chains[2 * n:]
+            own, edited, following = chains[:n], chains[n:2 * n], [chains[k] for k in after]
             return pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([i for i, _, _ in group], pa.int64()), "n_chars": pa.array([len(t) for _, t, _ in group], pa.int64()),
                 "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts[n:2 * n]],
