@@ -79,16 +79,17 @@ class Encoder:
         """Remember pieces; `at[i]:at[i + 1]` are the ids of piece i."""
         for k in range(0, len(parts), 4096):
             part = parts[k:k + 4096]
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part],
-                                                              add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(got), np.uint32)
+            # one text of ready parts: each is encoded alone, and only one result is built
+            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            flat = np.array(got.ids, np.uint32)
+            count = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             n = len(self.number)
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while n + len(part) + 1 > len(self.at):
                 self.at, self.mark = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.mark))
             self.ids[self.used:self.used + len(flat)] = flat
-            self.at[n + 1:n + 1 + len(part)] = self.used + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+            self.at[n + 1:n + 1 + len(part)] = self.used + np.cumsum(count)
             self.mark[n:n + len(part)] = marks[k:k + 4096]
             self.used += len(flat)
             self.number.update(zip(keys[k:k + 4096], range(n, n + len(part))))
@@ -122,7 +123,7 @@ class Encoder:
         piece = np.array(known, np.int64)[of]
         if (self.mark[piece] != mark).any():  # two pieces share a hash: the slow way
             texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
-            lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             flat = np.fromiter(chain.from_iterable(lists), np.uint32)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         else:
