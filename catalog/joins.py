@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import LINE_COLUMNS, LINE_KEYS, frame, query, with_views
-from twinframe.operators import compare, keys
+from twinframe.operators import compare, hash_tree, keys
 from twinframe.operators.pushdown import keep_pushed_keys
 
 ORDER_KEYS = ["o_orderkey"]
@@ -155,6 +155,14 @@ def join_checksum(spark, sf):
     return compare.row_hashes(pair).select("pk", "source_hash", "target_hash")
 
 
+@query("join_checksum_tree", with_views("lines_src1", "lines_tgt1") + f"""
+SELECT concat('l_orderkey=', CAST(l_orderkey AS STRING), ', l_linenumber=', CAST(l_linenumber AS STRING)) AS pk,
+  {_line_hash('s')} AS source_hash, {_line_hash('t')} AS target_hash
+FROM lines_src1 s JOIN lines_tgt1 t USING (l_orderkey, l_linenumber) WHERE {_line_hash('s')} <> {_line_hash('t')}""")
+def join_checksum_tree(spark, sf):
+    return hash_tree.row_differences(*lines(spark, sf), LINE_KEYS)
+
+
 @query("set_key_intersection", with_views("lines_src", "lines_tgt") + """
 SELECT l_orderkey, l_linenumber FROM lines_src INTERSECT SELECT l_orderkey, l_linenumber FROM lines_tgt""")
 def set_key_intersection(spark, sf):
