@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from twinframe.llm import cuckoo, exact_index
+from twinframe.llm import exact_index
 from twinframe.llm.cuckoo import CuckooFilter
 from twinframe.llm.exact_index import delete, duplicates, empty_index, exact_dedup, insert
 

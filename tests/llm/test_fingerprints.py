@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from twinframe.llm.fingerprints import (
-    CLASS, FULL, KINDS, LEVELS, STEPS, candidates, chain, edit, entropy_levels, features, fingerprints, likeness, rarity)
+    CLASS, FULL, KINDS, LEVELS, STEPS, chain, edit, entropy_levels, features, fingerprints, likeness, rarity)
 from twinframe.llm.text import raw
 import pyarrow as pa
 

@@ -17,7 +17,6 @@ its keep_id and size, `members` digest and doc_id of each document.
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.llm.cuckoo import CuckooFilter

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from twinframe.llm.text import ROOT, chunks, inverse_powers, mix, powers
+from twinframe.llm.text import chunks, inverse_powers, mix, powers
 
 BITS, PROBES, FULL = 2048, 5, 160
 #: Kinds of windows: bytes, neighbours on either side, least and most code points of the texts that have them.
