@@ -23,6 +23,9 @@ SAMPLE_SIZE = 256
 LARGEST_SAMPLE = 1 << 14  # rows of a tree that a share of the table may come to
 HEAVY = 250  # a point with one in so many rows is always in the pool
 
+# Errors that readers of reports look for.
+MISSING, NOT_NUMERIC, NO_ROWS = "Missing columns: {names}", "No numeric columns to analyze", "No valid data after removing NaNs"
+
 # A tree is complete: node i has the children 2i + 1 and 2i + 2, `path` is the
 # path length at each leaf. Early leaves are continued with splits that all
 # rows pass on the left.
@@ -33,12 +36,12 @@ def numeric_columns(df, columns):
     """The numeric ones of the named columns; a missing name or none left is an error."""
     absent = [c for c in columns if c not in df.columns]
     if absent:
-        raise ValueError(f"Missing columns: {absent}")
+        raise ValueError(MISSING.format(names=absent))
     usable = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
     if len(usable) < len(columns):
         log.warning("non-numeric columns skipped: %s", sorted(set(columns) - set(usable)))
     if not usable:
-        raise ValueError("No numeric columns to analyze")
+        raise ValueError(NOT_NUMERIC)
     return usable
 
 
@@ -72,7 +75,7 @@ def training_pool(df, columns, n_trees=N_TREES, size=SAMPLE_SIZE, seed=42):
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.01).alias("distinct"),
         F.expr(f"approx_top_k(h, {2 * HEAVY}, {40 * HEAVY})").alias("top")).first()
     if not seen.n:
-        raise ValueError("No valid data after removing NaNs")
+        raise ValueError(NO_ROWS)
     if isinstance(size, float):
         if not 0 < size <= 1 or size * seen.n > LARGEST_SAMPLE:
             raise ValueError(f"max_samples {size} is no share, or more than {LARGEST_SAMPLE} of {seen.n} rows")

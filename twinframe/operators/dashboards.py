@@ -13,6 +13,8 @@ from twinframe.operators.keys import salted_left_join
 FULL, CHART, FILTER = "full_dashboard_load", "chart_load", "filter_refresh"
 FIRST_RENDER_MS, INTERACTION_MS = 15000.0, 8000.0  # fixed values: default limits
 SMALL = 100_000  # limits that are broadcast
+# Reasons that readers of reports look for.
+HINTED_PAGE, GUESSED_PAGE = "Deprecated page (configured hint): ", "Possible deprecated page (auto-detected): "
 
 
 def _zero(c):
@@ -161,8 +163,7 @@ def align_pages(pages_a, pages_b, label_a="Dashboard 1", label_b="Dashboard 2",
     in_a, in_b = F.col("ordinal_a").isNotNull(), F.col("ordinal_b").isNotNull()
     missing = F.when(~in_b, F.lit(f"Missing in {label_b}")).when(~in_a, F.lit(f"Missing in {label_a}"))
     hinted = F.trim("page_key").isin([str(d).strip().lower() for d in deprecated]) if deprecated else F.lit(False)
-    label = F.when(hinted, F.lit("Deprecated page (configured hint): ")).otherwise(
-        F.lit("Possible deprecated page (auto-detected): "))
+    label = F.when(hinted, F.lit(HINTED_PAGE)).otherwise(F.lit(GUESSED_PAGE))
     return (both.select("workbook", F.coalesce("name_a", "name_b").alias("page"), "ordinal_a", "ordinal_b",
                         (in_a & in_b).alias("matched"), F.coalesce(F.concat(label, missing), F.lit("")).alias("reason"))
             .orderBy("workbook", F.col("ordinal_a").asc_nulls_last(), "ordinal_b"))

@@ -100,6 +100,7 @@ def _missing(df, rule):
 
 
 # Row rules: parameters they need, the test for a violating row, and the report texts.
+# The texts, which readers of reports look for.
 ROW_RULES = {
     NOT_NULL: ((), _missing, "{n} NULL value(s) found", "No NULLs", "NULL_count={n}"),
     BETWEEN: ((), _outside, "{n} value(s) outside [{min_value}, {max_value}]",
@@ -197,6 +198,7 @@ def _with_uniqueness(df, checked, columns):
     new = {
         "result": _passed(extra == 0),
         "violations": extra,
+        # fixed values: the texts, which readers of reports look for
         "detail": F.when(extra > 0, texts("Column '", column, "': ", extra.cast("string"), " duplicate(s)"))
         .otherwise(texts("Column '", column, "': All ", d, " values unique")),
         "target_value": texts("unique=", d, ",total=", total),

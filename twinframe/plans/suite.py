@@ -50,7 +50,7 @@ def load_dataset(spark, config):
 def options_from(config):
     sample = config.get("quick_sample_pks")
     if sample is not None and (not str(sample).isdigit() or int(sample) <= 0):
-        raise ValueError("'quick_sample_pks' must be a positive integer")
+        raise ValueError(f"'quick_sample_pks' wants a whole number above 0, not {sample!r}")
     rules = config.get("expectations") or config.get("great_expectations") or []
     if not isinstance(rules, dict):
         rules = {"expectations": rules}
