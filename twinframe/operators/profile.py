@@ -81,34 +81,66 @@ def empty_string_examples(df, columns, order, n=3):
     return first_n(df.select(F.explode(hits).alias("column"), *order), order, n, "column").drop("__rank")
 
 
+#: Values of a bitmap, its bytes, and the bytes a distinct value may cost in bitmaps before it is sent as a number.
+BITMAP, BITMAP_BYTES, DENSE = 32768, 4096, 16
+
+
 def distinct_counts(df, columns=None, approx=False):
     """Non-null distinct values per column.
 
-    The exact form unpivots to (column, value), so its shuffle carries one
-    value per row instead of a copy of the row per column, and values that
-    occur often are combined before it.
+    The exact form unpivots the columns of each type to (column, value), so its
+    shuffle carries one typed value per row, and values that occur often are
+    combined before it. Whole numbers, dates and flags that lie close together,
+    as one look at their ranges tells, are bits of bitmaps instead.
     """
     fields = [f for f in df.schema if columns is None or f.name in columns]
     if approx:
         metric = lambda x, t: f"approx_count_distinct({without_nan(atomic(x, t), t)})"
         return long_profile(df, fields, {"distinct_count": metric}).select("column", "distinct_count")
-    cells = ", ".join(
-        f"named_struct('i', {i}, 'value', {_plain_text(name(f.name), f.dataType)})" for i, f in enumerate(fields))
-    counted = (
-        df.selectExpr(f"inline(array({cells}))").distinct().groupBy("i").agg(F.count("value").alias("n")))
+    dense, branches = _dense(df, fields), {}
+    for i, f in enumerate(fields):
+        kind, value = _plain_value(name(f.name), f.dataType)
+        branches.setdefault("bitmap" if i in dense else kind, []).append(f"named_struct('i', {i}, 'value', {value})")
+    counted = []
+    for kind, cells in branches.items():
+        values = df.selectExpr(f"inline(array({', '.join(cells)}))")
+        if kind == "bitmap":
+            maps = (values.where("value is not null").groupBy("i", F.bitmap_bucket_number("value").alias("bucket"))
+                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position("value")).alias("bits")))
+            counted.append(maps.groupBy("i").agg(F.sum(F.bitmap_count("bits")).alias("n")))
+        else:
+            counted.append(values.distinct().groupBy("i").agg(F.count("value").alias("n")))
     # An empty frame has no rows to count: start from the columns themselves.
     listed = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(fields)], "i int, column string")
-    return listed.join(counted, "i", "left").select(
+    return listed.join(reduce(lambda a, b: a.unionByName(b), counted), "i", "left").select(
         "column", F.coalesce("n", F.lit(0)).cast("bigint").alias("distinct_count"))
 
 
-def _plain_text(x, dtype):
-    """Text that is equal exactly where the values are."""
-    if isinstance(dtype, NESTED):
-        return f"to_json({x})"
+def _plain_value(x, dtype):
+    """(type, expression) of a value that is equal exactly where the values are."""
+    if isinstance(dtype, (T.IntegralType, T.BooleanType)):
+        return "bigint", f"CAST({x} AS BIGINT)"
+    if isinstance(dtype, T.DateType):
+        return "bigint", f"CAST(unix_date({x}) AS BIGINT)"
     if isinstance(dtype, FLOATS):  # minus zero becomes zero
-        return f"CAST({without_nan(x, dtype)} + CAST(0 AS {dtype.simpleString()}) AS STRING)"
-    return f"CAST({x} AS STRING)"
+        return "double", f"CAST({without_nan(x, dtype)} AS DOUBLE) + 0D"
+    if isinstance(dtype, (*DATES, T.DecimalType)):
+        return dtype.simpleString(), x
+    return "string", f"to_json({x})" if isinstance(dtype, NESTED) else f"CAST({x} AS STRING)"
+
+
+def _dense(df, fields):
+    """The numbers of the fields whose bitmaps are smaller than their values."""
+    whole = [(i, value) for i, f in enumerate(fields) for kind, value in [_plain_value(name(f.name), f.dataType)] if kind == "bigint"]
+    if not whole:
+        return set()
+    seen = df.selectExpr(*[f"{agg}({value})" for _, value in whole for agg in ("min", "max", "approx_count_distinct")]).first()
+    out = set()
+    for k, (i, _) in enumerate(whole):
+        low, high, several = seen[3 * k:3 * k + 3]
+        if low is None or (high // BITMAP - low // BITMAP + 1) * BITMAP_BYTES <= DENSE * several and low > -(1 << 62):
+            out.add(i)
+    return out
 
 
 def distinct_check(source, target, columns, approx=False):
