@@ -245,9 +245,13 @@ def sink_reports_of_like_names(spark, sf):
 
 
 def archives(spark, sf):
-    """A workbook archive per customer with two data sources and an embedded text file."""
+    """A workbook archive per customer with two data sources and an embedded text file.
+
+    The narrow rows are dealt out first: a table stored in one piece would be built and read by one task.
+    """
     rows = table(spark, sf, "customer").select(
-        F.concat("c_name", F.lit(".twbx")).alias("path"), "c_custkey", "c_mktsegment", "c_nationkey")
+        F.concat("c_name", F.lit(".twbx")).alias("path"), "c_custkey", "c_mktsegment", "c_nationkey").repartition(
+        4 * spark.sparkContext.defaultParallelism)
 
     def build(batches):
         import io

@@ -110,6 +110,26 @@ def test_workbooks(spark, tmp_path, rows):
     assert [r.datasource_name for r in best] == ["Sales"]
 
 
+def _grouped_rows(monkeypatch, spark, call):
+    """What `call` returns, and the most rows that a grouping or join of it reads."""
+    sizes, whole = [], type(spark.range(1)).groupBy
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda df, *by: (sizes.append(df.count()), whole(df, *by))[1])
+    return call(), max(sizes)
+
+
+def test_inventory_groups_one_row_an_archive(spark, monkeypatch):
+    """Archives are counted where they are read; those of one path add up, and one without a path is listed."""
+    twice = "<workbook name='B'><datasource name='P'/><datasource/><datasource name='Parameters'/><worksheet/></workbook>"
+    found = spark.createDataFrame(
+        [("a", archive({"a.twb": BOOK, "x.csv": ""})), ("b", archive({"b.twb": twice})), ("b", archive({"b.twb": twice})),
+         (None, archive({"c.tds": "<datasource caption='C' name='Parameters'/>", "y.hyper": ""}))], "path string, content binary")
+    listed, rows = _grouped_rows(monkeypatch, spark, lambda: workbooks.workbook_inventory(found))
+    assert rows == 4
+    assert sorted((tuple(r) for r in listed.drop("file_size").collect()), key=repr) == [
+        ("a", "B", 3, 2, 1, False, False, True), ("b", "B", 2, 2, 0, False, False, False),
+        (None, "Parameters", 0, 0, 0, True, False, False)]
+
+
 def test_sinks(spark, tmp_path, rows):
     df = spark.createDataFrame([("a", "", 'q "x", y')], "n string, e string, t string")
     sinks.write_results(df, str(tmp_path / "r"), "one")

@@ -7,9 +7,13 @@ gives for a folder, and reads the archives in the tasks.
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ELEMENT_SCHEMA = ("path string, at int, last int, tag string, attributes map<string,string>, text string, "
                   "files array<string>, file_size bigint")
+INVENTORY_SCHEMA = ("path string, workbook_name string, labels array<string>, worksheet_count bigint, dashboard_count bigint, "
+                    "file_size bigint, files array<string>")
 HIDDEN = ("Parameters", "Sample - Superstore")  # fixed values: built-in sources
 UNKNOWN, SYSTEM = "unknown", "System"
 MIN_SIMILARITY = 0.5
@@ -21,17 +25,21 @@ def read_archives(spark, path):
             .option("pathGlobFilter", "*.{twbx,tdsx}").load(path).select("path", "content"))
 
 
-def xml_elements(archives):
-    """The elements of each archive's description, numbered in document order.
+def _archive_rows(archives, rows_of, schema):
+    """The rows that `rows_of(path, elements, files, size)` lists of every archive, with the columns of `schema`.
 
-    An element holds those from `at` to `last`. The first element of an archive
-    also has the names of its files and its size.
+    An element is [at, last, tag, attributes, text]: they are numbered in
+    document order, and one holds those from `at` to `last`.
     """
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+
     def read(batches):
         import io
         import zipfile
         from xml.parsers import expat
 
+        import pyarrow as pa
+
         def flat(text):
             rows, open_ = [], []
 
@@ -52,17 +60,31 @@ def xml_elements(archives):
 
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     files = archive.namelist()
                     described = [f for f in files if f.endswith((".twb", ".tds"))]
                     if not described:
                         raise ValueError(f"{path}: no .twb or .tds file in the archive")
-                    rows = flat(archive.read(described[0]))
-                out += [(path, *row, files if not row[0] else None, len(content)) for row in rows]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ELEMENT_SCHEMA.split(", ")])
+                    elements = flat(archive.read(described[0]))
+                out += rows_of(path, elements, files, len(content))
+            columns = zip(*out) if out else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields)], schema=fields)
+
+    return archives.mapInArrow(read, schema)
+
+
+def xml_elements(archives):
+    """The elements of each archive's description, numbered in document order.
+
+    An element holds those from `at` to `last`. The first element of an archive
+    also has the names of its files and its size.
+    """
+    def every(path, elements, files, size):
+        return [(path, at, last, tag, list(attributes.items()), text, None if at else files, size)
+                for at, last, tag, attributes, text in elements]
 
-    return archives.mapInPandas(read, ELEMENT_SCHEMA)
+    return _archive_rows(archives, every, ELEMENT_SCHEMA)
 
 
 def _sources(elements):
@@ -113,17 +135,28 @@ def workbook_catalog(archives):
 
 
 def workbook_inventory(archives):
-    """Counts, size and embedded data kinds of every archive."""
-    elements = xml_elements(archives)
-    attribute = F.col("attributes").getItem
-    shown = (F.col("tag") == "datasource") & ~F.coalesce(attribute("name"), F.lit("")).isin(*HIDDEN)
-    label = F.coalesce(attribute("caption"), attribute("name"), F.concat(F.lit("Datasource_"), F.col("at").cast("string")))
-    counts = elements.groupBy("path").agg(
-        F.min_by(F.coalesce(attribute("name"), F.lit("Unknown")), "at").alias("workbook_name"),
-        F.count_distinct(F.when(shown, label)).cast("int").alias("datasource_count"),
-        F.count_if(F.col("tag") == "worksheet").cast("int").alias("worksheet_count"),
-        F.count_if(F.col("tag") == "dashboard").cast("int").alias("dashboard_count"),
-        F.max("file_size").alias("file_size"), F.min_by("files", "at").alias("files"))
+    """Counts, size and embedded data kinds of every archive.
+
+    Counted where the archive is read, so one row an archive is grouped, not one
+    an element. Archives of one path add up.
+    """
+    hidden = HIDDEN
+
+    def counted(path, elements, files, size):
+        labels, kinds = [], {"worksheet": 0, "dashboard": 0}
+        for at, _, tag, attributes, _ in elements:
+            if tag in kinds:
+                kinds[tag] += 1
+            elif tag == "datasource" and attributes.get("name") not in hidden:
+                labels.append(attributes.get("caption", attributes.get("name", f"Datasource_{at}")))
+        return [(path, elements[0][3].get("name", "Unknown"), labels, *kinds.values(), size, files)]
+
+    listed = _archive_rows(archives, counted, INVENTORY_SCHEMA)
+    total = lambda c: F.sum(c).cast("int").alias(c)
+    counts = listed.groupBy("path").agg(
+        F.min("workbook_name").alias("workbook_name"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("datasource_count"),
+        total("worksheet_count"), total("dashboard_count"), F.max("file_size").alias("file_size"), F.min("files").alias("files"))
 
     def has(*ends):
         return F.exists("files", lambda f: f.rlike("(?:" + "|".join(ends) + ")$"))
