@@ -130,6 +130,16 @@ def test_inventory_groups_one_row_an_archive(spark, monkeypatch):
         (None, "Parameters", 0, 0, 0, True, False, False)]
 
 
+def test_catalog_parses_archives_once(spark):
+    """The joins read the stored elements, not the archives again."""
+    found = spark.createDataFrame([(p, archive({"a.twb": BOOK})) for p in ("a", "b", "b")], "path string, content binary")
+    listed = workbooks.workbook_catalog(found)
+    assert "MapIn" not in listed._jdf.queryExecution().executedPlan().toString()
+    names = [("Loose", "Any", 0), ("Plain", "City", 0), ("Sales", "Amount", 0)]
+    assert sorted(tuple(r) for r in listed.select("path", "datasource_name", "column_name", "position").collect()) == [
+        (p, *n) for p in ("a", "b") for n in names]
+
+
 def test_sinks(spark, tmp_path, rows):
     df = spark.createDataFrame([("a", "", 'q "x", y')], "n string, e string, t string")
     sinks.write_results(df, str(tmp_path / "r"), "one")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from twinframe.shared import written
+
 ELEMENT_SCHEMA = ("path string, at int, last int, tag string, attributes map<string,string>, text string, "
                   "files array<string>, file_size bigint")
 INVENTORY_SCHEMA = ("path string, workbook_name string, labels array<string>, worksheet_count bigint, dashboard_count bigint, "
@@ -120,8 +122,13 @@ def workbook_catalog(archives):
     A source's columns come from its metadata records, else its column elements,
     else all elements with a bracketed name. Of equal names the last record or
     column counts, or the first other element.
+
+    The elements that count are written once: archives are opened and parsed a
+    single time, whatever the number of joins.
     """
-    elements = xml_elements(archives)
+    useful = F.col("tag").isin("datasource", "metadata-record", "local-name", "local-type", "column")
+    bracketed = F.startswith(F.col("attributes").getItem("name"), F.lit("["))
+    elements = written(xml_elements(archives).where(useful | bracketed).select("path", "at", "last", "tag", "attributes", "text"), "elements")
     name = F.btrim("raw", F.lit("[]"))
     listed = (_mentions(elements).withColumn("column_name", name)
               .where((F.col("column_name") != "") & ~F.startswith("column_name", F.lit(SYSTEM)))
