@@ -134,3 +134,15 @@ def test_broadcast_only_if_small(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in plan(keys.broadcast_if_small(spark.range(5)))
     assert "ResolvedHint" not in plan(keys.broadcast_if_small(spark.range(50), rows=10))
+
+
+def test_key_sets_are_one_aggregate(spark):
+    """No join holds the keys of both sides once more; null and repeated keys count as before."""
+    s = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (2, None), (4, "d")], "a int, b string")
+    t = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b"), (3, None)], "a int, b string")
+    sets = keys.key_sets(s, t, ["a", "b"])
+    assert "Join" not in sets._jdf.queryExecution().executedPlan().toString()
+    assert sets.columns == ["__k0", "__k1", "__k2", "__k3", "s_n", "t_n"]
+    assert sorted((r.s_n, r.t_n) for r in sets.collect() if r.s_n and r.t_n) == [(1, 2), (2, 1)]
+    assert [r.s_n for r in sets.where("t_n IS NULL").collect()] == [1, 1] and [r.t_n for r in sets.where("s_n IS NULL").collect()] == [1]
+    assert tuple(keys.symmetric_difference(sets).first()) == (2, 1, 3)

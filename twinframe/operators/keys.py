@@ -162,11 +162,15 @@ def key_pair(source, target, keys, mode="canonical", how="full_outer"):
 
 
 def key_sets(source, target, keys, mode="canonical"):
-    """Full outer join of the two key sets: key columns, `s_n`, `t_n` (null where absent)."""
+    """Full outer join of the two key sets: key columns, `s_n`, `t_n` (null where absent).
+
+    Made by one aggregate over the keys of both sides, so no task holds a key
+    twice or sorts it.
+    """
     s_keys, t_keys = join_keys(source, target, keys, mode)
-    names = names_of(s_keys)
-    side = lambda df, cols, n: df.select(*cols).groupBy(*names).agg(F.count(F.lit(1)).alias(n))
-    return side(source, s_keys, "s_n").join(side(target, t_keys, "t_n"), names, "full_outer")
+    both = source.select(*s_keys, F.lit(True).alias("__s")).union(target.select(*t_keys, F.lit(False).alias("__s")))
+    count = lambda test, n: F.nullif(F.count_if(test), F.lit(0).cast("bigint")).alias(n)
+    return both.groupBy(*names_of(s_keys)).agg(count(F.col("__s"), "s_n"), count(~F.col("__s"), "t_n"))
 
 
 def key_match(sets):
