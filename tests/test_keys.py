@@ -146,3 +146,19 @@ def test_key_sets_are_one_aggregate(spark):
     assert sorted((r.s_n, r.t_n) for r in sets.collect() if r.s_n and r.t_n) == [(1, 2), (2, 1)]
     assert [r.s_n for r in sets.where("t_n IS NULL").collect()] == [1, 1] and [r.t_n for r in sets.where("s_n IS NULL").collect()] == [1]
     assert tuple(keys.symmetric_difference(sets).first()) == (2, 1, 3)
+
+
+@pytest.mark.parametrize("few", [10, 1000])
+def test_large_frames_are_cut_by_rows_a_task(spark, rows, monkeypatch, few):
+    """The parts follow the number of rows, not compressed bytes; the rows kept are the same."""
+    monkeypatch.setattr(keys, "PART_ROWS", 25)
+    monkeypatch.setattr(keys, "ONE_TASK", few)
+    df = frame(spark, [(i % 190, f"v{i}") for i in range(400)] + [(None, "n"), (None, "n")])
+    df = df.where("k < 100 OR k IS NULL").union(df.where("k >= 100"))
+    wanted = frame(spark, [(i * 2, "x") for i in range(90)] * 2 + [(None, "y")])
+    kept = keys.keep_keys(df, wanted, ["k"])
+    assert rows(kept) == sorted([(r.k, r.v) for r in df.collect() if r.k is None or r.k % 2 == 0 and r.k < 180], key=repr)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert ("17), REPARTITION_BY_NUM" in plan) == (few == 10)
+    gone = keys.keep_keys(df, wanted, ["k"], how="left_anti")
+    assert kept.count() + gone.count() == df.count()

@@ -22,6 +22,7 @@ HOT_ROWS = 1_000_000  # a key with fewer rows fits any task
 HOT_SHARE = 0.002     # so at most 500 keys are hot
 HOT_TRACKED = 1_000
 SALTS = 64            # parts of a heavy key in a join that carries values
+PART_ROWS = 250_000   # rows of one task in a join that cuts a large frame
 ONE_TASK = 10_000     # keys that one task may order
 HASHES = 1 << 60      # hashes that order a sample of keys
 
@@ -261,15 +262,19 @@ def first_n(df, order, n, partition=None):
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n)
 
 
-def hot_key_hashes(df, key_columns):
-    """Hashes of the keys that hold a large share of the rows, from one mergeable sketch."""
+def hot_keys(df, key_columns):
+    """(hashes of the keys that hold a large share of the rows, number of rows), from one mergeable sketch."""
     found = (
         df.select(F.xxhash64(*key_columns).alias("h"))
         .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {HOT_TRACKED // 2}, {HOT_TRACKED * 10})").alias("top"))
         .first()
     )
     limit = max(found.n * HOT_SHARE, HOT_ROWS)
-    return [item["item"] for item in found.top or [] if item["count"] > limit]
+    return [item["item"] for item in found.top or [] if item["count"] > limit], found.n
+
+
+def hot_key_hashes(df, key_columns):
+    return hot_keys(df, key_columns)[0]
 
 
 def keep_keys(df, keys_df, keys, mode="canonical", how="left_semi", split_hot=True):
@@ -283,17 +288,34 @@ def keep_key_columns(df, key_columns, right, how="left_semi", split_hot=True):
 
     Rows of heavy keys do not shuffle: the few keys concerned (at most
     1 / HOT_SHARE of them) are broadcast to where the rows are. Everything else
-    is a normal shuffled join.
+    is a normal shuffled join, of PART_ROWS rows a task where `df` is large.
     """
     names, columns = names_of(key_columns), [name(c) for c in df.columns]
     left = df.select(*columns, *key_columns)
-    hot = hot_key_hashes(df, key_columns) if split_hot else []
+    hot, n = hot_keys(df, key_columns) if split_hot else ([], 0)
+    join = lambda rows, among: _cut(rows, among, names, how, n).select(*columns)
     if not hot:
-        return left.join(right, names, how).select(*columns)
+        return join(left, right)
     is_hot = F.xxhash64(*[F.col(n) for n in names]).isin(hot)
     heavy = left.where(is_hot).join(F.broadcast(right.where(is_hot)), names, how)
-    rest = left.where(~is_hot).join(right.where(~is_hot), names, how)
-    return heavy.unionByName(rest).select(*columns)
+    return heavy.select(*columns).unionByName(join(left.where(~is_hot), right.where(~is_hot)))
+
+
+def _cut(left, right, names, how, rows):
+    """`left` joined to the distinct rows of `right`; `rows` is about the size of `left`.
+
+    Spark sizes a join's parts by their compressed bytes, which say little about
+    the memory that sorting them takes. So a large frame is dealt out by rows,
+    and joined 'inner', which the distinct rows allow and which, unlike
+    'left_semi', is not pushed below the dealing out.
+    """
+    parts = math.ceil(rows / PART_ROWS)
+    if how != "left_semi" or parts <= left.sparkSession.sparkContext.defaultParallelism:
+        return left.join(right, names, how)
+    small = right.limit(ONE_TASK + 1).count() <= ONE_TASK
+    if small:
+        return left.join(F.broadcast(right), names, how)  # at most ONE_TASK rows
+    return left.repartition(parts, *names).join(right.repartition(parts, *names), names)
 
 
 def salted_left_join(df, other, key):
