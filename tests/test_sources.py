@@ -153,6 +153,14 @@ def test_sinks(spark, tmp_path, rows):
     assert first != second and rows(files.read_csv(spark, first)) == rows(files.read_csv(spark, second))
 
 
+def test_long_reports_are_gzipped_in_parts(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 3)
+    df = spark.createDataFrame([(f"n{i}", None if i % 2 else 'q "x", y') for i in range(8)], "n string, t string").coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "long"), single_file=False)
+    assert len(list((tmp_path / "long").glob("*.csv.gz"))) == 3
+    assert rows(files.read_csv(spark, str(tmp_path / "long"), multi_line=False)) == rows(df)
+
+
 def _file(folder, name, text, encoding="utf-8"):
     folder.mkdir(exist_ok=True)
     (folder / name).write_bytes(text.encode(encoding))

@@ -18,10 +18,14 @@ def write_results(results, path, run_id):
     results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
 
 
+#: Rows of one file of a long report: gzipped files are read whole.
+FILE_ROWS = 1_000_000
+
+
 def write_csv(report, path, single_file=True):
-    """A report as CSV with a header. Reports are small; pass single_file=False for long ones."""
-    frame = report.coalesce(1) if single_file else report
-    frame.write.mode("errorifexists").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """A report as CSV with a header. Reports are small; pass single_file=False for long ones, which are gzipped in parts."""
+    frame, packed = (report.coalesce(1), {}) if single_file else (report, {"compression": "gzip", "maxRecordsPerFile": FILE_ROWS})
+    frame.write.mode("errorifexists").options(header=True, escape='"', emptyValue="", **packed).csv(path)
 
 
 def write_report(results, output_dir, name, now=None):
