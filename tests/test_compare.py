@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -109,3 +110,14 @@ def test_positional_compare_with_empty_side(spark):
     s = spark.createDataFrame([("x",)], "a string")
     segments = compare.positional_segments(s, s.limit(0))
     assert [tuple(r) for r in compare.positional_mismatch_counts(segments).collect()] == [("a", 0, 0)]
+
+
+def test_sorted_rows_are_written_small(spark):
+    """The sorted rows, which are alike, are stored with zstd; positions are those of the text sort."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(i % 7, "x") for i in range(50)], "a int, b string")
+    placed = compare.sorted_positions(df, ["a", "b"]).orderBy("position").collect()
+    assert [(r.position, r.a) for r in placed] == list(enumerate(sorted(str(i % 7) for i in range(50))))
+    found = [f for d in set(os.listdir(folder)) - before if d.startswith("sorted-") for f in os.listdir(f"{folder}/{d}") if f.endswith(".parquet")]
+    assert found and all(f.endswith(".zstd.parquet") for f in found)

@@ -222,7 +222,7 @@ def _placed(df, columns):
     ordered = (texts.withColumn(TIE, F.monotonically_increasing_id()).orderBy(*[F.col(name(c)) for c in columns], TIE).drop(TIE)
                .withColumn("__at", F.monotonically_increasing_id()))
     # Written once: positions rely on one fixed split into sorted parts.
-    parts = written(ordered, "sorted").withColumn("__part", F.shiftright("__at", 33))
+    parts = written(ordered, "sorted", compression="zstd").withColumn("__part", F.shiftright("__at", 33))
     sizes = sorted(parts.groupBy("__part").count().collect())  # one row per sorted part
     ends = list(itertools.accumulate(size for _, size in sizes))
     offsets = df.sparkSession.createDataFrame(

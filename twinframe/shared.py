@@ -37,8 +37,8 @@ def spread(df):
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def written(df, label="written"):
-    """Write the frame to the shared folder once and go on from there.
+def written(df, label="written", **options):
+    """Write the frame to the shared folder once and go on from there; `options` are the Parquet writer's.
 
     The files stay, as checkpoint files do. Columns without a type cannot be
     written; such a frame is returned as it is.
@@ -46,7 +46,7 @@ def written(df, label="written"):
     if any(isinstance(f.dataType, T.NullType) for f in df.schema):
         return df
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
