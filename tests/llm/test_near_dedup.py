@@ -72,6 +72,16 @@ def test_repeated_rows_null_ids_and_no_rows(spark, frame, prose):
     assert near_duplicates(frame([(1, "x")]).where("doc_id < 0")).collect() == []
 
 
+def test_scratch_tables_are_deleted(frame, prose, tmp_path, monkeypatch):
+    family = prose(120, 7)
+    rows = [(i, edited(family, i % 9, 50 + i)) for i in range(30)] + [(40 + i, prose(50, i)) for i in range(5)]
+    monkeypatch.setattr("twinframe.shared.shared_dir", lambda spark: str(tmp_path))
+    got = near_duplicates(frame(rows), small=2)
+    left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
+    assert {"base", "named"} <= left <= {"base", "named", "links", "hooks"}
+    assert result(got) == brute(rows)
+
+
 def test_very_long_text(frame, prose):
     long = prose(30_000, 3)
     rows = [(0, long), (1, edited(long, 500, 1)), (2, edited(long, 9000, 2))]

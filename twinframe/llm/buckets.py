@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from twinframe.shared import written
+
 #: Plan setting only: members of one block.
 BLOCK = 2048
 
 
-def buckets(keys, roots):
+def buckets(keys, roots, folders):
     """Members (key, band, id, root, n, pivot, pivot_root) of the buckets that hold more than one component."""
     rooted = keys.withColumn("root", F.col("id"))
     if roots is not None:
@@ -14,6 +16,8 @@ def buckets(keys, roots):
     shared = (rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot"),
                                         F.min("root").alias("low"), F.max("root").alias("high"))
               .where("n > 1 and low <> high").select("key", "n", "pivot", F.col("pivot").alias("pivot_root")))
+    # written, so that its shuffle is gone before all keys are joined to it
+    shared = written(shared, "shared-keys", folders)
     if roots is not None:
         named = roots.select(F.col("id").alias("pivot"), "component")
         shared = (shared.join(named, "pivot", "left").withColumn("pivot_root", F.coalesce("component", "pivot"))

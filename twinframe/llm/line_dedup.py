@@ -129,7 +129,7 @@ def line_links(docs, percent, small, few):
     nodes = written(nodes, "line-nodes")
     keys = nodes.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
     links, roots, texts = None, None, None
-    members = written(buckets(keys, None), "line-buckets")
+    members = written(buckets(keys, None, None), "line-buckets")
     pairs = likely(candidates(members, small), nodes, percent)
     while True:
         found = written(pairs, "line-pairs")
@@ -139,7 +139,7 @@ def line_links(docs, percent, small, few):
             return nodes.select("id", *NODE), written(components(links.union(more)), "line-roots")
         links = more
         roots = written(components(links), "line-roots")
-        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots)
+        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots, None)
         large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large")
         if large.isEmpty():
             return nodes.select("id", *NODE), roots

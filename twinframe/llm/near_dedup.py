@@ -13,6 +13,7 @@ probability. Survivors are confirmed on their full sets.
 
 import hashlib
 import math
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -79,20 +80,19 @@ def band_values(signs):
     return out
 
 
-def band_keys(nodes, *more):
-    """key, band, id: one row for each node and band, with more columns of numbers."""
+def band_keys(nodes):
+    """key, band, id: one row for each node and band."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 keys = band_values(part.column("sign").to_pylist())
                 bands = np.tile(np.arange(BANDS, dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel().view(np.int64)), pa.array(bands),
-                     *[pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), BANDS)) for c in ("id", *more)]],
-                    ["key", "band", "id", *more])
+                ids = np.repeat(part.column("id").to_numpy(zero_copy_only=False), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(bands), pa.array(ids)],
+                                                 ["key", "band", "id"])
 
-    return nodes.select("id", "sign", *more).mapInArrow(run, ", ".join(["key long, band int, id long", *[f"{c} long" for c in more]]))
+    return nodes.select("id", "sign").mapInArrow(run, "key long, band int, id long")
 
 
 def least_matches(threshold, miss, batch=BATCH):
@@ -111,7 +111,7 @@ def least_matches(threshold, miss, batch=BATCH):
     return out
 
 
-def likely(pairs, nodes, percent, miss):
+def likely(pairs, nodes, percent, miss, folders):
     """The pairs (a, b) that sequential Bayesian comparison keeps, with their equal places.
 
     Sizes and two bits of each place come first, the whole places only for the
@@ -155,7 +155,8 @@ def likely(pairs, nodes, percent, miss):
 
     alike = (F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b"))
     few = with_sides(pairs, "n", "brief").where(alike).select("a", "b", "brief_a", "brief_b").mapInArrow(short, "a long, b long")
-    return with_sides(few, "sign").mapInArrow(whole, "a long, b long, equal long")
+    # written, so that its size is known: signatures are shuffled only if it is too large for a broadcast
+    return with_sides(written(few, "few", folders), "sign").mapInArrow(whole, "a long, b long, equal long")
 
 
 def in_blocks(queries, members, percent, miss, width, with_texts):
@@ -239,15 +240,16 @@ def in_blocks(queries, members, percent, miss, width, with_texts):
             .select("group", "x", "y", "member", "id", "root", "n", "sign", "text").mapInArrow(run, "a long, b long"))
 
 
-def undecided(nodes, roots, small, percent, miss, width, docs, texts):
+def undecided(nodes, members, roots, small, percent, miss, width, docs, texts, folders):
     """Links between the components that buckets of more than `small` members still hold."""
-    rooted = nodes.select("id", "sign").join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
-    rows = band_keys(rooted, "root")
+    rooted = nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
+    rows = (members.where(F.col("n") > small).select("key", "id").join(roots, "id", "left")
+            .select("key", "id", F.coalesce("component", "id").alias("root")))
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
     open_ = (sizes.groupBy("key").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("n"), F.max("m").alias("top"))
              .where((F.col("n") > small) & (F.col("n") > F.col("top"))).select(F.col("key").alias("open_key"), "main"))
     outside = written(rows.join(open_, (F.col("key") == F.col("open_key")) & (F.col("root") != F.col("main")))
-                      .select("key", "main", "id", "root"), "outside")
+                      .select("key", "main", "id", "root"), "outside", folders)
     # what is outside against the whole largest component, and against what else is outside in its bucket
     name = lambda kind, c: F.xxhash64(F.lit(kind), c)
     queries = outside.select(name("main", "main").alias("group"), "id", "root").distinct()
@@ -255,10 +257,11 @@ def undecided(nodes, roots, small, percent, miss, width, docs, texts):
     others = outside.select(name("key", "key").alias("group"), "id", "root")
     members = (rooted.select("id", "root").join(mains, F.col("root") == F.col("main"), "left_semi")
                .select(name("main", "root").alias("group"), "id", "root"))
-    queries, members = written(queries.union(others), "queries"), written(members.union(others), "members")
+    queries = written(queries.union(others), "queries", folders)
+    members = written(members.union(others), "members", folders)
 
     def with_texts(rows):
-        known = _fetch(docs, queries.select("id").union(members.select("id")), texts)
+        known = _fetch(docs, queries.select("id").union(members.select("id")), texts, folders)
         return rows.join(nodes.select("id", "n", "sign"), "id").join(known, "id")
 
     return in_blocks(queries, members, percent, miss, width, with_texts)
@@ -310,47 +313,55 @@ def near_duplicates(docs, percent=75, width=5, miss=1e-6, small=8):
     texts without words have an empty set, are linked with nothing and kept.
     Rows of one doc_id count as one document. Rows without a doc_id are linked
     with nothing, have no component and are kept. `small`, TOGETHER and BLOCK
-    only steer the plan. Other columns are passed over.
+    only steer the plan. Other columns are passed over. Scratch tables go when
+    their last reader is done; two narrow ones stay for the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(sketch(docs, width), "sketches")
-    usable = base.where("doc_id is not null and digest is not null")
-    nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sign").alias("sign"),
-                                                 F.any_value("brief").alias("brief"), F.max("n_shingles").alias("n")), "nodes")
-    members = written(buckets(band_keys(nodes), None), "buckets")
-    found = written(likely(candidates(members, small), nodes, percent, miss), "likely")
-    texts = _fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))), None)
-    # first the likeliest partner of each document, then what the components so found leave open
-    best = (found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x"))
-            .select((-F.col("x.a")).alias("a"), "b"))
-    links, roots = _add(None, confirm(best, texts, percent, width))
-    rest = found.join(best, ["a", "b"], "left_anti")
-    for c in "ab":
-        rest = (rest.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
-                .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
-    rest = written(rest.where("root_a <> root_b").select("a", "b"), "rest")
-    links, roots = _add(links, confirm(rest, texts, percent, width))
-    links, roots = _add(links, undecided(nodes, roots, small, percent, miss, width, docs, texts))
-    named = (nodes.select("digest", "id").join(roots, "id", "left")
-             .select("digest", F.coalesce("component", "id").alias("component")))
-    return (base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    with ExitStack() as folders:
+        with ExitStack() as first:
+            sketches = written(sketch(docs, width), "sketches", first)
+            usable = sketches.where("doc_id is not null and digest is not null")
+            nodes = written(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.any_value("sign").alias("sign"),
+                                                         F.any_value("brief").alias("brief"), F.max("n_shingles").alias("n")),
+                            "nodes", folders)
+            base = written(sketches.select("doc_id", "n_shingles", "digest"), "base")
+        members = written(buckets(band_keys(nodes), None, folders), "buckets", folders)
+        found = written(likely(candidates(members, small), nodes, percent, miss, folders), "likely", folders)
+        texts = _fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))), None, folders)
+        # first the likeliest partner of each document, then what the components so found leave open
+        best = (found.groupBy("b").agg(F.max(F.struct("equal", (-F.col("a")).alias("a"))).alias("x"))
+                .select((-F.col("x.a")).alias("a"), "b"))
+        links, roots = _add(None, confirm(best, texts, percent, width), folders)
+        rest = found.join(best, ["a", "b"], "left_anti")
+        for c in "ab":
+            rest = (rest.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
+                    .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
+        rest = written(rest.where("root_a <> root_b").select("a", "b"), "rest", folders)
+        links, roots = _add(links, confirm(rest, texts, percent, width), folders)
+        links, roots = _add(links, undecided(nodes, members, roots, small, percent, miss, width, docs, texts, folders), folders)
+        # the result reads two narrow tables only: base and this one
+        named = written(nodes.select("digest", "id").join(roots, "id", "left")
+                        .select("digest", F.coalesce("component", "id").alias("component")), "named")
+    return (base.join(named, "digest", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _fetch(docs, ids, texts):
+def _fetch(docs, ids, texts, folders):
     """(id, text) of the documents named, besides those fetched before."""
     ids = ids.distinct()
     if texts is not None:
-        ids = written(ids.join(texts.select("id"), "id", "left_anti"), "ids")
-        if ids.isEmpty():
-            return texts
-    more = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts")
+        ids = ids.join(texts.select("id"), "id", "left_anti")
+    # written, so that its size is known: documents are shuffled only if it is too large for a broadcast
+    ids = written(ids, "ids", folders)
+    if texts is not None and ids.isEmpty():
+        return texts
+    more = written(docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "texts", folders)
     return more if texts is None else texts.union(more)
 
 
-def _add(links, more):
-    more = written(more.distinct(), "confirmed")
+def _add(links, more, folders):
+    more = written(more.distinct(), "confirmed", folders)
     links = more if links is None else links.union(more)
-    return links, written(components(links, few=FEW_LINKS), "roots")
+    return links, written(components(links, few=FEW_LINKS), "roots", folders)

@@ -37,16 +37,35 @@ def spread(df):
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def written(df, label="written", **options):
+@contextmanager
+def shuffles_freed(spark):
+    """Queries that end in the block leave no shuffle files, which else stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def written(df, label="written", folders=None, **options):
     """Write the frame to the shared folder once and go on from there; `options` are the Parquet writer's.
 
-    The files stay, as checkpoint files do. Columns without a type cannot be
-    written; such a frame is returned as it is.
+    The files stay, as checkpoint files do, unless `folders`, an ExitStack, is
+    there to delete them. Columns without a type cannot be written; such a frame
+    is returned as it is.
     """
     if any(isinstance(f.dataType, T.NullType) for f in df.schema):
         return df
     path = new_path(df.sparkSession, label)
-    df.write.options(**options).parquet(path)
+    if folders is not None:
+        folders.callback(remove, df.sparkSession, path)
+    with shuffles_freed(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
