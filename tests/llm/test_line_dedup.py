@@ -78,6 +78,15 @@ def test_one_large_family(frame, prose):
     assert found >= 0.85 * sum(len(w[1]) for w in brute(rows).values())
 
 
+def test_scratch_tables_are_deleted(frame, prose, tmp_path, monkeypatch):
+    rows = corpus(prose)[:40]
+    monkeypatch.setattr("twinframe.shared.shared_dir", lambda spark: str(tmp_path))
+    got = line_dedup(frame(rows), 75)
+    left = {x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()}
+    assert {"line-places"} <= left <= {"line-places", "links", "hooks"}
+    assert result(got) == brute(rows)
+
+
 def test_odd_tables(frame, prose):
     assert line_dedup(frame([(1, "x")]).where("doc_id > 1")).collect() == []
     line = prose(9, 1)

@@ -9,6 +9,7 @@ of each component one line stays.
 
 import math
 import random
+from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
@@ -95,22 +96,23 @@ def shingle_set(wide):
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(F.col(wide), at)))
 
 
-def confirm(pairs, texts, percent):
+def confirm(pairs, texts, percent, folders):
     """The pairs with 100 * both >= percent * either, on full shingle sets."""
     side = {c: texts.select(F.col("id").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "ab"}
     x, y = shingle_set("wide_a"), shingle_set("wide_b")
     # written before it is filtered, or the filter would make each set several times
     sizes = written(pairs.join(side["a"], "a").join(side["b"], "b")
-                    .select("a", "b", F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all")), "line-sizes")
+                    .select("a", "b", F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all")),
+                    "line-sizes", folders)
     return sizes.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
-def fetch(docs, pairs, nodes, texts):
+def fetch(docs, pairs, nodes, texts, folders):
     """(id, wide) of the lines in `pairs`, in UTF-32, besides those fetched before."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     if texts is not None:
         ids = ids.join(texts.select("id"), "id", "left_anti")
-    ids = written(ids.join(nodes.select("id", *NODE), "id"), "line-ids")
+    ids = written(ids.join(nodes.select("id", *NODE), "id"), "line-ids", folders)
     n = ids.limit(BROADCAST_LINES + 1).count()
     if texts is not None and not n:
         return texts
@@ -118,29 +120,30 @@ def fetch(docs, pairs, nodes, texts):
     wanted = table.join(F.broadcast(ids) if n <= BROADCAST_LINES else ids, NODE)
     # written as UTF-32, or each shingle would encode the whole line again
     more = written(wanted.groupBy("id").agg(F.any_value("line").alias("line"))
-                   .select("id", F.encode("line", "UTF-32").alias("wide")), "lines")
+                   .select("id", F.encode("line", "UTF-32").alias("wide")), "lines", folders, compression="zstd")
     return more if texts is None else texts.union(more)
 
 
-def line_links(docs, percent, small, few):
+def line_links(docs, percent, small, few, folders):
     """(nodes, roots): distinct lines as id, h1, h2, and id, component of those with links."""
-    made = written(signed(lines(docs)), "signed")
-    nodes = made.withColumn("id", F.monotonically_increasing_id())
-    nodes = written(nodes, "line-nodes")
-    keys = nodes.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
+    with ExitStack() as first:
+        made = written(signed(lines(docs)).withColumn("id", F.monotonically_increasing_id()), "signed", first)
+        keys = made.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
+        members = written(buckets(keys, None, first), "line-buckets", folders)
+        # without the keys, most of its bytes, which have no reader any more
+        nodes = written(made.select("id", *NODE, *BITS), "line-nodes", folders)
     links, roots, texts = None, None, None
-    members = written(buckets(keys, None, None), "line-buckets")
     pairs = likely(candidates(members, small), nodes, percent)
     while True:
-        found = written(pairs, "line-pairs")
-        texts = fetch(docs, found, nodes, texts)
-        more = confirm(found, texts, percent)
+        found = written(pairs, "line-pairs", folders)
+        texts = fetch(docs, found, nodes, texts, folders)
+        more = confirm(found, texts, percent, folders)
         if roots is not None:
-            return nodes.select("id", *NODE), written(components(links.union(more)), "line-roots")
+            return nodes.select("id", *NODE), written(components(links.union(more)), "line-roots", folders)
         links = more
-        roots = written(components(links), "line-roots")
-        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots, None)
-        large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large")
+        roots = written(components(links), "line-roots", folders)
+        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots, folders)
+        large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large", folders)
         if large.isEmpty():
             return nodes.select("id", *NODE), roots
         pairs = outside_pairs(large, few, BITS, alike("one", "two", percent))
@@ -160,12 +163,14 @@ def duplicate_lines(docs, percent=75, small=8, few=256):
     A pair at 75 % shares no band once in 57,000 (at 85 %, once in 10^8), and the
     bits drop it with a chance of at most MISS at any threshold.
     Every bucket is decided in full, whatever its size; small and few (see
-    `outside_pairs`) are plan settings.
+    `outside_pairs`) are plan settings. Scratch tables go when their last reader
+    is done; one narrow one stays for the result.
     """
     docs = docs.select("doc_id", "text")
-    nodes, roots = line_links(docs, percent, small, few)
-    named = nodes.join(roots, "id", "left").select(*NODE, F.coalesce("component", "id").alias("component"))
-    own = written(lines(docs).select("doc_id", "position", *NODE).join(named, NODE).drop(*NODE), "line-places")
+    with ExitStack() as folders:
+        nodes, roots = line_links(docs, percent, small, few, folders)
+        named = nodes.join(roots, "id", "left").select(*NODE, F.coalesce("component", "id").alias("component"))
+        own = written(lines(docs).select("doc_id", "position", *NODE).join(named, NODE).drop(*NODE), "line-places")
     first = own.groupBy("component").agg(F.min(F.struct("doc_id", "position")).alias("first"))
     return (own.join(first, "component")
             .select("doc_id", "position", "component", F.struct("doc_id", "position").eqNullSafe(F.col("first")).alias("kept")))
