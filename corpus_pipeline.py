@@ -14,7 +14,7 @@ from twinframe.llm.near_dedup import near_duplicates
 from twinframe.llm.queries import WEIGHTS, labelled_domains, table, tokenizer_path
 from twinframe.llm.token_files import token_index, write_tokens
 from twinframe.llm.toxicity import toxicity_scores
-from twinframe.shared import new_path
+from twinframe.shared import new_path, written
 
 
 def _decided(docs, drops):
@@ -26,8 +26,9 @@ def _decided(docs, drops):
     own = F.lit((1 << 63) - 1) - F.monotonically_increasing_id()
     named = docs.withColumn("pipeline_id", F.coalesce("doc_id", own))
     gone = drops(named.withColumn("doc_id", F.col("pipeline_id")).drop("pipeline_id"))
-    return (named.join(gone.select(F.col("doc_id").alias("pipeline_id")).distinct(), "pipeline_id", "left_anti")
-            .select(*docs.columns))
+    # written, so that its size is known: texts are shuffled only if it is too large for a broadcast
+    gone = written(gone.select(F.col("doc_id").alias("pipeline_id")).distinct(), "gone")
+    return named.join(gone, "pipeline_id", "left_anti").select(*docs.columns)
 
 
 def toxicity(spark, docs, sf_dir):

@@ -65,3 +65,12 @@ def test_stages_take_effect(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf[0]).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_few_drops_do_not_shuffle_the_texts(frame):
+    rows = [(i, f"text {i}") for i in range(20)] + [(None, "none"), (3, "again")]
+    kept = corpus_pipeline._decided(frame(rows), lambda named: named.where("doc_id % 2 = 0"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    left = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None)
+    assert left == sorted((i, t) for i, t in rows if i is not None and i % 2)
