@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,23 @@ def test_short_lines_at_the_threshold_are_found(frame):
     lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(15)) for _ in range(2500)]
     rows = [(i, f"{line[:13]}\n{line}") for i, line in enumerate(lines)]
     assert module.duplicate_lines(frame(rows)).where("not kept").count() == len(lines)
+
+
+def test_long_lines_are_read_once_a_set(frame):
+    # a copy of the line for each of its shingles would be 640 GB here
+    r = random.Random(3)
+    line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400_000))
+    wide = frame([(1, line)]).select(F.encode("text", "UTF-32").alias("wide"))
+    began = time.time()
+    assert wide.select(F.size(module.shingle_set("wide")).alias("n")).head().n == len(shingles(line))
+    assert time.time() - began < 40
+
+
+def test_signatures_follow_the_set_alone(frame):
+    # the two lines of a pair have one set, of few shingles
+    pairs = [("ab" * 8, "ab" * 900), ("abc" * 20, "bca" * 20 + "b"), ("x" * 8, "x" * 5000), ("0123456789" * 9, "0123456789" * 99)]
+    made = {x.line: x for x in module.signed(module.lines(frame([(i, "\n".join(p)) for i, p in enumerate(pairs)]))).join(
+        module.lines(frame([(i, "\n".join(p)) for i, p in enumerate(pairs)])), module.NODE).collect()}
+    for one, other in pairs:
+        assert [made[one][c] for c in (*module.BITS, "keys")] == [made[other][c] for c in (*module.BITS, "keys")]
+        assert len(set(made[one]["keys"])) == 2 * module.BANDS and made[one]["bits0"] >= module.FLAG

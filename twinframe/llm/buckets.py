@@ -25,6 +25,18 @@ def buckets(keys, roots, folders):
     return rooted.join(shared, "key")
 
 
+def shared_buckets(keys):
+    """Members (key, id, root, n, pivot, pivot_root) of the buckets with two ids or more, each id its own root.
+
+    The keys are dealt out once, for the counts and for what is joined to them, and no part is sorted.
+    """
+    dealt = keys.repartition("key")
+    shared = (dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot"), F.max("id").alias("high"))
+              .where("pivot <> high").select("key", "n", "pivot"))
+    return (dealt.join(shared.hint("shuffle_hash"), "key")
+            .select("key", "id", F.col("id").alias("root"), "n", "pivot", F.col("pivot").alias("pivot_root")))
+
+
 def candidates(members, small):
     """Distinct pairs of different components: with the pivot, and all of a bucket of at most `small` members."""
     star = members.where("id <> pivot and root <> pivot_root").select(F.col("pivot").alias("a"), F.col("id").alias("b"))

@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Equal lines (trimmed, lower case) are one node. Each node's character shingles
-are hashed once, and the hash again for each of MANY minima, its signature.
+are hashed once and dealt into MANY bins; the minima of the bins are its
+signature, and empty bins take over the minima of others.
 Bands of BAND minima propose pairs, two bits of each minimum drop most of the
 wrong ones, and the full shingle sets decide. Union-find names components, and
 of each component one line stays.
@@ -13,19 +14,26 @@ from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
-from twinframe.llm.buckets import buckets, candidates, outside_pairs, with_outside
+from twinframe.llm.buckets import buckets, candidates, outside_pairs, shared_buckets, with_outside
 from twinframe.llm.components import components
-from twinframe.shared import written
+from twinframe.shared import short_methods, written
 
 SHINGLE, MANY, BAND = 8, 60, 3
 BANDS = MANY // BAND
 _numbers = random.Random(30)
 MASKS = [_numbers.getrandbits(32) - (1 << 31) for _ in range(MANY)]
+#: Where an empty place of a signature looks next; after round r it has looked at 2 ** r places.
+ORDERS = [_numbers.sample(range(MANY), MANY) for _ in range(8)]
+#: Other bands over the same places, for lines with at most SHORT full places, whose shingles often share a bin; of the bits of
+#: a pair with such a line so many fewer need agree.
+MORE, SHORT, SLACK = _numbers.sample(range(MANY), MANY), 24, 9
 #: Pairs of bits in one number of `bits`, and the chance that a pair of lines at the threshold is dropped by them.
 IN_ONE, MISS = 30, 1e-6
 PAIRS_OF_BITS = sum(1 << 2 * i for i in range(IN_ONE))
 #: Lines to fetch that are broadcast rather than shuffled: 16 bytes each, so 4 MB.
 BROADCAST_LINES = 1 << 18
+#: A bit of `bits0` that says that a line is short.
+FLAG = 1 << 2 * IN_ONE
 NODE = ["h1", "h2"]
 BITS = [f"bits{i}" for i in range(MANY // IN_ONE)]
 
@@ -43,22 +51,38 @@ def shingle_hash(wide, at):
     return F.xxhash64(F.substring(wide, 4 * at + 1, F.lit(4 * SHINGLE)))
 
 
-def signed(table):
-    """h1, h2, BITS, keys of each distinct line: two bits of each place of its signature, and its band keys."""
+def least_hashes(table):
+    """h1, h2, m_0 to m_59 of each distinct line: the least of the shingle hashes that fall into each bin, null where none does."""
     rows = table.select(*NODE, F.encode("line", "UTF-32").alias("wide"))
     last = F.greatest(F.floor(F.octet_length("wide") / 4) - SHINGLE, F.lit(0)).cast("int")
     rows = rows.select(*NODE, "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     rows = rows.select(*NODE, F.hash(F.substring(F.col("wide"), 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("v"))
-    # hashed again for each minimum: XOR alone leaves the minima dependent
-    least = [F.min(F.hash(F.col("v").bitwiseXOR(F.lit(c)))).alias(f"m_{i}") for i, c in enumerate(MASKS)]
+    rows = rows.select(*NODE, "v", F.pmod("v", F.lit(MANY)).alias("bin"))
+    return rows.groupBy(*NODE).agg(*[F.expr(f"min(v) FILTER (WHERE bin = {i})").alias(f"m_{i}") for i in range(MANY)])
+
+
+def signed(table):
+    """h1, h2, BITS, keys of each distinct line: two bits of each place of its signature, and its band keys.
+
+    An empty place of the signature takes the value of the first one that is
+    not, in an order of its own; ORDERS hold these orders, each twice as long as that before.
+    """
+    full = sum((F.col(f"m_{i}").isNotNull().cast("int") for i in range(MANY)), F.lit(0))
+    rows = least_hashes(table).select("*", F.least(*[f"m_{i}" for i in range(MANY)]).alias("least"), (full <= SHORT).alias("short"))
+    for order in ORDERS:
+        rows = rows.select(*NODE, "least", "short", *[F.coalesce(f"m_{i}", f"m_{k}").alias(f"m_{i}") for i, k in enumerate(order)])
+    rows = rows.select(*NODE, "short", *[F.coalesce(f"m_{i}", "least", F.lit(0)).alias(f"m_{i}") for i in range(MANY)])
     bits = []
     for at in range(0, MANY, IN_ONE):
-        one = F.lit(0).cast("long")
+        one = F.when(F.col("short") & F.lit(at == 0), F.lit(FLAG)).otherwise(F.lit(0).cast("long"))
         for i in range(IN_ONE):
-            one = one.bitwiseOR(F.shiftleft(F.col(f"m_{at + i}").cast("long").bitwiseAND(3), 2 * i))
+            # hashed again for each place, as one shingle may stand in many
+            of = F.hash(F.col(f"m_{at + i}").bitwiseXOR(F.lit(MASKS[at + i])))
+            one = one.bitwiseOR(F.shiftleft(of.cast("long").bitwiseAND(3), 2 * i))
         bits.append(one.alias(f"bits{at // IN_ONE}"))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m_{BAND * b + i}" for i in range(BAND)]) for b in range(BANDS)])
-    return rows.groupBy(*NODE).agg(*least).select(*NODE, *bits, keys.alias("keys"))
+    base, more = (F.array(*[F.xxhash64(F.lit(at + b), *[f"m_{places[BAND * b + i]}" for i in range(BAND)]) for b in range(BANDS)])
+                  for at, places in ((0, range(MANY)), (BANDS, MORE)))
+    return rows.select(*NODE, *bits, F.when(F.col("short"), F.concat(base, more)).otherwise(base).alias("keys"))
 
 
 def least_agreeing(percent):
@@ -81,7 +105,8 @@ def alike(one, other, percent):
     for c in BITS:
         off = F.col(f"{c}_{one}").bitwiseXOR(F.col(f"{c}_{other}"))
         count = count - F.bit_count(off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(PAIRS_OF_BITS)))
-    return count >= least_agreeing(percent)
+    short = F.col(f"bits0_{one}").bitwiseOR(F.col(f"bits0_{other}")) >= FLAG
+    return count >= least_agreeing(percent) - F.when(short, F.lit(SLACK)).otherwise(F.lit(0))
 
 
 def likely(pairs, nodes, percent):
@@ -93,7 +118,9 @@ def likely(pairs, nodes, percent):
 def shingle_set(wide):
     """Hashes of the shingles of a UTF-32 column."""
     last = F.greatest(F.floor(F.octet_length(wide) / 4) - SHINGLE, F.lit(0)).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(F.col(wide), at)))
+    # a variable, as each reference to the column itself would copy the whole line
+    sets = F.transform(F.array(wide), lambda line: F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(line, at)))
+    return F.array_distinct(F.get(sets, F.lit(0)))
 
 
 def confirm(pairs, texts, percent, folders):
@@ -107,46 +134,36 @@ def confirm(pairs, texts, percent, folders):
     return sizes.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
-def fetch(docs, pairs, nodes, texts, folders):
-    """(id, wide) of the lines in `pairs`, in UTF-32, besides those fetched before."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if texts is not None:
-        ids = ids.join(texts.select("id"), "id", "left_anti")
-    ids = written(ids.join(nodes.select("id", *NODE), "id"), "line-ids", folders)
-    n = ids.limit(BROADCAST_LINES + 1).count()
-    if texts is not None and not n:
-        return texts
-    table = lines(docs)
-    wanted = table.join(F.broadcast(ids) if n <= BROADCAST_LINES else ids, NODE)
+def fetch(docs, ids, nodes, folders):
+    """(id, wide) of the lines with these ids, in UTF-32."""
+    ids = written(ids.distinct().join(nodes.select("id", *NODE), "id"), "line-ids", folders)
+    few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    wanted = lines(docs).join(F.broadcast(ids) if few else ids, NODE)
     # written as UTF-32, or each shingle would encode the whole line again
-    more = written(wanted.groupBy("id").agg(F.any_value("line").alias("line"))
+    return written(wanted.groupBy("id").agg(F.any_value("line").alias("line"))
                    .select("id", F.encode("line", "UTF-32").alias("wide")), "lines", folders, compression="zstd")
-    return more if texts is None else texts.union(more)
 
 
 def line_links(docs, percent, small, few, folders):
     """(nodes, roots): distinct lines as id, h1, h2, and id, component of those with links."""
     with ExitStack() as first:
-        made = written(signed(lines(docs)).withColumn("id", F.monotonically_increasing_id()), "signed", first)
-        keys = made.select("id", F.posexplode("keys").alias("band", "key")).select("key", "band", "id")
-        members = written(buckets(keys, None, first), "line-buckets", folders)
+        with short_methods(docs.sparkSession):
+            made = written(signed(lines(docs)).withColumn("id", F.monotonically_increasing_id()), "signed", first)
+        members = written(shared_buckets(made.select(F.explode("keys").alias("key"), "id")), "line-buckets", folders)
         # without the keys, most of its bytes, which have no reader any more
         nodes = written(made.select("id", *NODE, *BITS), "line-nodes", folders)
-    links, roots, texts = None, None, None
-    pairs = likely(candidates(members, small), nodes, percent)
-    while True:
-        found = written(pairs, "line-pairs", folders)
-        texts = fetch(docs, found, nodes, texts, folders)
-        more = confirm(found, texts, percent, folders)
-        if roots is not None:
-            return nodes.select("id", *NODE), written(components(links.union(more)), "line-roots", folders)
-        links = more
-        roots = written(components(links), "line-roots", folders)
-        large = buckets(members.where(F.col("n") > small).select("key", "band", "id"), roots, folders)
-        large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large", folders)
-        if large.isEmpty():
-            return nodes.select("id", *NODE), roots
-        pairs = outside_pairs(large, few, BITS, alike("one", "two", percent))
+    found = written(likely(candidates(members, small), nodes, percent), "line-pairs", folders)
+    # with the lines that the large buckets may compare, as each look at the documents parts them into lines again
+    large = members.where(F.col("n") > small)
+    texts = fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).union(large.select("id")), nodes, folders)
+    links = confirm(found, texts, percent, folders)
+    roots = written(components(links), "line-roots", folders)
+    large = buckets(large.select("key", "id"), roots, folders)
+    large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large", folders)
+    if not large.isEmpty():
+        found = written(outside_pairs(large, few, BITS, alike("one", "two", percent)), "line-pairs", folders)
+        roots = written(components(links.union(confirm(found, texts, percent, folders))), "line-roots", folders)
+    return nodes.select("id", *NODE), roots
 
 
 def duplicate_lines(docs, percent=75, small=8, few=256):
@@ -160,8 +177,8 @@ def duplicate_lines(docs, percent=75, small=8, few=256):
     null and empty texts have none. Rows of one doc_id are copies, of which the
     same lines are kept; a null doc_id comes first. Other columns are passed over.
 
-    A pair at 75 % shares no band once in 57,000 (at 85 %, once in 10^8), and the
-    bits drop it with a chance of at most MISS at any threshold.
+    A pair at 75 % shares no band about once in 60,000, and the bits drop it with a
+    chance of about MISS; README has the figures of a simulation by size.
     Every bucket is decided in full, whatever its size; small and few (see
     `outside_pairs`) are plan settings. Scratch tables go when their last reader
     is done; one narrow one stays for the result.

@@ -38,11 +38,10 @@ def spread(df):
 
 
 @contextmanager
-def shuffles_freed(spark):
-    """Queries that end in the block leave no shuffle files, which else stay until the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def setting(spark, name, value):
+    """The setting has this value for what is run in the block."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -52,6 +51,16 @@ def shuffles_freed(spark):
             spark.conf.set(name, before)
 
 
+def shuffles_freed(spark):
+    """Queries that end in the block leave no shuffle files, which else stay until the driver collects its garbage."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def short_methods(spark):
+    """Steps whose generated method the JVM would refuse to compile, at 8,000 bytes, run as several methods that it compiles."""
+    return setting(spark, "spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def written(df, label="written", folders=None, **options):
     """Write the frame to the shared folder once and go on from there; `options` are the Parquet writer's.
 
