@@ -134,6 +134,44 @@ def test_long_lines_are_read_once_a_set(frame):
     assert time.time() - began < 40
 
 
+def test_pairs_that_bitmaps_rule_out_are_not_compared_in_full(frame, monkeypatch):
+    # two thirds of each line in common, so 0.5 of the shingles, and all lines in the same buckets
+    r = random.Random(6)
+    def some(n):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    start = some(200)
+    rows = [(i, start + some(100)) for i in range(40)]
+    rows += [(40 + i, text[:-2] + "..") for i, (_, text) in enumerate(rows[:3])]
+    want, compared, confirm = brute(rows), [], module.confirm
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(module, "confirm", counted)
+    got = module.duplicate_lines(frame(rows)).where("not kept").collect()
+    assert sorted((x.doc_id, x.position) for x in got) == sorted((i, p) for i, w in want.items() for p in w[1]) == [(40, 0), (41, 0), (42, 0)]
+    assert sum(compared) <= 10
+
+
+def test_bitmaps_rule_out_no_link(frame, prose):
+    r, lines = random.Random(9), ["a", "short", "ab" * 900, "abc" * 20, "\U0001f600 smile " * 40, prose(600, 2)]
+    for i in range(12):
+        line = prose(r.randrange(2, 120), i)
+        lines += [line, line[:-1 - len(line) // 30] + "qz", line + line[:len(line) // 4], line[len(line) // 7:]]
+    texts = frame(lines).select(F.col("doc_id").alias("id"), F.encode("text", "UTF-32").alias("wide"))
+    texts = texts.select("id", "wide", F.size(module.shingle_set("wide")).cast("long").alias("many"))
+    assert {x.id: x.many for x in texts.collect()} == {i: len(shingles(line)) for i, line in enumerate(lines)}
+    maps = module.bitmaps(texts).localCheckpoint()
+    ids = maps.select("id")
+    pairs = ids.withColumnRenamed("id", "a").crossJoin(ids.withColumnRenamed("id", "b")).where("a < b")
+    left = {(x.a, x.b) for x in module.left_possible(pairs, maps, 75).collect()}
+    links = {(a, b) for a in range(len(lines)) for b in range(a) for x, y in [(shingles(lines[a]), shingles(lines[b]))]
+             if 100 * len(x & y) >= 75 * len(x | y)}
+    links = {(b, a) for a, b in links}
+    assert len(links) > 15 and links <= left and len(left) < 2 * len(links)
+
+
 def test_signatures_follow_the_set_alone(frame):
     # the two lines of a pair have one set, of few shingles
     pairs = [("ab" * 8, "ab" * 900), ("abc" * 20, "bca" * 20 + "b"), ("x" * 8, "x" * 5000), ("0123456789" * 9, "0123456789" * 99)]

@@ -4,14 +4,17 @@ Equal lines (trimmed, lower case) are one node. Each node's character shingles
 are hashed once and dealt into MANY bins; the minima of the bins are its
 signature, and empty bins take over the minima of others.
 Bands of BAND minima propose pairs, two bits of each minimum drop most of the
-wrong ones, and the full shingle sets decide. Union-find names components, and
-of each component one line stays.
+wrong ones, bitmaps of the shingles drop those that surely are none, and the
+full shingle sets decide on the rest. Union-find names components, and of each
+component one line stays.
 """
 
 import math
 import random
 from contextlib import ExitStack
+from functools import reduce
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from twinframe.llm.buckets import buckets, candidates, outside_pairs, shared_buckets, with_outside
@@ -36,27 +39,31 @@ BROADCAST_LINES = 1 << 18
 FLAG = 1 << 2 * IN_ONE
 NODE = ["h1", "h2"]
 BITS = [f"bits{i}" for i in range(MANY // IN_ONE)]
+#: A line's bitmap of its shingles, 64 bits a number; over 100 columns in a join would not be compiled.
+MAP = [f"map{i}" for i in range(32)]
 
 
 def lines(docs):
     """doc_id, position, line (trimmed, lower case), h1, h2 (its identity); blank lines are left out."""
-    line = F.lower(F.btrim("raw", F.lit(" \t\r")))
+    raw, blank = F.col("raw"), " \t\r"
+    # the ends are looked at first, as btrim goes through the whole line
+    ends = reduce(Column.__or__, [at(raw, F.lit(c)) for at in (F.startswith, F.endswith) for c in blank])
+    line = F.lower(F.when(ends, F.btrim(raw, F.lit(blank))).otherwise(raw))
     return (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "raw"))
             .select("doc_id", "position", line.alias("line")).where("line <> ''")
             .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit("second"))}))
 
 
-def shingle_hash(wide, at):
-    """Hash of the shingle that begins at character `at` of a text in UTF-32."""
-    return F.xxhash64(F.substring(wide, 4 * at + 1, F.lit(4 * SHINGLE)))
+def hashed(rows, *names):
+    """The named columns and v, the 32-bit hash, of each shingle of `wide`, a text in UTF-32."""
+    last = F.greatest(F.floor(F.octet_length("wide") / 4) - SHINGLE, F.lit(0)).cast("int")
+    rows = rows.select(*names, "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    return rows.select(*names, F.hash(F.substring(F.col("wide"), 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("v"))
 
 
 def least_hashes(table):
     """h1, h2, m_0 to m_59 of each distinct line: the least of the shingle hashes that fall into each bin, null where none does."""
-    rows = table.select(*NODE, F.encode("line", "UTF-32").alias("wide"))
-    last = F.greatest(F.floor(F.octet_length("wide") / 4) - SHINGLE, F.lit(0)).cast("int")
-    rows = rows.select(*NODE, "wide", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    rows = rows.select(*NODE, F.hash(F.substring(F.col("wide"), 4 * F.col("at") + 1, F.lit(4 * SHINGLE))).alias("v"))
+    rows = hashed(table.select(*NODE, F.encode("line", "UTF-32").alias("wide")), *NODE)
     rows = rows.select(*NODE, "v", F.pmod("v", F.lit(MANY)).alias("bin"))
     return rows.groupBy(*NODE).agg(*[F.expr(f"min(v) FILTER (WHERE bin = {i})").alias(f"m_{i}") for i in range(MANY)])
 
@@ -115,33 +122,66 @@ def likely(pairs, nodes, percent):
     return pairs.join(side["a"], "a").join(side["b"], "b").where(alike("a", "b", percent)).select("a", "b")
 
 
-def shingle_set(wide):
-    """Hashes of the shingles of a UTF-32 column."""
-    last = F.greatest(F.floor(F.octet_length(wide) / 4) - SHINGLE, F.lit(0)).cast("int")
+def bitmaps(texts):
+    """id, many, MAP of (id, many, wide): a bit for each shingle of a line, by its hash."""
+    rows = hashed(texts, "id", "many")
+    rows = rows.select("id", "many", F.expr("shiftleft(1L, v & 63)").alias("bit"), F.expr(f"(v >> 6) & {len(MAP) - 1}").alias("word"))
+    return rows.groupBy("id", "many").agg(*[F.expr(f"coalesce(bit_or(bit) FILTER (WHERE word = {i}), 0L)").alias(c) for i, c in enumerate(MAP)])
+
+
+def possible(one, other, percent):
+    """False only where two lines surely are no link; the names of their columns are `many` and MAP with a suffix.
+
+    A bit that only one of the lines has stands for a shingle or more that only
+    this line has. With d of these, all = 2 * both + d, and 100 * both >= percent * (both + d)
+    is (100 + percent) * d <= (100 - percent) * all; there are `off` such bits, and off <= d.
+    """
+    off = sum((F.bit_count(F.col(f"{c}_{one}").bitwiseXOR(F.col(f"{c}_{other}"))) for c in MAP), F.lit(0))
+    return (100 + percent) * off <= (100 - percent) * (F.col(f"many_{one}") + F.col(f"many_{other}"))
+
+
+def numbers(table, names):
+    """The table, of which these columns, never null as they are, are known to be none; checks for null make join conditions long."""
+    return table.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in names})
+
+
+def left_possible(pairs, maps, percent):
+    """The pairs that the bitmaps leave."""
+    side = {c: maps.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("many", *MAP)]) for c in "ab"}
+    return pairs.join(side["a"], "a").join(side["b"], "b").where(possible("a", "b", percent)).select("a", "b")
+
+
+def shingle_hashes(wide):
+    """Hashes of the shingles of a UTF-32 column, repeats included."""
+    last = F.greatest(F.octet_length(wide) - 4 * SHINGLE, F.lit(0)) + 1
     # a variable, as each reference to the column itself would copy the whole line
-    sets = F.transform(F.array(wide), lambda line: F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(line, at)))
-    return F.array_distinct(F.get(sets, F.lit(0)))
+    hashes = F.transform(F.array(wide), lambda line: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(line, at, F.lit(4 * SHINGLE)))))
+    return F.get(hashes, F.lit(0))
+
+
+def shingle_set(wide):
+    """Hashes of the different shingles of a UTF-32 column."""
+    return F.array_distinct(shingle_hashes(wide))
 
 
 def confirm(pairs, texts, percent, folders):
     """The pairs with 100 * both >= percent * either, on full shingle sets."""
-    side = {c: texts.select(F.col("id").alias(c), F.col("wide").alias(f"wide_{c}")) for c in "ab"}
-    x, y = shingle_set("wide_a"), shingle_set("wide_b")
+    side = {c: texts.select(F.col("id").alias(c), F.col("many").alias(f"many_{c}"), F.col("wide").alias(f"wide_{c}")) for c in "ab"}
     # written before it is filtered, or the filter would make each set several times
     sizes = written(pairs.join(side["a"], "a").join(side["b"], "b")
-                    .select("a", "b", F.size(F.array_intersect(x, y)).alias("both"), (F.size(x) + F.size(y)).alias("all")),
-                    "line-sizes", folders)
+                    .select("a", "b", F.size(F.array_intersect(shingle_hashes("wide_a"), shingle_hashes("wide_b"))).alias("both"),
+                            (F.col("many_a") + F.col("many_b")).alias("all")), "line-sizes", folders)
     return sizes.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
 def fetch(docs, ids, nodes, folders):
-    """(id, wide) of the lines with these ids, in UTF-32."""
+    """(id, wide, many) of the lines with these ids: the line in UTF-32, and how many different shingles it has."""
     ids = written(ids.distinct().join(nodes.select("id", *NODE), "id"), "line-ids", folders)
     few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     wanted = lines(docs).join(F.broadcast(ids) if few else ids, NODE)
     # written as UTF-32, or each shingle would encode the whole line again
-    return written(wanted.groupBy("id").agg(F.any_value("line").alias("line"))
-                   .select("id", F.encode("line", "UTF-32").alias("wide")), "lines", folders, compression="zstd")
+    return written(wanted.groupBy("id").agg(F.any_value("line").alias("line")).select("id", F.encode("line", "UTF-32").alias("wide"))
+                   .select("id", "wide", F.size(shingle_set("wide")).cast("long").alias("many")), "lines", folders, compression="zstd")
 
 
 def line_links(docs, percent, small, few, folders):
@@ -156,12 +196,16 @@ def line_links(docs, percent, small, few, folders):
     # with the lines that the large buckets may compare, as each look at the documents parts them into lines again
     large = members.where(F.col("n") > small)
     texts = fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).union(large.select("id")), nodes, folders)
+    maps = numbers(written(bitmaps(texts), "line-maps", folders), ["many", *MAP])
+    found = written(left_possible(found, maps, percent), "line-pairs", folders)
     links = confirm(found, texts, percent, folders)
     roots = written(components(links), "line-roots", folders)
     large = buckets(large.select("key", "id"), roots, folders)
-    large = written(with_outside(large).join(nodes.select("id", *BITS), "id"), "line-large", folders)
+    large = written(with_outside(large).join(nodes.select("id", *BITS), "id").join(maps, "id"), "line-large", folders)
     if not large.isEmpty():
-        found = written(outside_pairs(large, few, BITS, alike("one", "two", percent)), "line-pairs", folders)
+        more = [*BITS, "many", *MAP]
+        decided = alike("one", "two", percent) & possible("one", "two", percent)
+        found = written(outside_pairs(numbers(large, more), few, more, decided), "line-pairs", folders)
         roots = written(components(links.union(confirm(found, texts, percent, folders))), "line-roots", folders)
     return nodes.select("id", *NODE), roots
 
