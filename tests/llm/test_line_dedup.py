@@ -134,21 +134,37 @@ def test_long_lines_are_read_once_a_set(frame):
     assert time.time() - began < 40
 
 
+def compared_pairs(monkeypatch):
+    """A list that gets the number of pairs of each full comparison."""
+    compared, confirm = [], module.confirm
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(module, "confirm", counted)
+    return compared
+
+
+def test_pairs_within_a_component_are_not_compared_in_full(frame, prose, monkeypatch):
+    line = prose(60, 3)
+    rows = [(i, line[:9 * i] + "#" + line[9 * i + 1:]) for i in range(30)]
+    compared, want = compared_pairs(monkeypatch), brute(rows)
+    got = module.duplicate_lines(frame(rows), small=64).where("not kept").collect()
+    assert sorted((x.doc_id, x.position) for x in got) == sorted((i, p) for i, w in want.items() for p in w[1])
+    assert len(got) == 29 and sum(compared) <= 2 * 29
+
+
 def test_pairs_that_bitmaps_rule_out_are_not_compared_in_full(frame, monkeypatch):
     # two thirds of each line in common, so 0.5 of the shingles, and all lines in the same buckets
     r = random.Random(6)
     def some(n):
         return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
     start = some(200)
     rows = [(i, start + some(100)) for i in range(40)]
     rows += [(40 + i, text[:-2] + "..") for i, (_, text) in enumerate(rows[:3])]
-    want, compared, confirm = brute(rows), [], module.confirm
-
-    def counted(pairs, *rest):
-        compared.append(pairs.count())
-        return confirm(pairs, *rest)
-
-    monkeypatch.setattr(module, "confirm", counted)
+    want, compared = brute(rows), compared_pairs(monkeypatch)
     got = module.duplicate_lines(frame(rows)).where("not kept").collect()
     assert sorted((x.doc_id, x.position) for x in got) == sorted((i, p) for i, w in want.items() for p in w[1]) == [(40, 0), (41, 0), (42, 0)]
     assert sum(compared) <= 10

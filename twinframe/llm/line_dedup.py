@@ -174,6 +174,24 @@ def confirm(pairs, texts, percent, folders):
     return sizes.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
+def joined(pairs, links, texts, percent, folders):
+    """`links` and those of the pairs that name the same components with them as all links among the pairs would.
+
+    Each line's pair with its smallest partner is decided first; of the others
+    only those between two components are.
+    """
+    first = pairs.groupBy("a").agg(F.min("b").alias("b")).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    first = written(first.distinct(), "line-first", folders)
+    found = confirm(first, texts, percent, folders)
+    links = links.union(found) if links is not None else found
+    roots = written(components(links), "line-roots", folders)
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for c in "ab":
+        rest = rest.join(roots.select(F.col("id").alias(c), F.col("component").alias(f"root_{c}")), c, "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return links.union(confirm(written(rest, "line-rest", folders), texts, percent, folders))
+
+
 def fetch(docs, ids, nodes, folders):
     """(id, wide, many) of the lines with these ids: the line in UTF-32, and how many different shingles it has."""
     ids = written(ids.distinct().join(nodes.select("id", *NODE), "id"), "line-ids", folders)
@@ -198,7 +216,7 @@ def line_links(docs, percent, small, few, folders):
     texts = fetch(docs, found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).union(large.select("id")), nodes, folders)
     maps = numbers(written(bitmaps(texts), "line-maps", folders), ["many", *MAP])
     found = written(left_possible(found, maps, percent), "line-pairs", folders)
-    links = confirm(found, texts, percent, folders)
+    links = joined(found, None, texts, percent, folders)
     roots = written(components(links), "line-roots", folders)
     large = buckets(large.select("key", "id"), roots, folders)
     large = written(with_outside(large).join(nodes.select("id", *BITS), "id").join(maps, "id"), "line-large", folders)
@@ -206,7 +224,7 @@ def line_links(docs, percent, small, few, folders):
         more = [*BITS, "many", *MAP]
         decided = alike("one", "two", percent) & possible("one", "two", percent)
         found = written(outside_pairs(numbers(large, more), few, more, decided), "line-pairs", folders)
-        roots = written(components(links.union(confirm(found, texts, percent, folders))), "line-roots", folders)
+        roots = written(components(joined(found, links, texts, percent, folders)), "line-roots", folders)
     return nodes.select("id", *NODE), roots
 
 
@@ -242,7 +260,8 @@ def line_dedup(docs, percent=75):
     found = (duplicate_lines(docs, percent).where("not kept").groupBy("doc_id")
              .agg(F.array_sort(F.collect_set("position")).alias("removed")))
     found = found.select(F.col("doc_id").alias("other"), "removed")
-    n = F.max(F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(0))).cast("long")
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n = F.max(F.coalesce(feeds + 1, F.lit(0))).cast("long")
     rows = docs.groupBy("doc_id").agg(n.alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return (rows.join(found, rows["doc_id"].eqNullSafe(F.col("other")), "left")
